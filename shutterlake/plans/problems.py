@@ -7,10 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shutterlake.operators import orphans, regions
+from shutterlake.operators import orphans, regions, timestamps
 from shutterlake.sources.tables import table
 
 
+def _timestamps(spark: SparkSession, d: str) -> DataFrame:
+    col = F.col
+    zones = table(spark, d, "cities").groupBy(col("ascii_name").alias("location_city"), col("country_name").alias("location_country")).agg(F.min("timezone").alias("zone"), F.max("timezone").alias("_other"))
+    zones = zones.select("location_city", "location_country", F.when(col("zone") == col("_other"), col("zone")).alias("zone"))
+    photos = table(spark, d, "photos").join(zones, ["location_city", "location_country"], "left").select(
+        F.lit("photos").alias("origin"), col("id").cast("string").alias("record_key"), col("date_taken_source").alias("source"), col("id").alias("ord"), col("date_taken").alias("value"), F.lit(False).alias("is_json"), "zone"
+    )
+    items = table(spark, d, "google_takeout_items").select(
+        F.lit("google_takeout_items").alias("origin"), col("content_hash").alias("record_key"), F.lit("takeout_json").alias("source"), F.unix_micros(col("imported_at").cast("timestamp")).alias("ord"), col("metadata_json").alias("value"), F.lit(True).alias("is_json"), F.lit(None).cast("string").alias("zone")
+    )
+    return timestamps.normalised(photos.unionByName(items))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _timestamps(spark, d).where(F.col("status") == timestamps.EXACT).select("origin", "record_key", "taken_us")
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    """Records per origin, source, notation and status."""
+    return _timestamps(spark, d).groupBy("origin", "source", "notation", "status").agg(F.count("*").alias("n"))
+
+
 def _references(spark: SparkSession, d: str) -> DataFrame:
     col = F.col
     to_photos = [
@@ -63,7 +85,7 @@ WHERE isfinite(p.gps_latitude) AND isfinite(p.gps_longitude) AND abs(p.gps_latit
       + cos(radians(p.gps_latitude)) * cos(radians(c.latitude)) * power(sin(radians(c.longitude - p.gps_longitude) / 2), 2)))) <= 25
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found}
 SQL: dict[str, str] = {
     "p3_found": _P3 + "SELECT * FROM j WHERE kind IS NOT NULL",
     "p3_report": _P3 + "SELECT src_table, period, kind, count(*) AS n FROM j WHERE kind IS NOT NULL GROUP BY ALL",

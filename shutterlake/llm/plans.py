@@ -12,6 +12,12 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from shutterlake.llm import clusters
+
+    return clusters.clustered(_table(spark, d, "cluster_input"), "face_id", "embedding").select("cluster_key", F.col("id").alias("face_id"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from shutterlake.llm import canonical
 
@@ -54,6 +60,6 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares,
+    "p2_found": p2_found, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares,
 }
 SQL: dict[str, str] = {}

@@ -34,6 +34,13 @@ def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("make", "model").agg(F.countDistinct("key").alias("n_photos"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    from shutterlake.llm import neighbours
+
+    found = neighbours.most_similar(_table(spark, d, "cluster_input"), "face_id", "embedding")
+    return neighbours.pairs(found).select(F.col("a").alias("face_a"), F.col("b").alias("face_b"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     from shutterlake.llm import tokens
 
@@ -60,6 +67,6 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p2_found": p2_found, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares,
+    "p2_found": p2_found, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares,
 }
 SQL: dict[str, str] = {}

@@ -66,7 +66,13 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.actual_shares(_mixed(spark, d), _table(spark, d, "mix_targets"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    from shutterlake.llm import encoding
+
+    return encoding.repaired(_table(spark, d, "documents")).select("doc_id", "restored_md5")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p2_found": p2_found, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares,
+    "p2_found": p2_found, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found,
 }
 SQL: dict[str, str] = {}

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shutterlake.plans import problems
+from shutterlake.plans import problems, timeline
 
-_MODULES = [problems]
+_MODULES = [problems, timeline]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shutterlake.plans import problems, timeline
+from shutterlake.plans import insights, problems, timeline
 
-_MODULES = [problems, timeline]
+_MODULES = [problems, timeline, insights]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

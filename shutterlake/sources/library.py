@@ -130,4 +130,4 @@ items AS (SELECT content_hash, any_value(file_path) AS file_path, any_value(meta
 
 def sql(body: str, more: str = "") -> str:
     """A query over the views; ``more`` adds common table expressions."""
-    return f"WITH {VIEWS}{',' if more else ''} {more} {body}"
+    return f"WITH RECURSIVE {VIEWS}{',' if more else ''} {more} {body}"

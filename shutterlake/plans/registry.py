@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shutterlake.plans import groups, insights, problems, timeline
+from shutterlake.plans import groups, insights, people, problems, timeline
 
-_MODULES = [problems, timeline, insights, groups]
+_MODULES = [problems, timeline, insights, groups, people]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -44,7 +44,7 @@ class Library:
             F.col("id").alias("photo_id"), "file_path", "file_name", "file_hash", "file_size", F.col("file_mtime").alias("mtime"),
             wall_clock(F.col("date_taken")).alias("taken"), F.when(ok, F.col("gps_latitude")).alias("lat"), F.when(ok, F.col("gps_longitude")).alias("lon"),
             F.col("location_city").alias("city"), F.col("location_country").alias("country"), F.col("camera_make").alias("make"), F.col("camera_model").alias("model"),
-            "iso", "width", "height", "media_type", "duration_ms", F.coalesce("is_favorite", F.lit(False)).alias("favorite"), F.coalesce("is_trashed", F.lit(False)).alias("trashed"), "trashed_at",
+            "iso", "width", "height", F.coalesce("orientation", F.lit(1)).alias("orientation"), "media_type", "duration_ms", F.coalesce("is_favorite", F.lit(False)).alias("favorite"), F.coalesce("is_trashed", F.lit(False)).alias("trashed"), "trashed_at",
         ).dropDuplicates(["photo_id"])
 
     def live(self) -> DataFrame:
@@ -105,7 +105,7 @@ ph AS (
     any_value(try_cast(substr({_T}, 1, 4) || '-' || substr({_T}, 6, 2) || '-' || substr({_T}, 9, 2) || ' ' || substr({_T}, 12, 8) AS TIMESTAMP)) AS taken,
     any_value(CASE WHEN {_OK} THEN gps_latitude END) AS lat, any_value(CASE WHEN {_OK} THEN gps_longitude END) AS lon,
     any_value(location_city) AS city, any_value(location_country) AS country, any_value(camera_make) AS make, any_value(camera_model) AS model, any_value(iso) AS iso,
-    any_value(width) AS width, any_value(height) AS height, any_value(media_type) AS media_type, any_value(duration_ms) AS duration_ms,
+    any_value(width) AS width, any_value(height) AS height, coalesce(any_value(orientation), 1) AS orientation, any_value(media_type) AS media_type, any_value(duration_ms) AS duration_ms,
     any_value(coalesce(is_favorite, false)) AS favorite, any_value(coalesce(is_trashed, false)) AS trashed, any_value(trashed_at) AS trashed_at
   FROM photos GROUP BY id
 ), live AS (SELECT * FROM ph WHERE NOT trashed),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shutterlake.plans import groups, insights, people, problems, timeline
+from shutterlake.plans import groups, insights, people, problems, searches, timeline
 
-_MODULES = [problems, timeline, insights, groups, people]
+_MODULES = [problems, timeline, insights, groups, people, searches]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

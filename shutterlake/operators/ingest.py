@@ -119,7 +119,7 @@ def name_date(name: str, last_year: int) -> Column:
 
 def exif_date(text: str) -> Column:
     """A camera's date, whose clock is kept and whose zone is dropped."""
-    t = F.regexp_replace(F.trim(text), r"(\.\d+)?\s*(Z|[+-]\d{2}:?\d{2})?$", "")
+    t = F.regexp_replace(F.trim(F.translate(text, "\x00", "")), r"(\.\d+)?\s*(Z|[+-]\d{2}:?\d{2})?$", "")
     t = F.regexp_replace(t, r"^(\d{4})[:/](\d{2})[:/](\d{2})[T ]", "$1-$2-$3 ")
     return t.try_cast("timestamp_ntz")
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shutterlake.plans import groups, insights, memories, people, problems, searches, timeline
+from shutterlake.plans import changes, groups, insights, memories, people, problems, searches, timeline
 
-_MODULES = [problems, timeline, insights, groups, people, searches, memories]
+_MODULES = [problems, timeline, insights, groups, people, searches, memories, changes]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -101,7 +101,7 @@ def points_in_regions(points: DataFrame, edges: DataFrame, strip: float = 0.1, c
 
     def crosses(e: Column) -> Column:
         spans = (F.least(e.y1, e.y2) <= y) & (y < F.greatest(e.y1, e.y2))
-        return spans & (x <= e.x1 + (y - e.y1) / (e.y2 - e.y1) * (e.x2 - e.x1))
+        return spans & (x < e.x1 + (y - e.y1) / (e.y2 - e.y1) * (e.x2 - e.x1))
 
     odd = F.size(F.filter("_edges", crosses)) % 2 == 1
     return j.where(odd).withColumnRenamed("_region", "region").drop("_strip", "_cell", "_edges")

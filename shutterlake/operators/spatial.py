@@ -51,7 +51,7 @@ def merged_pins(photos: DataFrame, zoom: int, most: int) -> DataFrame:
         level += 1
         half = lambda x: F.floor(col(x) / 2).alias(x)
         g = written(g.select(half("cy"), half("cx"), "n", "sa", "so").groupBy("cy", "cx").agg(*(F.sum(k).alias(k) for k in ("n", "sa", "so"))), "cells")
-    return g.select("cy", "cx", F.lit(level).cast("long").alias("level"), "n", F.round(col("sa") / col("n"), 4).alias("lat"), F.round(col("so") / col("n"), 4).alias("lon"))
+    return g.select("cy", "cx", F.lit(level).cast("long").alias("level"), "n", F.round(col("sa") / col("n") + 1e-7, 4).alias("lat"), F.round(col("so") / col("n") + 1e-7, 4).alias("lon"))
 
 
 @dataclass(frozen=True)

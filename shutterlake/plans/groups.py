@@ -124,7 +124,7 @@ _C8 = "c AS (SELECT *, CAST(floor(lat / 0.3515625) AS BIGINT) AS cy, CAST(floor(
 q("SP01", "SELECT cy, cx, count(*) AS n, arg_max(photo_id, (taken IS NOT NULL, coalesce(taken, TIMESTAMP '1000-01-01'), photo_id)) AS newest, round((cy + 0.5::DOUBLE) * 0.3515625::DOUBLE, 6) AS lat, round((cx + 0.5::DOUBLE) * 0.3515625::DOUBLE, 6) AS lon FROM c GROUP BY cy, cx", lambda L: P.pins(L.live(), 8), _C8)
 q("SP01_ids", "SELECT cy, cx, array_to_string(list_sort(list(photo_id))[1:500], ',') AS ids FROM c GROUP BY cy, cx", lambda L: P.pin_ids(L.live(), 8), _C8)
 _LV = "lv AS (SELECT k, CAST(floor(cy / CAST(power(2, k) AS DOUBLE)) AS BIGINT) AS cy, CAST(floor(cx / CAST(power(2, k) AS DOUBLE)) AS BIGINT) AS cx, lat, lon FROM c, range(0, 14) r(k)), lk AS (SELECT min(k) AS k FROM (SELECT k, count(DISTINCT (cy, cx)) AS n FROM lv GROUP BY k) WHERE n <= 300)"
-q("SP02", "SELECT cy, cx, CAST(lv.k AS BIGINT) AS level, count(*) AS n, round(sum(lat) / count(*), 4) AS lat, round(sum(lon) / count(*), 4) AS lon FROM lv JOIN lk ON lk.k = lv.k GROUP BY cy, cx, lv.k", lambda L: P.merged_pins(L.live(), 8, 300), f"{_C8}, {_LV}")
+q("SP02", "SELECT cy, cx, CAST(lv.k AS BIGINT) AS level, count(*) AS n, round(sum(lat) / count(*) + 1e-7::DOUBLE, 4) AS lat, round(sum(lon) / count(*) + 1e-7::DOUBLE, 4) AS lon FROM lv JOIN lk ON lk.k = lv.k GROUP BY cy, cx, lv.k", lambda L: P.merged_pins(L.live(), 8, 300), f"{_C8}, {_LV}")
 q("SP03", "SELECT photo_id FROM live WHERE lat BETWEEN -50 AND 70 AND (lon >= 170 OR lon <= 20)", lambda L: L.live().where(P.Viewport.of(70, -50, 170, 380).holds()).select("photo_id"))
 q("SP04", "SELECT photo_id, lat, lon FROM live WHERE lat IS NOT NULL ORDER BY taken DESC NULLS LAST, photo_id DESC LIMIT 100000", lambda L: L.live().where("lat is not null").orderBy(col("taken").desc_nulls_last(), col("photo_id").desc()).limit(100_000).select("photo_id", "lat", "lon"))
 q("SP05", "SELECT photo_id, file_name FROM live WHERE photo_id IN (3, 5, 8, 13, 21, 34, 55, 89)", lambda L: X.in_given_order(L.live(), "photo_id", [3, 5, 8, 13, 21, 34, 55, 89]).select("photo_id", "file_name"))

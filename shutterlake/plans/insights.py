@@ -61,7 +61,7 @@ q("AG21", "SELECT f.cluster_id, count(*) AS faces, (SELECT count(DISTINCT photo_
 q("AG22", "SELECT count(*) AS faces, count(DISTINCT cluster_id) AS people FROM faces WHERE user_confirmed = 0", lambda L: L.faces().where("user_confirmed = 0").agg(F.count("*").alias("faces"), F.countDistinct("cluster_id").alias("people")))
 _HOME = "home AS (SELECT city, country, count(DISTINCT strftime(taken, '%Y-%W')) AS weeks, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon FROM live WHERE taken IS NOT NULL AND city IS NOT NULL AND lat IS NOT NULL GROUP BY city, country ORDER BY weeks DESC, city, country LIMIT 1)"
 q("AG23", "SELECT city, country, weeks FROM home", lambda L: I.home_city(L.live()).select("city", "country", "weeks"), _HOME)
-q("AG24", "SELECT city, country, round(avg(lat), 3) AS lat, round(avg(lon), 3) AS lon FROM live WHERE city IS NOT NULL AND lat IS NOT NULL GROUP BY ALL", lambda L: L.live().where("city is not null and lat is not null").groupBy("city", "country").agg(F.round(F.avg("lat"), 3).alias("lat"), F.round(F.avg("lon"), 3).alias("lon")))
+q("AG24", "SELECT city, country, round(avg(lat) + 1e-7::DOUBLE, 3) AS lat, round(avg(lon) + 1e-7::DOUBLE, 3) AS lon FROM live WHERE city IS NOT NULL AND lat IS NOT NULL GROUP BY ALL", lambda L: L.live().where("city is not null and lat is not null").groupBy("city", "country").agg(F.round(F.avg("lat") + 1e-7, 3).alias("lat"), F.round(F.avg("lon") + 1e-7, 3).alias("lon")))
 q("AG25", "SELECT city, country, round(count(DISTINCT strftime(taken, '%Y-%W'))::DOUBLE / (SELECT count(DISTINCT strftime(taken, '%Y-%W')) FROM live WHERE taken IS NOT NULL), 6) AS rarity FROM live WHERE taken IS NOT NULL AND city IS NOT NULL GROUP BY city, country", lambda L: L.live().where("taken is not null and city is not null").groupBy("city", "country").agg(F.countDistinct(X.year_week("taken")).alias("w")).crossJoin(F.broadcast(L.live().where("taken is not null").agg(F.countDistinct(X.year_week("taken")).alias("all")))).select("city", "country", F.round(col("w").cast("double") / col("all"), 6).alias("rarity")))
 q("AG26", "SELECT count(*) AS n, CAST(coalesce(sum(file_size), 0) AS BIGINT) AS bytes FROM ph WHERE trashed", lambda L: L.photos().where("trashed").agg(F.count("*").alias("n"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("bytes")))
 q("AG27", "SELECT count(*) FILTER (WHERE taken IS NULL) AS undated, count(*) FILTER (WHERE lat IS NULL) AS unplaced, count(*) FILTER (WHERE lat IS NOT NULL AND city IS NULL) AS ungeocoded, count(*) FILTER (WHERE width IS NULL) AS unsized, count(*) FILTER (WHERE lower(file_name) LIKE '%.heic') AS heic, count(*) FILTER (WHERE file_path NOT IN (SELECT file_path FROM listing)) AS missing_files FROM live", lambda L: L.live().join(listing(L).select("file_path", F.lit(True).alias("there")), "file_path", "left").agg(F.count_if(col("taken").isNull()).alias("undated"), F.count_if(col("lat").isNull()).alias("unplaced"), F.count_if(col("lat").isNotNull() & col("city").isNull()).alias("ungeocoded"), F.count_if(col("width").isNull()).alias("unsized"), F.count_if(F.lower("file_name").endswith(".heic")).alias("heic"), F.count_if(col("there").isNull()).alias("missing_files")), _LIST)

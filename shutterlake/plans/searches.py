@@ -71,7 +71,7 @@ q("NL06", "SELECT photo_id FROM live WHERE photo_id IN (SELECT photo_id FROM ide
 q("NL06_only", "SELECT photo_id FROM live l WHERE photo_id IN (SELECT photo_id FROM identities WHERE cluster_id = (SELECT a FROM who)) AND NOT EXISTS (SELECT 1 FROM faces f WHERE f.photo_id = l.photo_id AND f.cluster_id IS DISTINCT FROM (SELECT a FROM who)) AND NOT EXISTS (SELECT 1 FROM inferred i WHERE i.photo_id = l.photo_id AND i.cluster_id <> (SELECT a FROM who))", lambda L: search(L, f"only {_first_person(L)}"), _P)
 q("NL06_country", "SELECT photo_id FROM live WHERE country = 'Kestria' AND taken BETWEEN TIMESTAMP '2020-06-01' AND TIMESTAMP '2020-08-31 23:59:59'", lambda L: search(L, "Kestria summer 2020"))
 q("NL06_album", "SELECT photo_id FROM live WHERE photo_id IN (SELECT photo_id FROM album_photos WHERE lower(album) LIKE '%scans%' )", lambda L: search(L, "album Scans"))
-q("NL07", f"SELECT l.photo_id FROM live l LEFT JOIN ranked r ON r.photo_id = l.photo_id WHERE ({_TEXT}) OR r.rank IS NOT NULL ORDER BY r.rank NULLS LAST, taken DESC NULLS LAST, l.photo_id DESC LIMIT 500", lambda L: run(L, Q.Plan(text="granite"), Q.ranked(L.table("semantic_candidate").where(col("score").between(0, 1))), 500), _SC)
+q("NL07", f"SELECT l.photo_id FROM live l LEFT JOIN ranked r ON r.photo_id = l.photo_id WHERE ({_TEXT}) OR r.rank IS NOT NULL ORDER BY r.rank NULLS LAST, taken DESC NULLS LAST, l.photo_id DESC LIMIT 500", lambda L: run(L, Q.Plan(text="granite"), Q.ranked(L.candidates()), 500), _SC)
 q("NL08", "SELECT name FROM (SELECT DISTINCT name FROM clusters WHERE contains(lower(name), 'son 1')) ORDER BY starts_with(lower(name), 'son 1') DESC, length(name), name LIMIT 10", lambda L: Q.hits(L.clusters(), "name", "son 1").select("name"))
 q("NL08_places", "SELECT city FROM (SELECT DISTINCT city FROM live WHERE contains(lower(city), 'br')) ORDER BY starts_with(lower(city), 'br') DESC, length(city), city LIMIT 10", lambda L: Q.hits(L.live(), "city", "br").select("city"))
 q("NL09", "SELECT * FROM (VALUES ('date'), ('country:Kestria'), ('favorite'), ('media:video'), ('text:dog')) v(chip)", lambda L: L.spark.createDataFrame([(c,) for c in Q.compile_search("starred videos Kestria dog 2021", Q.Names(countries=("Kestria",)), TODAY).chips], "chip string"))
@@ -80,4 +80,4 @@ q("NL11", "SELECT photo_id FROM live WHERE country = 'Hestria' AND media_type =
 q("NL12", "SELECT city FROM (SELECT DISTINCT city, regexp_replace(lower(city), '[^\\w]|_', '', 'g') AS s FROM live WHERE city IS NOT NULL) WHERE starts_with(s, 'mor') OR starts_with(s, 'm') ORDER BY NOT starts_with(s, 'mor'), length(city), city LIMIT 5", lambda L: L.spark.createDataFrame([(c,) for c in Q.fuzzy("mor", [r.city for r in L.live().where("city is not null").select("city").distinct().collect()])], "city string"))
 q("NL13", "SELECT photo_id FROM live WHERE (country = 'Kestria' OR country = 'Hestria') AND NOT favorite", lambda L: Q.combined([search(L, "Kestria"), search(L, "Hestria")], "union", search(L, "favorites")))
 q("NL13_both", "SELECT photo_id FROM live WHERE country = 'Kestria' AND taken BETWEEN TIMESTAMP '2021-01-01' AND TIMESTAMP '2021-12-31 23:59:59'", lambda L: Q.combined([search(L, "Kestria"), search(L, "2021")], "intersect"))
-q("NL14", "SELECT photo_id, rank FROM ranked", lambda L: Q.ranked(L.table("semantic_candidate").where(col("score").between(0, 1))), _SC)
+q("NL14", "SELECT photo_id, rank FROM ranked", lambda L: Q.ranked(L.candidates()), _SC)

@@ -168,11 +168,11 @@ def _wn09(L: Library) -> DataFrame:
     return T.islands(p, ["folder"], ["taken", "photo_id"], col("gap").isNull() | (col("gap") > 14400)).select("photo_id", "folder", "island")
 
 
-_SC = "sem AS (SELECT photo_id, max(score) AS score FROM semantic_candidate WHERE score BETWEEN 0 AND 1 GROUP BY photo_id), ranked AS (SELECT photo_id, row_number() OVER (ORDER BY score DESC, photo_id) AS rank FROM sem ORDER BY rank LIMIT 300)"
+_SC = "sem AS (SELECT photo_id, max(score) AS score FROM candidates GROUP BY photo_id), ranked AS (SELECT photo_id, row_number() OVER (ORDER BY score DESC, photo_id) AS rank FROM sem ORDER BY rank LIMIT 300)"
 
 
 def _ranked(L: Library) -> DataFrame:
-    s = L.table("semantic_candidate").where(col("score").between(0, 1)).groupBy("photo_id").agg(F.max("score").alias("score"))
+    s = L.candidates().groupBy("photo_id").agg(F.max("score").alias("score"))
     s = s.orderBy(col("score").desc(), "photo_id").limit(300)
     return s.withColumn("rank", F.row_number().over(W.partitionBy().orderBy(col("score").desc(), "photo_id")).cast("long")).select("photo_id", "rank")  # 300 rows
 

@@ -61,10 +61,15 @@ class Library:
 
     def inferred(self) -> DataFrame:
         """(photo_id, cluster_id): identities that an earlier search inferred with a score of at least 0.95."""
-        s = self.table("semantic_candidate").where((F.col("score") >= 0.95) & (F.col("score") <= 1.0)).select(F.col("query_face_id").alias("face_id"), F.col("photo_id").alias("at"))
+        s = self.table("semantic_candidate").where((F.col("score").cast("double") >= 0.95) & (F.col("score").cast("double") <= 1.0)).select(F.col("query_face_id").alias("face_id"), F.col("photo_id").alias("at"))
         f = self.faces().select("face_id", "cluster_id").where(F.col("cluster_id").isNotNull())
         return s.join(f, "face_id").select(F.col("at").alias("photo_id"), "cluster_id").distinct()
 
+    def candidates(self) -> DataFrame:
+        """(photo_id, score) of an earlier search, without impossible scores."""
+        s = self.table("semantic_candidate").select("photo_id", F.col("score").cast("double").alias("score"))
+        return s.where(~F.isnan("score") & F.col("score").between(0, 1))
+
     def identities(self) -> DataFrame:
         """Direct and inferred identities, each once."""
         direct = self.faces().where(F.col("cluster_id").isNotNull()).select("photo_id", "cluster_id")
@@ -115,8 +120,9 @@ faces AS (
   FROM cluster_input GROUP BY face_id
 ), inferred AS (
   SELECT DISTINCT s.photo_id, f.cluster_id FROM semantic_candidate s JOIN faces f ON f.face_id = s.query_face_id
-  WHERE s.score >= 0.95 AND s.score <= 1.0 AND f.cluster_id IS NOT NULL
-), identities AS (SELECT photo_id, cluster_id FROM faces WHERE cluster_id IS NOT NULL UNION SELECT photo_id, cluster_id FROM inferred),
+  WHERE CAST(s.score AS DOUBLE) >= 0.95::DOUBLE AND CAST(s.score AS DOUBLE) <= 1 AND f.cluster_id IS NOT NULL
+), candidates AS (SELECT photo_id, CAST(score AS DOUBLE) AS score FROM semantic_candidate WHERE NOT isnan(score) AND CAST(score AS DOUBLE) BETWEEN 0 AND 1),
+identities AS (SELECT photo_id, cluster_id FROM faces WHERE cluster_id IS NOT NULL UNION SELECT photo_id, cluster_id FROM inferred),
 clusters AS (SELECT DISTINCT cluster_id, CASE WHEN cluster_id % 7 <> 0 THEN 'Person ' || cluster_id END AS name FROM faces WHERE cluster_id IS NOT NULL),
 album_photos AS (
   SELECT a.album, p.photo_id, a.added_at FROM

@@ -111,4 +111,4 @@ def best_city(points: DataFrame, cities: DataFrame, key: str, km: float = 100.0,
     j = p.join(c, ["_y", "_x"]).withColumn("_dx", F.least(gap, F.lit(360.0) - gap)).withColumn("_dy", F.abs(col("lat") - col("_la")))
     j = j.where((col("_dx") <= 2) & (col("_dy") <= 2)).withColumn("km", X.haversine_km(col("lat"), col("lon"), col("_la"), col("_lo"), EARTH_KM)).where(col("km") <= km)
     rank = F.struct(((col("_dx") > 1) | (col("_dy") > 1)).alias("far"), "_pr", F.round("km", 6).alias("d"), "city_id")
-    return j.groupBy(key).agg(F.min(rank).alias("r")).select(key, col("r.city_id").alias("city_id"), F.round("r.d", 3).alias("km"))
+    return j.groupBy(key).agg(F.min(rank).alias("r")).select(key, col("r.city_id").alias("city_id"), F.round(col("r.d") + 1e-7, 3).alias("km"))

@@ -132,7 +132,7 @@ _PR = "CASE feature_code " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in P.PRIOR
 _BC = f"""cand AS (SELECT p.photo_id, c.id AS city_id, abs(p.lat - c.latitude) AS dy, least(abs(p.lon - c.longitude), 360 - abs(p.lon - c.longitude)) AS dx, {_PR} AS pr,
   2 * 6371.0 * asin(sqrt(least(1.0, power(sin(radians(c.latitude - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(c.latitude)) * power(sin(radians(c.longitude - p.lon) / 2), 2)))) AS km
   FROM live p JOIN cities c ON c.population >= 100000 AND c.latitude BETWEEN p.lat - 2 AND p.lat + 2 WHERE p.lat IS NOT NULL),
-best AS (SELECT photo_id, city_id, round(round(km, 6), 3) AS km FROM (SELECT *, row_number() OVER (PARTITION BY photo_id ORDER BY dx > 1 OR dy > 1, pr, round(km, 6), city_id) AS rn FROM cand WHERE dx <= 2 AND km <= 100) WHERE rn = 1)"""
+best AS (SELECT photo_id, city_id, round(round(km, 6) + 1e-7::DOUBLE, 3) AS km FROM (SELECT *, row_number() OVER (PARTITION BY photo_id ORDER BY dx > 1 OR dy > 1, pr, round(km, 6), city_id) AS rn FROM cand WHERE dx <= 2 AND km <= 100) WHERE rn = 1)"""
 q("SP06", "SELECT photo_id, city_id, km FROM best", lambda L: P.best_city(L.live(), L.cities(), "photo_id"), _BC)
 q("JN13", "SELECT photo_id, city_id, km FROM best WHERE km <= 50", lambda L: P.best_city(L.live(), L.cities(), "photo_id").where("km <= 50"), _BC)
 q("SP07", "SELECT photo_id FROM live WHERE lat IS NOT NULL AND least(abs(lon - 179.5), 360 - abs(lon - 179.5)) <= 4", lambda L: L.live().where("lat is not null").where(F.lit(False) | _either(P.wrapped_ranges(179.5, 4))).select("photo_id"))

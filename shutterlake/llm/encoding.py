@@ -29,6 +29,8 @@ RARE = -9.0
 GAIN, GAIN_EACH = 5.0, 1.0
 #: The same for a reading as UTF-8, whose validity says much already.
 UTF8_GAIN, UTF8_EACH = 1.0, 0.3
+#: Log-odds of each kind before any was found: valid UTF-8 is no accident, a passage of few letters fits many code pages.
+UTF8_ODDS, ONE_BYTE_ODDS, SAME_TEXT_ODDS = 6.0, -3.0, 4.0
 #: What each further swap on top of another must gain more.
 AGAIN = 3.0
 REMEMBER = 100_000
@@ -88,9 +90,13 @@ class Restorer:
         total = sum(counts.values()) or 1.0
         self.log = {g: math.log((n + SMOOTH) / total) for g, n in counts.items()}
         self.unseen = math.log(SMOOTH / total)
-        self.swaps = {k: math.log1p(n) for k, n in swaps.items()}
+        every = Counter()
+        for (_, how), n in swaps.items():
+            every[how] += n
+        #: Log-odds of a swap: how often it was found in the source, and, for less, anywhere.
+        self.swaps = {(src, how): math.log1p(n + every[how] / 10) for (src, how), n in swaps.items()} | {("\n", how): math.log1p(n / 10) for how, n in every.items()}
         self.one_byte = one_byte
-        self.known: dict[tuple[str, str], tuple[str, str | None]] = {}
+        self.known: dict[tuple[str, str, str | None], tuple[str, str | None]] = {}
         self.scores: dict[str, tuple[float, int]] = {}
 
     def _score(self, around: str) -> tuple[float, int]:
@@ -103,13 +109,13 @@ class Restorer:
             v = self.scores[around] = sum(get(g, u) for g in pairs), len(pairs)
         return v
 
-    def _gain(self, p: str, c: str, utf8: bool) -> tuple[float, int, str]:
-        """(log-likelihood gained, bigrams, reading) by reading ``p`` as ``c``, over the runs that differ.
+    def _gain(self, p: str, c: str, utf8: bool) -> tuple[float, int, float, str]:
+        """(gain per bigram times bigrams, bigrams, log-likelihood gained, reading) by reading ``p`` as ``c``, over the runs that differ.
 
-        Runs have other lengths in bytes of several; their means are compared, weighted by the length restored. Of a reading as UTF-8 only the
-        runs that gain are taken, since its other runs may be fine as they are.
+        Runs get shorter by reading several bytes as one letter; whether to accept a reading is judged by means, weighted by the length restored, and which
+        of two readings is better by the whole likelihood. Of a reading as UTF-8 only the runs that gain are taken, since its other runs may be fine as they are.
         """
-        gain, n, out, at = 0.0, 0, [], 1
+        gain, n, total, out, at = 0.0, 0, 0.0, [], 1
         p, c = f" {p} ", f" {c} "
         for a, b in zip(NON_ASCII.finditer(p), NON_ASCII.finditer(c)):
             if a[0] == b[0]:
@@ -123,10 +129,11 @@ class Restorer:
                 continue
             gain += own
             n += nc
+            total += sc - so
             if utf8:
                 out += [p[at : a.start()], b[0]]
                 at = a.end()
-        return gain, n, "".join([*out, p[at:-1]]) if utf8 else c[1:-1]
+        return gain, n, total, "".join([*out, p[at:-1]]) if utf8 else c[1:-1]
 
     def _candidates(self, p: str) -> Iterator[tuple[str, str, bool]]:
         """(reading, swap, whether from UTF-8) of a passage."""
@@ -173,36 +180,35 @@ class Restorer:
                     (so, no), (sc, nc) = self._score(f" {x} "), self._score(f" {d} ")
                     own = nc * (sc / nc - so / no)
                     if own > GAIN and own > GAIN_EACH * nc:
-                        gain += own
+                        gain += sc - so
                         x = d
                 new.append(x)
             if gain > best:
                 best, out = gain, (gain, " ".join(new), f"{w}>{read}")
         return out
 
-    def _once(self, p: str, source: str) -> tuple[str, str | None]:
+    def _once(self, p: str, source: str, favoured: str | None) -> tuple[str, str | None]:
         best, found, how = 0.0, p, None
         for d, k, utf8 in self._candidates(p):
-            gain, n, d = self._gain(p, d, utf8)
-            if n and gain >= (UTF8_GAIN if utf8 else GAIN) and gain >= (UTF8_EACH if utf8 else GAIN_EACH) * n:
-                gain += 0.2 * self.swaps.get((source, k), 0.0) - AGAIN * (k.count(">") - 1)
-                if gain > best:
-                    best, found, how = gain, d, k
+            gain, n, total, d = self._gain(p, d, utf8)
+            odds = self.swaps.get((source, k), self.swaps.get(("\n", k), 0.0)) - AGAIN * (k.count(">") - 1) + (UTF8_ODDS if utf8 else ONE_BYTE_ODDS) + (SAME_TEXT_ODDS if k == favoured else 0.0)
+            if n and gain >= (UTF8_EACH if utf8 else GAIN_EACH) * n and (gain >= UTF8_GAIN if utf8 else gain + odds >= GAIN) and total + odds > best:
+                best, found, how = total + odds, d, k
         wide = self._wide(p, best) if self.one_byte else None
         return wide[1:] if wide else (found, how)
 
-    def passage(self, p: str, source: str) -> tuple[str, str | None]:
-        """(restored, swap or None) of one passage."""
+    def passage(self, p: str, source: str, favoured: str | None = None) -> tuple[str, str | None]:
+        """(restored, swap or None) of one passage; ``favoured`` is the swap of most other passages of its text."""
         if p.isascii():
             return p, None
-        key = (p, source)
+        key = (p, source, favoured)
         if key in self.known:
             return self.known[key]
         lead = len(p) - len(p.lstrip(" \t\r\n"))
         body = p[lead:].rstrip(" \t\r\n")
         s, how = body, None
         for _ in range(3):  # a passage may be garbled in parts, in several ways
-            s2, k = self._once(s, source)
+            s2, k = self._once(s, source, favoured)
             if k is None:
                 break
             s, how = s2, how or k
@@ -213,15 +219,17 @@ class Restorer:
         return out
 
     def text(self, t: str, source: str) -> tuple[str, bool]:
-        """(restored text, whether any of it was garbled)."""
+        """(restored text, whether any of it was garbled). A text is read twice: the swap of most of its passages is likelier for the others."""
         if t.isascii():
             return t, False
-        out, hit = [], False
-        for p in passages(t):
-            s, how = self.passage(p, source)
-            out.append(s)
-            hit = hit or how is not None
-        return "".join(out), hit
+        parts = passages(t)
+        out = [self.passage(p, source) for p in parts]
+        swaps = Counter(how for _, how in out if how)
+        if not swaps:
+            return t, False
+        favoured = min(swaps, key=lambda k: (-swaps[k], k))
+        out = [self.passage(p, source, favoured) for p in parts]
+        return "".join(s for s, _ in out), any(how for _, how in out)
 
 
 def _source(c: str) -> F.Column:

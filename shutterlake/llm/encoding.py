@@ -63,6 +63,7 @@ def _may_be_utf8(read: str) -> re.Pattern[str]:
     return re.compile(kind(0xC2, 0xF4) + kind(0x80, 0xBF))
 
 
+@lru_cache(1 << 16)
 def _utf8_in(run: str, read: str) -> str:
     """``run`` with its valid UTF-8 sequences, as ``read`` shows them, decoded."""
     codes = byte_of(read)
@@ -151,15 +152,18 @@ class Restorer:
             todo = more
         if not self.one_byte:
             return
-        grams = bigrams(p)
-        if not grams or min(self.log.get(g, self.unseen) for g in grams) > RARE:
+        get, unseen = self.log.get, self.unseen
+        worst = min(bigrams(p), key=lambda g: get(g, unseen), default="  ")
+        least = get(worst, unseen)
+        if least > RARE:
             return
         chars = {ord(c) for c in p if c > "\x7f"}
         ascii_letters = sum(1 for c in p if c < "\x80" and c.isalpha())
         strange = 2 * _foreign(p) < ascii_letters
         for read, w in _ONE_BYTE:
             t = table(read, w)
-            if chars <= t.keys():
+            # The rarest bigram of a garbled passage has to become likelier; that rules most swaps out at once.
+            if chars <= t.keys() and get(worst.translate(t), unseen) > least + 1.0:
                 d = p.translate(t)
                 if d not in seen:
                     seen.add(d)

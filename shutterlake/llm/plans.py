@@ -18,6 +18,13 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return clusters.clustered(_table(spark, d, "cluster_input"), "face_id", "embedding").select("cluster_key", F.col("id").alias("face_id"))
 
 
+def p2_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Size and most typical faces of each group."""
+    from shutterlake.llm import clusters
+
+    return clusters.profiles(_table(spark, d, "cluster_input"), "face_id", "embedding").withColumnRenamed("id", "face_id")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from shutterlake.llm import canonical
 
@@ -73,6 +80,6 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p2_found": p2_found, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found,
+    "p2_found": p2_found, "p2_profiles": p2_profiles, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found,
 }
 SQL: dict[str, str] = {}

@@ -58,6 +58,24 @@ def test_clusters_equal_brute_force(spark, monkeypatch) -> None:  # noqa: ANN001
     assert set(got) == want
 
 
+def test_profiles(spark) -> None:  # noqa: ANN001
+    x = people(6, 120, 10, 0.05)
+    _, lab = truth(x)
+    u = x.astype(np.float32).astype(np.float64)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    want = {}
+    for g in set(lab.tolist()):
+        r = np.flatnonzero(lab == g)
+        if len(r) > 1:
+            c = u[r].sum(0)
+            sim = np.round(u[r] @ c / np.linalg.norm(c), 6)
+            want[g + 1] = (len(r), [int(r[k]) + 1 for k in sorted(range(len(r)), key=lambda k: (-sim[k], r[k]))[:3]])
+    got: dict = {}
+    for r in sorted(clusters.profiles(table(spark, x, UNUSABLE), "face_id", "embedding").collect(), key=lambda r: r.rank):
+        got.setdefault(r.cluster_key, (r.size, []))[1].append(r.id)
+    assert got == want
+
+
 def test_a_hot_cluster_and_a_chain(spark, monkeypatch) -> None:  # noqa: ANN001
     monkeypatch.setattr(vectors, "CHUNK", 50)
     monkeypatch.setattr(vectors, "TASK_ROWS", 40)

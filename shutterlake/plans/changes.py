@@ -148,3 +148,86 @@ def _sessions(L: Library) -> DataFrame:
     w = F.session_window("ts", "4 minutes").alias("w")
     e = _events(L).withWatermark("ts", "1 minute").groupBy(w, "event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
     return S.collected(e.select("event_type", "n", "first_id"), "complete")
+
+
+# Readers of files: the tables are written as such files first, then read whole
+def _be4(c: F.Column) -> F.Column:
+    return F.unhex(F.lpad(F.hex(c), 8, "0"))
+
+
+_ASCII = F.encode(F.lit("Exif"), "utf-8")
+
+
+def _exif(L: Library) -> DataFrame:
+    """EXIF blocks with the maker of each photo, read back."""
+    p = L.table("photos").select(col("id").alias("photo_id"), F.encode(F.concat("camera_make", F.lit("\x00\x00\x00\x00\x00")), "utf-8").alias("m")).where("m is not null").dropDuplicates(["photo_id"])
+    n = F.length("m").cast("long")
+    head = F.concat(_ASCII, F.unhex(F.lit("00004D4D002A000000080001010F0002")), _be4(n), F.unhex(F.lit("0000001A00000000")), col("m"))
+    return N.exif(p.select(col("photo_id").cast("string").alias("path"), head.alias("content"))).select(col("path").cast("long").alias("photo_id"), F.coalesce("make", F.lit("")).alias("make"))
+
+
+q("SC08", "SELECT id AS photo_id, any_value(trim(string_split(camera_make, chr(0))[1])) AS make FROM photos WHERE camera_make IS NOT NULL AND regexp_full_match(camera_make, '[ -~\\x00]*') GROUP BY id", lambda L: _exif(L).join(L.table("photos").where(col("camera_make").rlike(r"^[ -~\x00]*$")).select(col("id").alias("photo_id")), "photo_id", "left_semi"))
+
+
+def _videos(L: Library) -> DataFrame:
+    """Movie headers with each file's time, read back."""
+    p = L.photos().where("mtime > 0 and mtime < 2000000000")
+    head = F.concat(F.encode(F.lit("ftypmoov...lmvhd"), "utf-8"), _be4(F.lit(0).cast("long")), _be4(col("mtime") + 2_082_844_800), _be4(F.lit(0).cast("long")))
+    return N.video_dates(p.select(col("photo_id").cast("string").alias("path"), head.alias("content"))).select(col("path").cast("long").alias("photo_id"), "taken")
+
+
+q("SC12", "SELECT photo_id, make_timestamp(mtime * 1000000) AS taken FROM ph WHERE mtime > 0 AND mtime < 2000000000", _videos)
+
+
+def _tsv(L: Library) -> DataFrame:
+    from shutterlake.session import shared_dir
+
+    base = f"{shared_dir(L.spark)}/places"
+    c = L.cities().where("name is not null")
+    cols = [col("id"), col("name"), col("ascii_name"), F.lit(""), col("latitude"), col("longitude"), F.lit("P"), col("feature_code"), col("country_code"), *[F.lit("")] * 5, col("population"), F.lit(""), F.lit(""), col("timezone"), F.lit("")]
+    text = F.concat_ws("\t", *[F.coalesce(x.cast("string"), F.lit("")) for x in cols])
+    c.select(text.alias("value")).write.mode("overwrite").text(f"{base}/cities")
+    n = c.select(F.concat_ws("\t", "country_code", F.lit("x"), F.lit("x"), F.lit("x"), "country_name").alias("value")).where("country_name is not null").distinct()
+    n.write.mode("overwrite").text(f"{base}/countries")
+    return N.tsv_cities(L.spark, f"{base}/cities", f"{base}/countries", 100_000).select("id", "ascii_name", "country_name", "population", "latitude")
+
+
+q("SC14", "SELECT id, ascii_name, coalesce(country_name, country_code) AS country_name, population, latitude FROM cities WHERE population >= 100000", _tsv)
+
+
+def _zips(L: Library) -> DataFrame:
+    """An archive per document, and what its directory says."""
+    import io
+    import zipfile
+
+    import pyarrow as pa
+
+    def pack(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            out = []
+            for t in b.column(1).to_pylist():
+                f = io.BytesIO()
+                with zipfile.ZipFile(f, "w") as z:
+                    z.writestr("Takeout/note.json", t)
+                out.append(f.getvalue())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["path", "content"])
+
+    d = L.table("documents").where("text is not null").select(col("doc_id").cast("string").alias("path"), "text")
+    return N.zip_inventory(d.mapInArrow(pack, "path string, content binary")).select(col("archive").cast("long").alias("doc_id"), "size", "is_sidecar")
+
+
+q("SC16", "SELECT doc_id, octet_length(encode(text)) AS size, true AS is_sidecar FROM documents WHERE text IS NOT NULL", _zips)
+
+
+def _published(L: Library) -> DataFrame:
+    """Two versions of the library's photos; readers see the last."""
+    from shutterlake.session import shared_dir
+
+    folder = f"{shared_dir(L.spark)}/versions"
+    p = L.photos().select("photo_id", "trashed")
+    M.publish(p, folder)
+    M.publish(p.where("not trashed"), folder)
+    return M.current(L.spark, folder).select("photo_id")
+
+
+q("SC20", "SELECT photo_id FROM live", _published)

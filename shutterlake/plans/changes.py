@@ -155,14 +155,11 @@ def _be4(c: F.Column) -> F.Column:
     return F.unhex(F.lpad(F.hex(c), 8, "0"))
 
 
-_ASCII = F.encode(F.lit("Exif"), "utf-8")
-
-
 def _exif(L: Library) -> DataFrame:
     """EXIF blocks with the maker of each photo, read back."""
     p = L.table("photos").select(col("id").alias("photo_id"), F.encode(F.concat("camera_make", F.lit("\x00\x00\x00\x00\x00")), "utf-8").alias("m")).where("m is not null").dropDuplicates(["photo_id"])
     n = F.length("m").cast("long")
-    head = F.concat(_ASCII, F.unhex(F.lit("00004D4D002A000000080001010F0002")), _be4(n), F.unhex(F.lit("0000001A00000000")), col("m"))
+    head = F.concat(F.encode(F.lit("Exif"), "utf-8"), F.unhex(F.lit("00004D4D002A000000080001010F0002")), _be4(n), F.unhex(F.lit("0000001A00000000")), col("m"))
     return N.exif(p.select(col("photo_id").cast("string").alias("path"), head.alias("content"))).select(col("path").cast("long").alias("photo_id"), F.coalesce("make", F.lit("")).alias("make"))
 
 

@@ -167,9 +167,3 @@ def near_in_time(rows: DataFrame, key: str, t: str, keys: list[str], width: int)
     a = rows.select(*keys, col(key).alias("a"), col(t).alias("ta"), F.floor(col(t) / width).alias("_b"))
     b = rows.select(*keys, col(key).alias("b"), col(t).alias("tb"), F.explode(F.array(*[F.floor(col(t) / width) + k for k in (-1, 0, 1)])).alias("_b"))
     return a.join(b, [*keys, "_b"]).where((col("a") < col("b")) & (F.abs(col("ta") - col("tb")) <= width)).select("a", "b", F.abs(col("ta") - col("tb")).alias("delta"))
-
-
-def share(part: Column, whole: Column) -> Column:
-    return F.round(part.cast("double") / whole, 6)
-
-

@@ -84,12 +84,6 @@ def neighbours(df: DataFrame, date: str = "taken", key: str = "photo_id") -> Dat
     return j.select(key, F.coalesce("prev_id", "before").alias("prev_id"), F.coalesce("next_id", "behind").alias("next_id"))
 
 
-def islands(df: DataFrame, keys: list[str], order: list[str], starts: Column, name: str = "island") -> DataFrame:
-    """Number the runs within ``keys`` in ``order``; a row for which ``starts`` holds begins a run."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(name, F.sum(starts.cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-
-
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """The first ``n`` rows of each group; a group limit runs before the shuffle."""
     return df.withColumn("rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long")).where(F.col("rn") <= n)

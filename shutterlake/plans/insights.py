@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shutterlake.functions import exprs as X
 from shutterlake.operators import insights as I
+from shutterlake.operators.segments import gap_islands
 from shutterlake.plans.timeline import _IDS, _LIST, _ST, listing, stacks, suggested
 from shutterlake.sources.library import Library, sql
 
@@ -48,11 +48,8 @@ _BU = "seq AS (SELECT photo_id, taken, regexp_replace(file_path, '/[^/]*$', '')
 
 def runs(L: Library, gap: int = 600) -> DataFrame:
     """Photos of a folder in runs without a gap of more than ``gap`` seconds."""
-    from shutterlake.operators.timeline import islands
-
     p = L.live().where("taken is not null").select("photo_id", "taken", X.folder("file_path").alias("folder"))
-    p = p.withColumn("gap", X.seconds("taken") - F.lag(X.seconds("taken")).over(W.partitionBy("folder").orderBy("taken", "photo_id")))
-    return islands(p, ["folder"], ["taken", "photo_id"], col("gap").isNull() | (col("gap") > gap), "run")
+    return gap_islands(p, ["folder"], gap, name="run")
 
 
 q("AG19", "SELECT folder, min(photo_id) AS first_id, count(*) AS n FROM runs GROUP BY folder, run HAVING count(*) > 1", lambda L: runs(L).groupBy("folder", "run").agg(F.min("photo_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("run"), _BU)

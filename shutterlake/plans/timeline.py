@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shutterlake.functions import exprs as X
 from shutterlake.operators import timeline as T
+from shutterlake.operators.segments import gap_islands
 from shutterlake.sources.library import Library, sql
 
 Query = Callable[[Library], DataFrame]
@@ -163,9 +164,7 @@ _GAP = "SELECT photo_id, folder, sum(CASE WHEN gap IS NULL OR gap > 14400 THEN 1
 @add("WN09", _GAP)
 def _wn09(L: Library) -> DataFrame:
     p = L.live().where("taken is not null").select("photo_id", "taken", X.folder("file_path").alias("folder"))
-    gap = X.seconds("taken") - F.lag(X.seconds("taken")).over(W.partitionBy("folder").orderBy("taken", "photo_id"))
-    p = p.withColumn("gap", gap)
-    return T.islands(p, ["folder"], ["taken", "photo_id"], col("gap").isNull() | (col("gap") > 14400)).select("photo_id", "folder", "island")
+    return gap_islands(p, ["folder"], 14400).select("photo_id", "folder", "island")
 
 
 _SC = "sem AS (SELECT photo_id, max(score) AS score FROM candidates GROUP BY photo_id), ranked AS (SELECT photo_id, row_number() OVER (ORDER BY score DESC, photo_id) AS rank FROM sem ORDER BY rank LIMIT 300)"

@@ -1,7 +1,7 @@
 """Faces and people: retrieval from a gallery, constrained clustering, unification and upkeep.
 
 Scores of all pairs that matter come from blocked matrix products on the executors. The merges that depend on their order (each one changes which
-next ones are allowed) run over a bounded list of the best edges.
+next ones are allowed) run per connected component, or over a bounded list of the best edges where the reference has such a bound.
 """
 
 from __future__ import annotations
@@ -14,12 +14,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shutterlake.operators.graph import components
 from shutterlake.operators.timeline import top_per_group
+from shutterlake.session import written
 
 col = F.col
 DIMS = 64
 #: Exemplars per broadcast block of a gallery (50 MB); a larger gallery takes several passes.
 BLOCK = 100_000
+#: Similarities that a task holds at once (32 MB).
+CELLS = 4_000_000
 #: Edges that one ordered merge takes, the best first.
 MAX_EDGES = 50_000
 LOW, HIGH, GAP = 0.40, 0.65, 0.12
@@ -53,15 +57,17 @@ def matches(faces: DataFrame, gallery: DataFrame, min_sim: float) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             clusters, ids, g = shared.value
+            step = max(1, min(1024, CELLS // max(1, len(g))))
             for b in batches:
-                for s in range(0, b.num_rows, 1024):
-                    p = b.slice(s, 1024)
+                for s in range(0, b.num_rows, step):
+                    p = b.slice(s, step)
                     own = np.asarray(p.column(0))
-                    sim = np.round(_matrix(p.column(1)) @ g.T, 6)
-                    i, j = np.nonzero(sim >= min_sim)
-                    keep = own[i] != ids[j]
-                    i, j = i[keep], j[keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(clusters[j]), pa.array(ids[j]), pa.array(sim[i, j])], names=["face_id", "cluster_id", "exemplar", "sim"])
+                    raw = _matrix(p.column(1)) @ g.T
+                    i, j = np.nonzero(raw >= min_sim - 1e-6)
+                    sim = np.round(raw[i, j], 6)
+                    keep = (sim >= min_sim) & (own[i] != ids[j])
+                    i, j, sim = i[keep], j[keep], sim[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(clusters[j]), pa.array(ids[j]), pa.array(sim)], names=["face_id", "cluster_id", "exemplar", "sim"])
 
         x = faces.select("face_id", "unit").mapInArrow(run, "face_id long, cluster_id long, exemplar long, sim double")
         out = x if out is None else out.unionByName(x)
@@ -131,6 +137,7 @@ def ordered_union(edges: pd.DataFrame, barred: set[tuple[int, int]], photos: dic
         bars.setdefault(a, set()).add(b)
         bars.setdefault(b, set()).add(a)
     members: dict[int, set[int]] = {}
+    none: set[int] = set()
 
     def root(x: int) -> int:
         up.setdefault(x, x)
@@ -139,20 +146,48 @@ def ordered_union(edges: pd.DataFrame, barred: set[tuple[int, int]], photos: dic
             x = up[x]
         return x
 
+    def join(sets: dict[int, set[int]], keep: int, gone: int) -> None:
+        small, large = sorted((sets.pop(keep, none), sets.pop(gone, none)), key=len)
+        if large:
+            large |= small
+            sets[keep] = large
+
     for a, b, _ in edges.sort_values(["score", "a", "b"], ascending=[False, True, True]).itertuples(index=False):
         ra, rb = root(int(a)), root(int(b))
         if ra == rb:
             continue
-        ma, mb = members.get(ra, {ra}), members.get(rb, {rb})
-        if any(bars.get(x, set()) & mb for x in ma) or own.get(ra, set()) & own.get(rb, set()):
+        members.setdefault(ra, {ra})
+        members.setdefault(rb, {rb})
+        if not bars.get(ra, none).isdisjoint(members[rb]) or not own.get(ra, none).isdisjoint(own.get(rb, none)):
             continue
         keep, gone = min(ra, rb), max(ra, rb)
         up[gone] = keep
-        members[keep] = ma | mb
-        own[keep] = own.get(ra, set()) | own.get(rb, set())
+        for sets in (members, own, bars):
+            join(sets, keep, gone)
     return {x: root(x) for x in up}
 
 
+def united(edges: DataFrame, node_photos: DataFrame) -> DataFrame:
+    """(cluster_id, survivor) after uniting all edges (a, b, score), best first; ``node_photos``: (cluster_id, photo_id).
+
+    No edge reaches over two connected components, so each is united by itself, on the executors, with the result of one list over all.
+    """
+    edges = written(edges.select("a", "b", "score"), "edges")
+    labels = components(edges)
+
+    def run(e: pa.Table, p: pa.Table) -> pa.Table:
+        photos: dict[int, set[int]] = {}
+        for node, photo in zip(p.column("cluster_id").to_pylist(), p.column("photo_id").to_pylist()):
+            if photo is not None:
+                photos.setdefault(node, set()).add(photo)
+        roots = ordered_union(e.select(["a", "b", "score"]).to_pandas(), set(), photos)
+        return pa.table([pa.array(list(roots), pa.int64()), pa.array(list(roots.values()), pa.int64())], names=["cluster_id", "survivor"])
+
+    e = edges.join(labels.withColumnRenamed("node", "a"), "a")
+    p = node_photos.join(labels.select(col("node").alias("cluster_id"), col("label").alias("of")), "cluster_id").select("of", "cluster_id", "photo_id")
+    return e.groupBy("label").cogroup(p.groupBy("of")).applyInArrow(run, "cluster_id long, survivor long")
+
+
 def cluster_scores(gallery: DataFrame, min_sim: float = 0.4, top: int = 3) -> DataFrame:
     """(a, b, score): for pairs of clusters the mean of the ``top`` best similarities between their exemplars."""
     m = matches(gallery.select(col("exemplar").alias("face_id"), "unit"), gallery, min_sim)

@@ -64,7 +64,7 @@ def _linked(L: Library) -> DataFrame:
 
     near = top_per_group(N.matches(v, g, 0.7), ["face_id"], [col("sim").desc(), col("exemplar")], 15)
     e = near.select(F.least("face_id", "exemplar").alias("a"), F.greatest("face_id", "exemplar").alias("b"), col("sim").alias("score")).distinct()
-    return N.unified(e, v.select(col("face_id").alias("cluster_id"), "photo_id"), [], 0.7)
+    return N.united(e, v.select(col("face_id").alias("cluster_id"), "photo_id"))
 
 
 @(lambda f: q("FC08", "SELECT face_id, cluster_id, round(score + 0.3 * least(ln(coalesce(n2, 0) + 1.0::DOUBLE) / 5, 1.0), 6) AS score FROM (SELECT r.face_id, r.cluster_id, r.score, (SELECT count(*) FROM identities i JOIN faces f2 ON f2.photo_id = i.photo_id AND f2.cluster_id IS NOT NULL WHERE i.cluster_id = r.cluster_id AND f2.cluster_id <> i.cluster_id) AS n2 FROM ret r)", f, _M))

@@ -14,6 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +24,6 @@ from shutterlake.session import written
 
 ROUNDS = 3
 SMOOTH = 0.05
-#: A passage is searched for one-byte swaps if one of its bigrams is rarer than this (log of the share of all bigrams).
-RARE = -9.0
 #: Log-likelihood that a restored passage must gain, in all and per changed bigram.
 GAIN, GAIN_EACH = 5.0, 1.0
 #: The same for a reading as UTF-8, whose validity says much already.
@@ -99,6 +98,10 @@ class Restorer:
         self.one_byte = one_byte
         self.known: dict[tuple[str, str, str | None], tuple[str, str | None]] = {}
         self.scores: dict[str, tuple[float, int]] = {}
+        self.swapped: dict[str, tuple[np.ndarray, np.ndarray] | None] = {}
+        self.wide: dict[str, list[tuple[int, str, float]]] = {}
+        #: The most that odds can add to the gain of a one-byte swap.
+        self.most = max(0.0, *self.swaps.values(), 0.0) + ONE_BYTE_ODDS + SAME_TEXT_ODDS
 
     def _score(self, around: str) -> tuple[float, int]:
         """(log-probability, bigrams) of a run with the character before and after it."""
@@ -152,44 +155,71 @@ class Restorer:
             todo = more
         if not self.one_byte:
             return
-        get, unseen = self.log.get, self.unseen
-        worst = min(bigrams(p), key=lambda g: get(g, unseen), default="  ")
-        least = get(worst, unseen)
-        if least > RARE:
-            return
-        chars = {ord(c) for c in p if c > "\x7f"}
+        grams = bigrams(p)
         ascii_letters = sum(1 for c in p if c < "\x80" and c.isalpha())
         strange = 2 * _foreign(p) < ascii_letters
-        for read, w in _ONE_BYTE:
-            t = table(read, w)
-            # The rarest bigram of a garbled passage has to become likelier; that rules most swaps out at once.
-            if chars <= t.keys() and get(worst.translate(t), unseen) > least + 1.0:
-                d = p.translate(t)
-                if d not in seen:
-                    seen.add(d)
-                    if not (strange and 0 < 2 * _foreign(d) < ascii_letters):
-                        yield d, f"{w}>{read}", False
+        for k in self._gaining(grams):
+            read, w = _ONE_BYTE[k]
+            d = p.translate(table(read, w))
+            if d not in seen:
+                seen.add(d)
+                if not (strange and 0 < 2 * _foreign(d) < ascii_letters):
+                    yield d, f"{w}>{read}", False
+
+    def _swapped(self, g: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """(log-likelihood gained, whether it changes) of a bigram under each one-byte swap, -inf where it can't come from the swap; None if from none."""
+        if g not in self.swapped:
+            log, unseen, now = self.log.get, self.unseen, self.log.get(g, self.unseen)
+            tables = [table(read, w) for read, w in _ONE_BYTE]
+            new = [g.translate(t) if all(c < "\x80" or ord(c) in t for c in g) else None for t in tables]
+            if len(self.swapped) > REMEMBER // 10:
+                self.swapped.clear()
+            self.swapped[g] = (np.array([-math.inf if n is None else log(n, unseen) - now for n in new]), np.array([n != g for n in new], np.int64)) if any(n is not None for n in new) else None
+        return self.swapped[g]
+
+    def _gaining(self, grams: list[str]) -> list[int]:
+        """The one-byte swaps whose gain over all bigrams can be accepted by ``_once``. Such a swap keeps the number of bigrams, so the sum is the exact gain and no swap is lost."""
+        rows = [self._swapped(g) for g in grams]
+        if None in rows or not rows:
+            return []
+        gain, changed = np.sum([x for x, _ in rows], axis=0), np.sum([y for _, y in rows], axis=0)
+        # Bigrams of a run that stay the same count for the mean as well, so this asks for no more than _once.
+        return np.nonzero((changed > 0) & (gain >= GAIN_EACH * changed - 1e-6) & (gain + self.most >= GAIN - 1e-6))[0].tolist()
 
     def _wide(self, p: str, best: float) -> tuple[float, str, str] | None:
         """The best reading of parts between blanks as written in an encoding of two bytes, if it gains more than ``best``."""
-        grams = bigrams(p)
-        if len({c for c in p if c > "\x7f"}) < 4 or min(self.log.get(g, self.unseen) for g in grams) > RARE:
+        if len({c for c in p if c > "\x7f"}) < 4:
             return None
         out, parts = None, p.split(" ")
-        for read, w in _WIDE:
-            gain, new = 0.0, []
-            for x in parts:
-                d = None if x.isascii() else decoded(x, read, w)
+        gains, new = [0.0] * len(_WIDE), {}
+        for i, x in enumerate(parts):
+            for k, d, gain in () if x.isascii() else self._wide_gains(x):
+                gains[k] += gain
+                new.setdefault(k, {})[i] = d
+        for k in sorted(new):
+            if gains[k] > best:
+                read, w = _WIDE[k]
+                best = gains[k]
+                out = best, " ".join(new[k].get(i, x) for i, x in enumerate(parts)), f"{w}>{read}"
+        return out
+
+    def _wide_gains(self, x: str) -> list[tuple[int, str, float]]:
+        """(swap of two bytes, reading, log-likelihood gained) of a part between blanks, of those that gain enough."""
+        v = self.wide.get(x)
+        if v is None:
+            v = []
+            so, no = self._score(f" {x} ")
+            for k, (read, w) in enumerate(_WIDE):
+                d = decoded(x, read, w)
                 if d is not None and d != x and not d.isascii():
-                    (so, no), (sc, nc) = self._score(f" {x} "), self._score(f" {d} ")
+                    sc, nc = self._score(f" {d} ")
                     own = nc * (sc / nc - so / no)
                     if own > GAIN and own > GAIN_EACH * nc:
-                        gain += sc - so
-                        x = d
-                new.append(x)
-            if gain > best:
-                best, out = gain, (gain, " ".join(new), f"{w}>{read}")
-        return out
+                        v.append((k, d, sc - so))
+            if len(self.wide) > REMEMBER:
+                self.wide.clear()
+            self.wide[x] = v
+        return v
 
     def _once(self, p: str, source: str, favoured: str | None) -> tuple[str, str | None]:
         best, found, how = 0.0, p, None

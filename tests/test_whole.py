@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pytest
 
+from shutterlake.llm import encoding
 from shutterlake.operators import identity
 from shutterlake.plans import people
 
@@ -32,3 +34,37 @@ def test_faces_are_linked_by_every_edge(spark, monkeypatch) -> None:  # noqa: AN
     monkeypatch.setattr(identity, "MAX_EDGES", 10)
     assert sorted(map(tuple, people.QUERIES["FC04"](spark, DATA).collect())) == whole
     assert len(whole) > 20
+
+
+def test_a_swap_is_found_though_its_rarest_bigram_stays_unseen() -> None:
+    known = ["Über die Brücke führt kein Weg für böse Männer.", "Die Bürger müssen früh über den Fluß zurück."]
+    r = encoding.Restorer(Counter(g for s in known * 50 for g in encoding.bigrams(s)), {})
+    true = "Özgür führt die Männer früh über die Brücke zurück."  # no known text has " Ö", "Öz" or "gü"
+    garbled = true.encode("cp1252").decode("cp437")
+    assert r.passage(garbled, "")[0] == true
+
+
+def test_a_frequent_garbling_is_searched() -> None:
+    """However often a garbled letter occurs, what its swap gains decides."""
+    known = ["Über die Brücke führt kein Weg für böse Männer.", "Die Bürger müssen früh über den Fluß zurück."]
+    garbled = [s.encode("cp1252").decode("cp437") for s in known]
+    r = encoding.Restorer(Counter(g for s in known * 900 + garbled * 30 for g in encoding.bigrams(s)), {})
+    assert [r.passage(g, "")[0] for g in garbled] == known
+
+
+def test_every_swap_that_gains_is_scored() -> None:
+    """The gains by bigrams are those of the whole passages."""
+    known = ["Über die Brücke führt kein Weg für böse Männer.", "Старый мост через реку.", "Une fête d'été à la campagne."]
+    r = encoding.Restorer(Counter(g for s in known * 9 for g in encoding.bigrams(s)), {})
+    for s in known:
+        for read, w in [("cp437", "cp1252"), ("koi8_r", "cp1251"), ("mac_roman", "latin_1"), ("cp1251", "cp866")]:
+            try:
+                p = s.encode(w).decode(read)
+            except UnicodeError:
+                continue
+            found = set(r._gaining(encoding.bigrams(p)))
+            for k, (a, b) in enumerate(encoding._ONE_BYTE):
+                d = encoding.decoded(p, a, b)
+                gain, n, _, _ = r._gain(p, d, False) if d is not None else (0.0, 0, 0.0, "")
+                if n and gain >= encoding.GAIN_EACH * n and gain + r.most >= encoding.GAIN:
+                    assert k in found

@@ -209,6 +209,14 @@ def unified(scores: DataFrame, cluster_photos: DataFrame, barred: list[tuple[int
     return spark.createDataFrame(rows, "cluster_id long, survivor long").where("cluster_id > 0 or survivor > 0")
 
 
+def linked(faces: DataFrame, least: float = 0.7, k: int = 15) -> DataFrame:
+    """(cluster_id, survivor): faces united along their ``k`` nearest neighbours of at least ``least``, best first, never two of one photo."""
+    g = faces.select(F.lit(0).cast("long").alias("cluster_id"), col("face_id").alias("exemplar"), "unit")
+    near = top_per_group(matches(faces, g, least), ["face_id"], [col("sim").desc(), col("exemplar")], k)
+    e = near.select(F.least("face_id", "exemplar").alias("a"), F.greatest("face_id", "exemplar").alias("b"), col("sim").alias("score")).distinct()
+    return united(e, faces.select(col("face_id").alias("cluster_id"), "photo_id"))
+
+
 def exemplars(faces: DataFrame, n: int = 30) -> DataFrame:
     """(cluster_id, exemplar, unit): the ``n`` best faces of each cluster by confidence, confirmed ones first."""
     t = top_per_group(faces.where("cluster_id is not null and user_confirmed >= 0"), ["cluster_id"], [col("user_confirmed").desc(), col("confidence").desc(), col("face_id")], n)
@@ -354,3 +362,56 @@ def assigned(faces: DataFrame, gallery: DataFrame, min_sim: float) -> DataFrame:
     return faces.join(b, "face_id", "left").withColumn("cluster_id", F.coalesce("cluster_id", "_c")).drop("_c")
 
 
+
+
+def assigned_apart(faces: DataFrame, gallery: DataFrame, min_sim: float, high: float = HIGH, gap: float = GAP) -> DataFrame:
+    """Faces with the cluster that retrieval assigns to those without one, never one that their photo already holds.
+
+    The faces of a photo come in order of their id, and each bars its cluster to the next ones.
+    """
+    open_ = faces.where("cluster_id is null and user_confirmed >= 0")
+    held = faces.where("cluster_id is not null").select("photo_id", "cluster_id").distinct()
+    r = retrieved(open_, gallery, min_sim, open_.select("face_id", "photo_id").join(held, "photo_id").select("face_id", "cluster_id"))
+    r = r.join(open_.select("face_id", "photo_id"), "face_id").select("photo_id", "face_id", "cluster_id", "score")
+
+    def run(t: pa.Table) -> pa.Table:
+        hits: dict[int, list[tuple[float, int]]] = {}
+        for f, c, v in zip(*(t.column(n).to_pylist() for n in ("face_id", "cluster_id", "score"))):
+            hits.setdefault(f, []).append((-v, c))
+        apart = t.column("photo_id")[0].as_py() is not None
+        taken: set[int] = set()
+        out: list[tuple[int, int]] = []
+        for f in sorted(hits):
+            h = sorted(x for x in hits[f] if x[1] not in taken)
+            if h and -h[0][0] >= high and (len(h) == 1 or h[1][0] - h[0][0] >= gap):
+                out.append((f, h[0][1]))
+                if apart:
+                    taken.add(h[0][1])
+        return pa.table([pa.array([f for f, _ in out], pa.int64()), pa.array([c for _, c in out], pa.int64())], names=["face_id", "_c"])
+
+    b = r.groupBy("photo_id").applyInArrow(run, "face_id long, _c long")
+    return faces.join(b, "face_id", "left").withColumn("cluster_id", F.coalesce("cluster_id", "_c")).drop("_c")
+
+
+def pipeline(faces: DataFrame, limit: float = 0.30, most: int = 256) -> DataFrame:
+    """Faces after assign, cluster, refresh, unify, rescue and singletons. New clusters are numbered after the present ones, by their smallest face."""
+    unit = faces.select("face_id", "unit")
+    faces = written(assigned_apart(faces, exemplars(faces), 1 - limit), "assigned")
+    rest = faces.where("cluster_id is null and user_confirmed >= 0")
+    if rest.count() <= most:
+        parts = split_clusters(rest.withColumn("cluster_id", F.lit(0).cast("long")), limit, most).where("part >= 0").select("face_id", "part")
+    else:
+        parts = linked(rest, 1 - limit)
+        parts = parts.join(parts.groupBy("survivor").agg(F.count("*").alias("n")).where("n > 1"), "survivor").select(col("cluster_id").alias("face_id"), col("survivor").alias("part"))
+    last = max(0, faces.agg(F.max("cluster_id")).first()[0] or 0)
+    faces = faces.join(parts, "face_id", "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(last) + col("part"))).drop("part")
+    faces = written(faces, "clustered")
+
+    def gallery(f: DataFrame) -> DataFrame:
+        g = diverse(f.where("user_confirmed >= 0"))
+        return written(g.join(unit.withColumnRenamed("face_id", "exemplar"), "exemplar").select("cluster_id", "exemplar", "unit"), "gallery")
+
+    held = faces.where("cluster_id is not null").select("cluster_id", "photo_id")
+    roots = unified(cluster_scores(gallery(faces)), held, [])
+    faces = written(faces.join(roots, "cluster_id", "left").withColumn("cluster_id", F.coalesce("survivor", "cluster_id")).drop("survivor"), "unified")
+    return with_singletons(assigned_apart(faces, gallery(faces), 0.45, 0.60, 0.08))

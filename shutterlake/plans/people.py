@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shutterlake.functions import exprs as X
 from shutterlake.operators import identity as N
 from shutterlake.plans.timeline import _BUSY, _busy
+from shutterlake.session import written
 from shutterlake.sources.library import Library, sql
 
 QUERIES: dict = {}
@@ -53,18 +54,18 @@ _PAIR = f"""{_FV}, cs AS (SELECT a, b, round(avg(sim) + 1e-9, 6) AS score FROM (
 q("JN16", "SELECT a, b, score FROM cs", lambda L: N.cluster_scores(N.exemplars(vectors(L), 5)), _PAIR)
 q("FC05", None, lambda L: N.unified(N.cluster_scores(N.exemplars(vectors(L), 5)), L.identities(), []))
 q("FC06", "SELECT face_id, CASE WHEN cluster_id IS NULL AND user_confirmed >= 0 THEN -face_id ELSE cluster_id END AS cluster_id FROM faces", lambda L: N.with_singletons(L.faces()).select("face_id", "cluster_id"))
-q("FC07", None, lambda L: N.with_singletons(N.assigned(vectors(L), N.exemplars(vectors(L), 5), 0.45)).select("face_id", "cluster_id"))
+q("FC07", None, lambda L: _pipeline(L))
 
 
 def _linked(L: Library) -> DataFrame:
     """(cluster_id, survivor): faces of no cluster united along their nearest neighbours, best first, never two of one photo."""
-    v = vectors(L).where("cluster_id is null")
-    g = v.select(F.lit(0).cast("long").alias("cluster_id"), col("face_id").alias("exemplar"), "unit")
-    from shutterlake.operators.timeline import top_per_group
+    return N.linked(vectors(L).where("cluster_id is null"))
+
 
-    near = top_per_group(N.matches(v, g, 0.7), ["face_id"], [col("sim").desc(), col("exemplar")], 15)
-    e = near.select(F.least("face_id", "exemplar").alias("a"), F.greatest("face_id", "exemplar").alias("b"), col("sim").alias("score")).distinct()
-    return N.united(e, v.select(col("face_id").alias("cluster_id"), "photo_id"))
+def _pipeline(L: Library) -> DataFrame:
+    """The pipeline over faces with a usable embedding; the others become singletons as well."""
+    done = N.pipeline(written(vectors(L), "vectors")).select("face_id", col("cluster_id").alias("_c"))
+    return N.with_singletons(L.faces().join(done, "face_id", "left").withColumn("cluster_id", F.coalesce("_c", "cluster_id"))).select("face_id", "cluster_id")
 
 
 @(lambda f: q("FC08", "SELECT face_id, cluster_id, round(score + 0.3 * least(ln(coalesce(n2, 0) + 1.0::DOUBLE) / 5, 1.0), 6) AS score FROM (SELECT r.face_id, r.cluster_id, r.score, (SELECT count(*) FROM identities i JOIN faces f2 ON f2.photo_id = i.photo_id AND f2.cluster_id IS NOT NULL WHERE i.cluster_id = r.cluster_id AND f2.cluster_id <> i.cluster_id) AS n2 FROM ret r)", f, _M))

@@ -12,6 +12,7 @@ import pytest
 from shutterlake.llm import encoding
 from shutterlake.operators import identity
 from shutterlake.plans import people
+from shutterlake.sources.library import Library
 
 DATA = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
@@ -68,3 +69,38 @@ def test_every_swap_that_gains_is_scored() -> None:
                 gain, n, _, _ = r._gain(p, d, False) if d is not None else (0.0, 0, 0.0, "")
                 if n and gain >= encoding.GAIN_EACH * n and gain + r.most >= encoding.GAIN:
                     assert k in found
+
+
+def faces(spark, rows):  # noqa: ANN001, ANN202
+    """Faces (face_id, photo_id, cluster_id, embedding) with unit vectors."""
+    f = spark.createDataFrame([(i, p, c, [float(v) for v in x]) for i, p, c, x in rows], "face_id long, photo_id long, cluster_id long, embedding array<double>")
+    return identity.unit_vectors(f.selectExpr("*", "0 as user_confirmed", "0.9 as confidence"))
+
+
+def at(axis: int, cosine: float, other: int) -> np.ndarray:
+    """A unit vector of that cosine to an axis."""
+    x = np.zeros(64)
+    x[axis], x[other] = cosine, (1 - cosine**2) ** 0.5
+    return x
+
+
+@pytest.mark.parametrize("most", [256, 1])
+def test_pipeline_of_faces(spark, most: int) -> None:  # noqa: ANN001
+    rows = [
+        (1, 1, 100, at(0, 1.0, 1)), (2, 2, 100, at(0, 1.0, 1)),
+        (3, 3, None, at(0, 0.95, 2)),  # assigned to 100
+        (4, 3, None, at(0, 0.95, 3)),  # 100 is on photo 3 by now
+        (10, 10, None, at(5, 1.0, 6)), (11, 11, None, at(5, 0.95, 6)), (12, 12, None, at(5, 0.95, 7)),  # a new person
+        (20, 20, 200, at(8, 1.0, 9)), (21, 21, 300, at(8, 0.6, 10)),  # unified
+        (30, 30, None, at(8, 0.65, 11)),  # rescued
+        (40, 40, None, at(20, 1.0, 21)),  # alone
+    ]
+    got = {r.face_id: r.cluster_id for r in identity.pipeline(faces(spark, rows), most=most).collect()}
+    assert got == {1: 100, 2: 100, 3: 100, 4: -4, 10: 310, 11: 310, 12: 310, 20: 200, 21: 200, 30: 200, 40: -40}
+
+
+@tables
+def test_every_face_ends_in_a_cluster(spark) -> None:  # noqa: ANN001
+    got = people.QUERIES["FC07"](spark, DATA).collect()
+    shown = {r.face_id for r in Library(spark, DATA).faces().where("user_confirmed >= 0").collect()}
+    assert shown <= {r.face_id for r in got if r.cluster_id is not None}

@@ -115,14 +115,34 @@ def complete_link(dist: np.ndarray, photos: np.ndarray, limit: float) -> np.ndar
     return np.where(count[label] > 1, label, -1)
 
 
+def nearest_parts(x: np.ndarray, photos: list[int | None], limit: float, k: int = 15) -> np.ndarray:
+    """Labels, as ``complete_link`` gives them, after uniting rows along their ``k`` nearest neighbours up to ``limit``, best first, never two of one photo."""
+    n, least, found = len(x), 1 - limit, []
+    step = max(1, CELLS // n)
+    for s in range(0, n, step):
+        sim = np.round(x[s : s + step] @ x.T, 6)
+        sim[np.arange(len(sim)), np.arange(s, s + len(sim))] = -np.inf
+        kth = np.partition(sim, max(0, n - k), axis=1)[:, max(0, n - k)]
+        i, j = np.nonzero(sim >= np.maximum(kth, least)[:, None])
+        v = sim[i, j]
+        o = np.lexsort((j, -v, i))  # ties to the smaller face
+        i, j, v = i[o], j[o], v[o]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        i, j, v = i[rank < k] + s, j[rank < k], v[rank < k]
+        found.append(pd.DataFrame({"a": np.minimum(i, j), "b": np.maximum(i, j), "score": v}))
+    roots = ordered_union(pd.concat(found).drop_duplicates(["a", "b"]), set(), {i: {p} for i, p in enumerate(photos) if p is not None})
+    label = np.array([roots.get(i, i) for i in range(n)])
+    return np.where(np.bincount(label, minlength=n)[label] > 1, label, -1)
+
+
 def split_clusters(faces: DataFrame, limit: float = 0.30, most: int = 256) -> DataFrame:
-    """(cluster_id, face_id, part): complete-link parts of each cluster of at most ``most`` faces; part is the smallest face of it, -1 alone."""
-    n = faces.groupBy("cluster_id").agg(F.count("*").alias("n")).where(col("n").between(2, most)).select("cluster_id")
+    """(cluster_id, face_id, part): parts of each cluster, by complete link up to ``most`` faces, else along nearest neighbours; part is the smallest face of it, -1 alone."""
+    n = faces.groupBy("cluster_id").agg(F.count("*").alias("n")).where(col("n") >= 2).select("cluster_id")
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("face_id")
         x, ids = _matrix(t.column("unit").combine_chunks()), np.asarray(t.column("face_id"))
-        lab = complete_link(1 - np.round(x @ x.T, 6), np.asarray(t.column("photo_id")), limit)
+        lab = complete_link(1 - np.round(x @ x.T, 6), np.asarray(t.column("photo_id")), limit) if len(ids) <= most else nearest_parts(x, t.column("photo_id").to_pylist(), limit)
         return pa.table([t.column("cluster_id"), t.column("face_id"), pa.array(np.where(lab >= 0, ids[lab], -1))], names=["cluster_id", "face_id", "part"])
 
     return faces.join(n, "cluster_id", "left_semi").select("cluster_id", "face_id", "photo_id", "unit").groupBy("cluster_id").applyInArrow(run, "cluster_id long, face_id long, part long")

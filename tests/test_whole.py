@@ -104,3 +104,15 @@ def test_every_face_ends_in_a_cluster(spark) -> None:  # noqa: ANN001
     got = people.QUERIES["FC07"](spark, DATA).collect()
     shown = {r.face_id for r in Library(spark, DATA).faces().where("user_confirmed >= 0").collect()}
     assert shown <= {r.face_id for r in got if r.cluster_id is not None}
+
+
+def test_large_clusters_are_split_as_well(spark) -> None:  # noqa: ANN001
+    rng = np.random.default_rng(5)
+    rows = [(i, i // 2, 1, at(i % 3, 0.97, 10 + int(rng.integers(40)))) for i in range(300)]
+    f = faces(spark, rows)
+    got = {r.face_id: r.part for r in identity.split_clusters(f).collect()}
+    roots = {r.cluster_id: r.survivor for r in identity.linked(f).collect()}
+    size = Counter(roots.values())
+    assert got == {i: roots[i] if i in roots and size[roots[i]] > 1 else -1 for i in range(300)}
+    assert len(size) < 150
+    assert {r.cluster_id for r in identity.split_clusters(f, most=299).collect()} == {1}

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.llm.codepages import NON_ASCII, READ_AS, WIDE, WRITTEN_IN, byte_of, decoded, table
+from shutterlake.llm.codepages import NON_ASCII, READ_AS, WIDE, WRITTEN_IN, as_bytes, byte_of, decoded, table
 from shutterlake.session import written
 
 ROUNDS = 3
@@ -41,7 +41,7 @@ _C1 = re.compile("[\x80-\x84\x86-\x9f]")
 #: The replacement character as each encoding shows its three bytes.
 _LOST = re.compile("|".join({LOST, *("".join(c for b in (0xEF, 0xBF, 0xBD) for c, x in byte_of(r).items() if x == b and not 0x80 <= ord(c) < 0xA0) for r in READ_AS)}))
 _ONE_BYTE = [(r, w) for r in READ_AS for w in WRITTEN_IN if r != w and w not in WIDE]
-_WIDE = [(r, w) for r in ("latin_1", "cp1252", "mac_roman", "cp437", "cp1251") for w in sorted(WIDE)]
+_WIDE = [(r, w) for r in READ_AS for w in sorted(WIDE)]
 
 
 def passages(text: str) -> list[str]:
@@ -209,8 +209,9 @@ class Restorer:
         if v is None:
             v = []
             so, no = self._score(f" {x} ")
+            x_of = {r: as_bytes(x, r) is not None for r in READ_AS}
             for k, (read, w) in enumerate(_WIDE):
-                d = decoded(x, read, w)
+                d = decoded(x, read, w) if x_of[read] else None
                 if d is not None and d != x and not d.isascii():
                     sc, nc = self._score(f" {d} ")
                     own = nc * (sc / nc - so / no)

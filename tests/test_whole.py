@@ -116,3 +116,21 @@ def test_large_clusters_are_split_as_well(spark) -> None:  # noqa: ANN001
     assert got == {i: roots[i] if i in roots and size[roots[i]] > 1 else -1 for i in range(300)}
     assert len(size) < 150
     assert {r.cluster_id for r in identity.split_clusters(f, most=299).collect()} == {1}
+
+
+@pytest.mark.parametrize("read", ["cp1250", "cp866", "koi8_r", "iso8859_5", "cp850"])
+@pytest.mark.parametrize("written", ["shift_jis", "gbk"])
+def test_wide_encodings_are_tried_from_every_page(read: str, written: str) -> None:
+    true = "写真は山の上で見た人" if written == "shift_jis" else "照片是在山上看到的人"
+    chars = []
+    for c in true:  # characters whose bytes the page shows
+        try:
+            shown = c.encode(written).decode(read)
+        except UnicodeError:
+            continue
+        if " " not in shown and encoding.decoded(shown, read, written) == c:
+            chars.append(c)
+    true = "".join(chars)
+    assert len(true) >= 4
+    r = encoding.Restorer(Counter(g for s in [true] * 200 for g in encoding.bigrams(s)), {})
+    assert r.passage(true.encode(written).decode(read), "")[0] == true

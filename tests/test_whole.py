@@ -134,3 +134,11 @@ def test_wide_encodings_are_tried_from_every_page(read: str, written: str) -> No
     assert len(true) >= 4
     r = encoding.Restorer(Counter(g for s in [true] * 200 for g in encoding.bigrams(s)), {})
     assert r.passage(true.encode(written).decode(read), "")[0] == true
+
+
+@tables
+def test_clusters_are_unified_by_whole_galleries(spark, monkeypatch) -> None:  # noqa: ANN001
+    sizes, made = [], identity.exemplars
+    monkeypatch.setattr(identity, "exemplars", lambda f, n=30: sizes.append(n) or made(f, n))
+    people.QUERIES["FC05"](spark, DATA)
+    assert sizes == [30]

@@ -101,16 +101,27 @@ def index_state(state: DataFrame, results: DataFrame, attempts: int = 3) -> Data
     return j.select("id", status.alias("status"), n.alias("attempts"))
 
 
+def _pointers(spark: SparkSession, folder: str):  # noqa: ANN202
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_versions")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs, sorted(f.getPath().getName() for f in fs.listStatus(path)) if fs.exists(path) else []
+
+
 def publish(df: DataFrame, folder: str) -> str:
-    """Write a snapshot as a new version of a table and point to it; readers of older versions aren't disturbed. The version's name."""
+    """Write a snapshot as a new version of a table and point to it. The version's name.
+
+    A pointer is an empty file named after its number and its version, made in one step after the version is complete, and never changed. Readers take
+    the highest, so they see the old version or the new one; of two writers with one number the larger name counts.
+    """
     spark = df.sparkSession
     version = uuid.uuid4().hex
     df.write.parquet(f"{folder}/{version}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").text(f"{folder}/_current")
+    fs, names = _pointers(spark, folder)
+    n = int(names[-1].partition("-")[0]) + 1 if names else 1
+    fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_versions/{n:012d}-{version}"), False).close()
     return version
 
 
 def current(spark: SparkSession, folder: str) -> DataFrame:
     """The table's last published version."""
-    version = spark.read.text(f"{folder}/_current").first()[0]
-    return spark.read.parquet(f"{folder}/{version}")
+    return spark.read.parquet(f"{folder}/{_pointers(spark, folder)[1][-1].partition('-')[2]}")

@@ -11,6 +11,7 @@ from shutterlake.operators import ingest as N
 from shutterlake.operators import mutate as M
 from shutterlake.plans.groups import _EX, _OPS, changes
 from shutterlake.plans.timeline import _ST, stacks
+from shutterlake.session import fresh
 from shutterlake.sources.library import Library, sql
 from shutterlake.streaming import library as S
 
@@ -177,15 +178,13 @@ q("SC12", "SELECT photo_id, make_timestamp(mtime * 1000000) AS taken FROM ph WHE
 
 
 def _tsv(L: Library) -> DataFrame:
-    from shutterlake.session import shared_dir
-
-    base = f"{shared_dir(L.spark)}/places"
+    base = fresh(L.spark, "places")
     c = L.cities().where("name is not null")
     cols = [col("id"), col("name"), col("ascii_name"), F.lit(""), col("latitude"), col("longitude"), F.lit("P"), col("feature_code"), col("country_code"), *[F.lit("")] * 5, col("population"), F.lit(""), F.lit(""), col("timezone"), F.lit("")]
     text = F.concat_ws("\t", *[F.coalesce(x.cast("string"), F.lit("")) for x in cols])
-    c.select(text.alias("value")).write.mode("overwrite").text(f"{base}/cities")
+    c.select(text.alias("value")).write.text(f"{base}/cities")
     n = c.select(F.concat_ws("\t", "country_code", F.lit("x"), F.lit("x"), F.lit("x"), "country_name").alias("value")).where("country_name is not null").distinct()
-    n.write.mode("overwrite").text(f"{base}/countries")
+    n.write.text(f"{base}/countries")
     return N.tsv_cities(L.spark, f"{base}/cities", f"{base}/countries", 100_000).select("id", "ascii_name", "country_name", "population", "latitude")
 
 
@@ -218,9 +217,7 @@ q("SC16", "SELECT doc_id, octet_length(encode(text)) AS size, true AS is_sidecar
 
 def _published(L: Library) -> DataFrame:
     """Two versions of the library's photos; readers see the last."""
-    from shutterlake.session import shared_dir
-
-    folder = f"{shared_dir(L.spark)}/versions"
+    folder = fresh(L.spark, "versions")
     p = L.photos().select("photo_id", "trashed")
     M.publish(p, folder)
     M.publish(p.where("not trashed"), folder)

@@ -35,7 +35,7 @@ _HASH = "u AS (SELECT face_id, list_sum([CASE WHEN embedding[i + 1] > 0 THEN CAS
 
 def hashes(L: Library) -> DataFrame:
     """(face_id, phash): the signs of each face's embedding play the role of a picture's 64-bit hash."""
-    c = L.table("cluster_input").select("face_id", "embedding").where(F.size("embedding") == 64).dropDuplicates(["face_id"])
+    c = L.vectors().select("face_id", "embedding").where(F.size("embedding") == 64)
     return c.select("face_id", G.sign_hash("embedding").alias("phash"))
 
 

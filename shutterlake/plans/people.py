@@ -24,8 +24,7 @@ def q(name: str, text: str | None, f, more: str = "") -> None:  # noqa: ANN001
 
 def vectors(L: Library) -> DataFrame:
     """Faces with a usable embedding, as unit vectors."""
-    e = L.table("cluster_input").select("face_id", "embedding").dropDuplicates(["face_id"])
-    return N.unit_vectors(L.faces().join(e, "face_id"))
+    return N.unit_vectors(L.vectors())
 
 
 _FV = """fv AS (SELECT f.*, [x / n FOR x IN e] AS unit FROM faces f JOIN (SELECT face_id, e, sqrt(list_dot_product(e, e)) AS n FROM (SELECT face_id, any_value(embedding)::DOUBLE[] AS e FROM cluster_input GROUP BY face_id)

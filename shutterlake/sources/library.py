@@ -1,16 +1,20 @@
 """The library's views over the tables, in Spark and as SQL for the oracle.
 
-Each view has one row per record, without copies that were delivered again. ``taken`` is the wall clock of date_taken where it starts with a calendar date and
+Each view has one row per record, without copies that were delivered again. The views of tables with copies are published once per session and state of
+the files as a snapshot in the shared folder: deduplicated, derived columns stored, photos in ranges of ``taken``. So a query's filters and columns reach
+the scan, row groups of other times are skipped, and no query shuffles a table to deduplicate it. ``taken`` is the wall clock of date_taken where it starts with a calendar date and
 time; offsets are dropped, as the timeline shows what the camera's clock said. Positions out of range or within 0.001 degrees of (0, 0) count as missing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shutterlake.session import stamp, written
 from shutterlake.sources.tables import table
 
 _WALL = r"^\s*\d{4}[:-]\d{2}[:-]\d{2}[ T]\d{2}:\d{2}:\d{2}"
@@ -27,6 +31,10 @@ def valid_position(lat: Column, lon: Column) -> Column:
     return (lat.between(-90, 90) & lon.between(-180, 180) & ~((F.abs(lat) < 0.001) & (F.abs(lon) < 0.001)) & ~F.isnan(lat) & ~F.isnan(lon)) & lat.isNotNull() & lon.isNotNull()
 
 
+#: (application, name, state of the source's files) -> the snapshot published.
+_PUBLISHED: dict[tuple[str, str, str], DataFrame] = {}
+
+
 @dataclass(frozen=True)
 class Library:
     """Named DataFrames of one library; nothing is read before it is used, and only the columns used."""
@@ -37,27 +45,44 @@ class Library:
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.path, name)
 
+    def snapshot(self, name: str, source: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """``build`` of a source table, published on first use; another state of the source's files is published anew."""
+        key = (self.spark.sparkContext.applicationId, name, stamp(self.spark, f"{self.path}/{source}.parquet"))
+        if key not in _PUBLISHED:
+            _PUBLISHED[key] = written(build(self.table(source)), f"snapshot-{name}")
+        return _PUBLISHED[key]
+
     def photos(self) -> DataFrame:
-        p = self.table("photos")
-        ok = valid_position(F.col("gps_latitude"), F.col("gps_longitude"))
-        return p.select(
-            F.col("id").alias("photo_id"), "file_path", "file_name", "file_hash", "file_size", F.col("file_mtime").alias("mtime"),
-            wall_clock(F.col("date_taken")).alias("taken"), F.when(ok, F.col("gps_latitude")).alias("lat"), F.when(ok, F.col("gps_longitude")).alias("lon"),
-            F.col("location_city").alias("city"), F.col("location_country").alias("country"), F.col("camera_make").alias("make"), F.col("camera_model").alias("model"),
-            "iso", "width", "height", F.coalesce("orientation", F.lit(1)).alias("orientation"), "media_type", "duration_ms", F.coalesce("is_favorite", F.lit(False)).alias("favorite"), F.coalesce("is_trashed", F.lit(False)).alias("trashed"), "trashed_at",
-        ).dropDuplicates(["photo_id"])
+        def build(p: DataFrame) -> DataFrame:
+            ok = valid_position(F.col("gps_latitude"), F.col("gps_longitude"))
+            one = p.select(
+                F.col("id").alias("photo_id"), "file_path", "file_name", "file_hash", "file_size", F.col("file_mtime").alias("mtime"),
+                wall_clock(F.col("date_taken")).alias("taken"), F.when(ok, F.col("gps_latitude")).alias("lat"), F.when(ok, F.col("gps_longitude")).alias("lon"),
+                F.col("location_city").alias("city"), F.col("location_country").alias("country"), F.col("camera_make").alias("make"), F.col("camera_model").alias("model"),
+                "iso", "width", "height", F.coalesce("orientation", F.lit(1)).alias("orientation"), "media_type", "duration_ms", F.coalesce("is_favorite", F.lit(False)).alias("favorite"), F.coalesce("is_trashed", F.lit(False)).alias("trashed"), "trashed_at",
+            ).dropDuplicates(["photo_id"])
+            return one.repartitionByRange("taken", "photo_id").sortWithinPartitions("taken", "photo_id")
+
+        return self.snapshot("photos", "photos", build)
 
     def live(self) -> DataFrame:
         return self.photos().where(~F.col("trashed"))
 
+    def vectors(self) -> DataFrame:
+        """Faces with their embedding, as delivered."""
+
+        def build(c: DataFrame) -> DataFrame:
+            i = F.col("face_id")
+            return c.select("face_id", "photo_id", F.col("current_cluster_id").alias("cluster_id"), "embedding").dropDuplicates(["face_id"]).select(
+                "face_id", "photo_id", "cluster_id", (F.lit(0.5) + (i % 50).cast("double") / 100).alias("confidence"),
+                F.when(i % 7 == 0, 1).when(i % 11 == 0, -1).otherwise(0).alias("user_confirmed"), (F.lit(400) + (i * 37) % 9000).alias("area"), "embedding",
+            )
+
+        return self.snapshot("faces", "cluster_input", build)
+
     def faces(self) -> DataFrame:
         """Faces with their cluster, and a detector's confidence, the user's word and the box's size derived from the id."""
-        c = self.table("cluster_input").select("face_id", "photo_id", F.col("current_cluster_id").alias("cluster_id")).dropDuplicates(["face_id"])
-        i = F.col("face_id")
-        return c.select(
-            "face_id", "photo_id", "cluster_id", (F.lit(0.5) + (i % 50).cast("double") / 100).alias("confidence"),
-            F.when(i % 7 == 0, 1).when(i % 11 == 0, -1).otherwise(0).alias("user_confirmed"), (F.lit(400) + (i * 37) % 9000).alias("area"),
-        )
+        return self.vectors().drop("embedding")
 
     def inferred(self) -> DataFrame:
         """(photo_id, cluster_id): identities that an earlier search inferred with a score of at least 0.95."""
@@ -87,17 +112,17 @@ class Library:
         return a.groupBy("album", "file_hash").agg(F.min("added_at").alias("added_at")).join(p, "file_hash").select("album", "photo_id", "added_at")
 
     def suggestions(self) -> DataFrame:
-        s = self.table("album_suggestions").select("id", "kind", "title", "photo_ids_json", "cover_photo_id", "fingerprint", "status", "seen_count", "created_at")
-        return s.dropDuplicates(["id"])
+        cols = ["id", "kind", "title", "photo_ids_json", "cover_photo_id", "fingerprint", "status", "seen_count", "created_at"]
+        return self.snapshot("suggestions", "album_suggestions", lambda t: t.select(*cols).dropDuplicates(["id"]))
 
     def trash(self) -> DataFrame:
-        return self.table("trash").dropDuplicates(["id"])
+        return self.snapshot("trash", "trash", lambda t: t.dropDuplicates(["id"]))
 
     def cities(self) -> DataFrame:
         return self.table("cities")
 
     def items(self) -> DataFrame:
-        return self.table("google_takeout_items").select("content_hash", "file_path", "metadata_json").dropDuplicates(["content_hash"])
+        return self.snapshot("items", "google_takeout_items", lambda t: t.select("content_hash", "file_path", "metadata_json").dropDuplicates(["content_hash"]))
 
 
 _T = f"trim(regexp_extract(date_taken, '{_WALL}', 0))"

@@ -65,3 +65,25 @@ def test_no_cartesian_products(spark) -> None:  # noqa: ANN001
 
 def test_pages_are_top_k(spark) -> None:  # noqa: ANN001
     assert "TakeOrderedAndProject" in plan(registry.queries()["SL01"](spark, DATA))
+
+
+@pytest.mark.parametrize("name", ["PF05", "SL01", "AG03", "WN07"])
+def test_filters_reach_the_scan(spark, name: str) -> None:  # noqa: ANN001
+    """Filters come before any exchange: none deduplicates photos by their key."""
+    p = plan(registry.queries()[name](spark, DATA))
+    assert "PushedFilters: [IsNotNull(trashed)" in p
+    assert "hashpartitioning(photo_id" not in p
+
+
+def test_snapshots_follow_the_files(spark, tmp_path) -> None:  # noqa: ANN001
+    import shutil
+
+    for name in ("photos", "trash"):
+        shutil.copy(f"{DATA}/{name}.parquet", tmp_path / f"{name}.parquet")
+    first = Library(spark, str(tmp_path)).trash().count()
+    t = Library(spark, str(tmp_path)).table("trash")
+    t.limit(3).toPandas().to_parquet(tmp_path / "new.parquet", coerce_timestamps="us")
+    shutil.copyfile(tmp_path / "new.parquet", f"{tmp_path}/copy.parquet")
+    (tmp_path / "trash.parquet").chmod(0o644)
+    shutil.move(tmp_path / "copy.parquet", tmp_path / "trash.parquet")
+    assert Library(spark, str(tmp_path)).trash().count() <= 3 < first

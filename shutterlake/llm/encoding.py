@@ -12,6 +12,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -34,6 +35,8 @@ UTF8_ODDS, ONE_BYTE_ODDS, SAME_TEXT_ODDS = 6.0, -3.0, 4.0
 AGAIN = 3.0
 REMEMBER = 100_000
 LOST = "\ufffd"
+#: Line ends and tabs count as blanks.
+_BLANK = str.maketrans("\n\r\t\v\f", "     ")
 
 _PASSAGE = re.compile(r"(?<=[.!?…])(?=\s)|(?<=[。！？\n\r])")
 _SEQUENCES = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})+")
@@ -51,31 +54,55 @@ def passages(text: str) -> list[str]:
 
 def bigrams(s: str) -> list[str]:
     """Pairs of neighbouring characters of which one isn't ASCII; blanks around."""
-    s = f" {s} "
+    s = f" {s} ".translate(_BLANK)
     return [a + b for a, b in zip(s, s[1:]) if a > "\x7f" or b > "\x7f"]
 
 
+def _keep(held: dict, most: int, key, value):  # noqa: ANN001, ANN202
+    """Remember a value; a full memory starts anew."""
+    if len(held) >= most:
+        held.clear()
+    held[key] = value
+    return value
+
+
+class _Bytes(dict):
+    """For str.translate: each character as the one of its byte in a page; zero for what the page lacks."""
+
+    def __missing__(self, o: int) -> int:
+        return o if o < 128 else 0
+
+
 @lru_cache(None)
-def _may_be_utf8(read: str) -> re.Pattern[str]:
-    """Finds a lead byte and a continuation byte of UTF-8 as ``read`` shows them."""
-    kind = lambda lo, hi: "[" + "".join(re.escape(c) for c, b in byte_of(read).items() if lo <= b <= hi) + "]"
-    return re.compile(kind(0xC2, 0xF4) + kind(0x80, 0xBF))
+def _to_bytes(read: str) -> _Bytes:
+    return _Bytes({o: o for o in range(128)} | {ord(c): b for c, b in byte_of(read).items()})
+
+
+@lru_cache(None)
+def _ends(read: str) -> tuple[frozenset[str], frozenset[str]]:
+    """The characters that show lead bytes and those that show continuation bytes of UTF-8."""
+    return tuple(frozenset(c for c, b in byte_of(read).items() if low <= b <= high) for low, high in ((0xC2, 0xF4), (0x80, 0xBF)))
 
 
 @lru_cache(1 << 16)
-def _utf8_in(run: str, read: str) -> str:
-    """``run`` with its valid UTF-8 sequences, as ``read`` shows them, decoded."""
-    codes = byte_of(read)
-    raw = bytes(codes.get(c, 0) for c in run)  # a zero byte stands for what the encoding lacks
-    out, at = [], 0
+def _utf8_in(s: str, read: str) -> str:
+    """``s`` with its valid UTF-8 sequences, as ``read`` shows them, decoded."""
+    raw, out, at = s.translate(_to_bytes(read)).encode("latin-1"), [], 0
     for m in _SEQUENCES.finditer(raw):
         try:
             d = m[0].decode("utf-8")
         except UnicodeDecodeError:
             continue
-        out += [run[at : m.start()], d]
+        out += [s[at : m.start()], d]
         at = m.end()
-    return "".join([*out, run[at:]])
+    return "".join([*out, s[at:]]) if at else s
+
+
+@lru_cache(None)
+def _swap_codes() -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """(no swap's code, character -> its code point under each one-byte swap, -1 where it can't come from the swap)."""
+    chars = {o for read, w in _ONE_BYTE for o in table(read, w)}
+    return np.full(len(_ONE_BYTE), -1, np.int64), {o: np.array([ord(table(read, w).get(o, "\0")) or -1 for read, w in _ONE_BYTE], np.int64) for o in chars}
 
 
 def _foreign(s: str) -> int:
@@ -83,13 +110,28 @@ def _foreign(s: str) -> int:
     return sum(1 for c in s if "\u0370" <= c <= "\u05ff")
 
 
+@dataclass
+class Word:
+    """What the swaps say of a word between blanks: whether any gains, the most that a one-byte swap gains, the chains of UTF-8 that gain, and the readings in two bytes."""
+
+    live: bool
+    most: float
+    chains: list[tuple[str, ...]]
+    wide: list[tuple[int, str, float]]
+
+
 class Restorer:
-    """Bigram counts and swap counts of a corpus, and what they say of a passage."""
+    """Bigram counts and swap counts of a corpus, and what they say of a passage.
+
+    Each reading changes words independently (a blank is no byte of a letter), so what a swap gains is computed once per distinct word and summed over a passage.
+    """
 
     def __init__(self, counts: dict[str, float], swaps: dict[tuple[str, str], float], one_byte: bool = True) -> None:
         total = sum(counts.values()) or 1.0
         self.log = {g: math.log((n + SMOOTH) / total) for g, n in counts.items()}
         self.unseen = math.log(SMOOTH / total)
+        pairs = sorted(((ord(g[0]) << 21) | ord(g[1]), v) for g, v in self.log.items()) or [(-1, self.unseen)]
+        self.keys, self.logs = np.array([k for k, _ in pairs], np.int64), np.array([v for _, v in pairs])
         every = Counter()
         for (_, how), n in swaps.items():
             every[how] += n
@@ -99,138 +141,197 @@ class Restorer:
         self.known: dict[tuple[str, str, str | None], tuple[str, str | None]] = {}
         self.scores: dict[str, tuple[float, int]] = {}
         self.swapped: dict[str, tuple[np.ndarray, np.ndarray] | None] = {}
-        self.wide: dict[str, list[tuple[int, str, float]]] = {}
-        #: The most that odds can add to the gain of a one-byte swap.
-        self.most = max(0.0, *self.swaps.values(), 0.0) + ONE_BYTE_ODDS + SAME_TEXT_ODDS
+        self.words: dict[str, Word] = {}
+        self.sums: dict[str, tuple[np.ndarray, np.ndarray] | None] = {}
+        self.chained: dict[tuple[str, tuple[str, ...]], tuple[float, int, float, str]] = {}
+        self.odds: dict[tuple[str, str | None], np.ndarray] = {}
 
     def _score(self, around: str) -> tuple[float, int]:
         """(log-probability, bigrams) of a run with the character before and after it."""
         v = self.scores.get(around)
         if v is None:
-            get, u, pairs = self.log.get, self.unseen, [a + b for a, b in zip(around, around[1:]) if a > "\x7f" or b > "\x7f"]
-            if len(self.scores) > 4 * REMEMBER:
-                self.scores.clear()
-            v = self.scores[around] = sum(get(g, u) for g in pairs), len(pairs)
+            get, u, flat = self.log.get, self.unseen, around.translate(_BLANK)
+            pairs = [a + b for a, b in zip(flat, flat[1:]) if a > "\x7f" or b > "\x7f"]
+            v = _keep(self.scores, 4 * REMEMBER, around, (sum(get(g, u) for g in pairs), len(pairs)))
         return v
 
-    def _gain(self, p: str, c: str, utf8: bool) -> tuple[float, int, float, str]:
-        """(gain per bigram times bigrams, bigrams, log-likelihood gained, reading) by reading ``p`` as ``c``, over the runs that differ.
+    def _chain(self, w: str, chain: tuple[str, ...]) -> tuple[float, int, float, str]:
+        """(gain per bigram times bigrams, bigrams, log-likelihood gained, reading) of a word whose bytes are read as UTF-8 once per page of the chain.
 
         Runs get shorter by reading several bytes as one letter; whether to accept a reading is judged by means, weighted by the length restored, and which
-        of two readings is better by the whole likelihood. Of a reading as UTF-8 only the runs that gain are taken, since its other runs may be fine as they are.
+        of two readings is better by the whole likelihood. Only the runs that gain are taken, since the others may be fine as they are.
         """
+        v = self.chained.get((w, chain))
+        if v is not None:
+            return v
+        c = w
+        for read in chain:
+            c = _utf8_in(c, read)
         gain, n, total, out, at = 0.0, 0, 0.0, [], 1
-        p, c = f" {p} ", f" {c} "
+        p, c = f" {w} ", f" {c} "
         for a, b in zip(NON_ASCII.finditer(p), NON_ASCII.finditer(c)):
             if a[0] == b[0]:
                 continue
             so, no = self._score(p[a.start() - 1 : a.end() + 1])
             sc, nc = self._score(c[b.start() - 1 : b.end() + 1])
             # Accidental validity gets unlikely with each byte beyond two.
-            long = sum(2 if o > 0xFFFF else 1 for o in map(ord, b[0]) if o > 0x7FF) if utf8 else 0
-            own = nc * (sc / nc - so / no) + 2.0 * long
-            if utf8 and own <= 0:
-                continue
-            gain += own
-            n += nc
-            total += sc - so
-            if utf8:
+            own = nc * (sc / nc - so / no) + 2.0 * sum(2 if o > 0xFFFF else 1 for o in map(ord, b[0]) if o > 0x7FF)
+            if own > 0:
+                gain, n, total = gain + own, n + nc, total + sc - so
                 out += [p[at : a.start()], b[0]]
                 at = a.end()
-        return gain, n, total, "".join([*out, p[at:-1]]) if utf8 else c[1:-1]
+        return _keep(self.chained, REMEMBER, (w, chain), (gain, n, total, "".join([*out, p[at:-1]])))
 
-    def _candidates(self, p: str) -> Iterator[tuple[str, str, bool]]:
-        """(reading, swap, whether from UTF-8) of a passage."""
-        seen, todo = {p}, [(p, "utf_8")]
-        for _ in range(3):  # garbled up to three times
+    def _chains(self, w: str) -> list[tuple[str, ...]]:
+        """The chains of pages, of up to three garblings, under which some run of a word gains."""
+        seen, todo, out = {w}, [(w, ())], []
+        for _ in range(3):
             more = []
-            for s, how in todo:
+            for s, chain in todo:
+                chars = set(s)
                 for read in READ_AS:
-                    if _may_be_utf8(read).search(s):
-                        d = NON_ASCII.sub(lambda m, r=read: _utf8_in(m[0], r), s)
-                        if d not in seen:
-                            seen.add(d)
-                            more.append((d, f"{how}>{read}"))
-                            yield d, f"{how}>{read}", True
+                    lead, more_bytes = _ends(read)
+                    if chars.isdisjoint(lead) or chars.isdisjoint(more_bytes):
+                        continue
+                    d = _utf8_in(s, read)
+                    if d not in seen:
+                        seen.add(d)
+                        more.append((d, (*chain, read)))
+            out += [c for _, c in more if self._chain(w, c)[1]]
             todo = more
-        if not self.one_byte:
-            return
-        grams = bigrams(p)
-        ascii_letters = sum(1 for c in p if c < "\x80" and c.isalpha())
-        strange = 2 * _foreign(p) < ascii_letters
-        for k in self._gaining(grams):
-            read, w = _ONE_BYTE[k]
-            d = p.translate(table(read, w))
-            if d not in seen:
-                seen.add(d)
-                if not (strange and 0 < 2 * _foreign(d) < ascii_letters):
-                    yield d, f"{w}>{read}", False
+        return out
+
+    def _word(self, w: str) -> Word:
+        v = self.words.get(w)
+        if v is None:
+            most, wide, chains = 0.0, [], self._chains(w)
+            if self.one_byte:
+                rows = [self._swapped(g) for g in bigrams(w)]
+                most = 0.0 if None in rows else max(0.0, float(sum(x for x, _ in rows).max()))
+                wide = self._wide_gains(w)
+            v = _keep(self.words, REMEMBER, w, Word(bool(most or chains or wide), most, chains, wide))
+        return v
 
     def _swapped(self, g: str) -> tuple[np.ndarray, np.ndarray] | None:
         """(log-likelihood gained, whether it changes) of a bigram under each one-byte swap, -inf where it can't come from the swap; None if from none."""
         if g not in self.swapped:
-            log, unseen, now = self.log.get, self.unseen, self.log.get(g, self.unseen)
-            tables = [table(read, w) for read, w in _ONE_BYTE]
-            new = [g.translate(t) if all(c < "\x80" or ord(c) in t for c in g) else None for t in tables]
-            if len(self.swapped) > REMEMBER // 10:
-                self.swapped.clear()
-            self.swapped[g] = (np.array([-math.inf if n is None else log(n, unseen) - now for n in new]), np.array([n != g for n in new], np.int64)) if any(n is not None for n in new) else None
+            none, codes = _swap_codes()
+            a, b = (np.full(len(none), ord(c)) if c < "\x80" else codes.get(ord(c), none) for c in g)
+            good = (a >= 0) & (b >= 0)
+            v = None
+            if good.any():
+                now, key = self.log.get(g, self.unseen), (a << 21) | b
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                new = np.where(self.keys[at] == key, self.logs[at], self.unseen)
+                v = np.where(good, new - now, -math.inf), (a != ord(g[0])) | (b != ord(g[1]))
+            _keep(self.swapped, REMEMBER // 10, g, v)
         return self.swapped[g]
 
-    def _gaining(self, grams: list[str]) -> list[int]:
-        """The one-byte swaps whose gain over all bigrams can be accepted by ``_once``. Such a swap keeps the number of bigrams, so the sum is the exact gain and no swap is lost."""
-        rows = [self._swapped(g) for g in grams]
-        if None in rows or not rows:
-            return []
-        gain, changed = np.sum([x for x, _ in rows], axis=0), np.sum([y for _, y in rows], axis=0)
-        # Bigrams of a run that stay the same count for the mean as well, so this asks for no more than _once.
-        return np.nonzero((changed > 0) & (gain >= GAIN_EACH * changed - 1e-6) & (gain + self.most >= GAIN - 1e-6))[0].tolist()
+    def _sums(self, w: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """(log-likelihood gained, bigrams of the runs that change) of a word under each one-byte swap; None if it can come from none."""
+        if w not in self.sums:
+            gain, n, p = np.zeros(len(_ONE_BYTE)), np.zeros(len(_ONE_BYTE)), f" {w} ".translate(_BLANK)
+            for m in NON_ASCII.finditer(p):
+                around = p[m.start() - 1 : m.end() + 1]
+                rows = [self._swapped(a + b) for a, b in zip(around, around[1:])]
+                if None in rows:
+                    gain = None
+                    break
+                gain += sum(x for x, _ in rows)
+                n += len(rows) * np.any([y for _, y in rows], axis=0)
+            _keep(self.sums, REMEMBER // 20, w, None if gain is None else (gain, n))
+        return self.sums[w]
+
+    def _odds(self, source: str, favoured: str | None) -> np.ndarray:
+        """The log-odds of each one-byte swap."""
+        v = self.odds.get((source, favoured))
+        if v is None:
+            v = _keep(self.odds, REMEMBER // 100, (source, favoured), np.array([self._prior(source, f"{w}>{read}", favoured) + ONE_BYTE_ODDS for read, w in _ONE_BYTE]))
+        return v
 
-    def _wide(self, p: str, best: float) -> tuple[float, str, str] | None:
-        """The best reading of parts between blanks as written in an encoding of two bytes, if it gains more than ``best``."""
-        if len({c for c in p if c > "\x7f"}) < 4:
-            return None
-        out, parts = None, p.split(" ")
-        gains, new = [0.0] * len(_WIDE), {}
-        for i, x in enumerate(parts):
-            for k, d, gain in () if x.isascii() else self._wide_gains(x):
-                gains[k] += gain
-                new.setdefault(k, {})[i] = d
-        for k in sorted(new):
-            if gains[k] > best:
-                read, w = _WIDE[k]
-                best = gains[k]
-                out = best, " ".join(new[k].get(i, x) for i, x in enumerate(parts)), f"{w}>{read}"
-        return out
+    def _prior(self, source: str, how: str, favoured: str | None) -> float:
+        return self.swaps.get((source, how), self.swaps.get(("\n", how), 0.0)) + (SAME_TEXT_ODDS if how == favoured else 0.0)
 
     def _wide_gains(self, x: str) -> list[tuple[int, str, float]]:
         """(swap of two bytes, reading, log-likelihood gained) of a part between blanks, of those that gain enough."""
-        v = self.wide.get(x)
-        if v is None:
-            v = []
-            so, no = self._score(f" {x} ")
-            x_of = {r: as_bytes(x, r) is not None for r in READ_AS}
-            for k, (read, w) in enumerate(_WIDE):
-                d = decoded(x, read, w) if x_of[read] else None
+        v, seen = [], {}
+        so, no = self._score(f" {x} ")
+        for k, (read, w) in enumerate(_WIDE):
+            if read not in seen:
+                seen[read] = as_bytes(x, read)
+            raw = seen[read]
+            if raw is None:
+                continue
+            if (raw, w) not in seen:  # many pages share their bytes
+                d = decoded(x, read, w)
+                own = 0.0
                 if d is not None and d != x and not d.isascii():
                     sc, nc = self._score(f" {d} ")
                     own = nc * (sc / nc - so / no)
-                    if own > GAIN and own > GAIN_EACH * nc:
-                        v.append((k, d, sc - so))
-            if len(self.wide) > REMEMBER:
-                self.wide.clear()
-            self.wide[x] = v
+                seen[raw, w] = (d, sc - so) if own > GAIN and own > GAIN_EACH * nc else None
+            if seen[raw, w]:
+                v.append((k, *seen[raw, w]))
         return v
 
     def _once(self, p: str, source: str, favoured: str | None) -> tuple[str, str | None]:
+        """The best reading of a passage under one swap, and the swap; None if none is better than the passage as it is."""
+        parts = p.split(" ")
+        at, known, most, chains, wide = {}, self.words.get, 0.0, False, False
+        for i, w in enumerate(parts):
+            if not w.isascii():
+                v = at[i] = known(w) or self._word(w)
+                if v.live:
+                    most += v.most
+                    chains = chains or v.chains
+                    wide = wide or v.wide
+        # The sum of the most that each word gains bounds what any one swap gains.
+        if not chains and not wide and most < GAIN_EACH:
+            return p, None
         best, found, how = 0.0, p, None
-        for d, k, utf8 in self._candidates(p):
-            gain, n, total, d = self._gain(p, d, utf8)
-            odds = self.swaps.get((source, k), self.swaps.get(("\n", k), 0.0)) - AGAIN * (k.count(">") - 1) + (UTF8_ODDS if utf8 else ONE_BYTE_ODDS) + (SAME_TEXT_ODDS if k == favoured else 0.0)
-            if n and gain >= (UTF8_EACH if utf8 else GAIN_EACH) * n and (gain >= UTF8_GAIN if utf8 else gain + odds >= GAIN) and total + odds > best:
-                best, found, how = total + odds, d, k
-        wide = self._wide(p, best) if self.one_byte else None
-        return wide[1:] if wide else (found, how)
+        for chain in sorted({c for w in at.values() for c in w.chains}, key=lambda c: (len(c), c)) if chains else ():
+            read = {i: self._chain(parts[i], chain) for i in at}
+            gain, n, total = (sum(v[k] for v in read.values()) for k in range(3))
+            name = ">".join(("utf_8", *chain))
+            odds = self._prior(source, name, favoured) - AGAIN * (len(chain) - 1) + UTF8_ODDS
+            if n and gain >= UTF8_EACH * n and gain >= UTF8_GAIN and total + odds > best:
+                best, how = total + odds, name
+                found = " ".join(read[i][3] if i in read else w for i, w in enumerate(parts))
+        if not self.one_byte:
+            return found, how
+        if most >= GAIN_EACH:
+            rows = [self._sums(parts[i]) for i in at]
+            if None not in rows:
+                gain, n = sum(x for x, _ in rows), sum(y for _, y in rows)
+                score = np.where((n > 0) & (gain >= GAIN_EACH * n), gain + self._odds(source, favoured), -math.inf)
+                strange = None
+                for k in np.argsort(-score, kind="stable"):
+                    if score[k] < GAIN or score[k] <= best:
+                        break
+                    read, w = _ONE_BYTE[k]
+                    d = p.translate(table(read, w))
+                    if strange is None:
+                        letters = sum(1 for c in p if c < "\x80" and c.isalpha())
+                        strange = 2 * _foreign(p) < letters
+                    if not (strange and 0 < 2 * _foreign(d) < letters):
+                        best, found, how = float(score[k]), d, f"{w}>{read}"
+                        break
+        return (self._wide(p, parts, at, best) if wide else None) or (found, how)
+
+    def _wide(self, p: str, parts: list[str], at: dict[int, Word], best: float) -> tuple[str, str] | None:
+        """The best reading of parts between blanks as written in an encoding of two bytes, if it gains more than ``best``."""
+        if len({c for c in p if c > "\x7f"}) < 4:
+            return None
+        out, gains, new = None, [0.0] * len(_WIDE), {}
+        for i, w in at.items():
+            for k, d, gain in w.wide:
+                gains[k] += gain
+                new.setdefault(k, {})[i] = d
+        for k in sorted(new):
+            if gains[k] > best:
+                read, w = _WIDE[k]
+                best = gains[k]
+                out = " ".join(new[k].get(i, x) for i, x in enumerate(parts)), f"{w}>{read}"
+        return out
 
     def passage(self, p: str, source: str, favoured: str | None = None) -> tuple[str, str | None]:
         """(restored, swap or None) of one passage; ``favoured`` is the swap of most other passages of its text."""
@@ -248,10 +349,7 @@ class Restorer:
                 break
             s, how = s2, how or k
         out = p[:lead] + s + p[lead + len(body) :], how
-        if len(self.known) > REMEMBER:
-            self.known.clear()
-        self.known[key] = out
-        return out
+        return _keep(self.known, REMEMBER, key, out)
 
     def text(self, t: str, source: str) -> tuple[str, bool]:
         """(restored text, whether any of it was garbled). A text is read twice: the swap of most of its passages is likelier for the others."""
@@ -291,14 +389,19 @@ def learn(docs: DataFrame, rounds: int = ROUNDS) -> tuple[dict[str, float], dict
 
         def step(batches: Iterator[pa.RecordBatch], k: int = k) -> Iterator[pa.RecordBatch]:
             r = Restorer(*shared.value, one_byte=k > 1) if k else None
-            grams, used = Counter(), Counter()
+            words, used = Counter(), Counter()
             for b in batches:
                 for p, src, n in zip(*(c.to_pylist() for c in b.columns)):
                     s, how = r.passage(p, src) if r else (p, None)
                     if how:
                         used[src, how] += n
-                    for g in bigrams(s):
-                        grams[g] += n
+                    for w in s.split(" "):
+                        if not w.isascii():
+                            words[w] += n
+            grams = Counter()
+            for w, n in words.items():
+                for g in bigrams(w):
+                    grams[g] += n
             kind = pa.array([""] * len(grams) + [s for s, _ in used], pa.string())
             key = pa.array([*grams, *(f"\n{h}" for _, h in used)], pa.string())
             yield pa.RecordBatch.from_arrays([kind, key, pa.array([*grams.values(), *used.values()], pa.int64())], names=["source", "key", "n"])

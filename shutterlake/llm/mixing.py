@@ -2,7 +2,7 @@
 
 Each document draws an exponential key scaled by its quality weight; within a source, documents are taken in key order until the
 source's token budget is full. The order is never built for a whole source: keys fall into ``BINS`` bins per source, token sums per bin are
-prefix-summed, and only the bin in which the budget ends is sorted.
+prefix-summed, and the bin in which the budget ends is cut into bins again, until it has at most ``EDGE_ROWS`` rows, which are sorted.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from shutterlake.session import written
 
 BINS = 4096
+#: Rows of a source that are put in order by one task.
+EDGE_ROWS = 50_000
 
 
 def quality_weight(text: Column, n_tokens: Column) -> Column:
@@ -22,7 +24,20 @@ def quality_weight(text: Column, n_tokens: Column) -> Column:
     return F.greatest(F.lit(0.05), letters * F.least(F.lit(1.0), n_tokens / 32))
 
 
-def mixture(docs: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
+def _sums(rows: DataFrame) -> DataFrame:
+    """Tokens, rows and keys of each bin of each source, and the tokens up to it."""
+    b = rows.groupBy("source", "bin").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("rows"), F.min("key").alias("low"), F.max("key").alias("high"))
+    return b.withColumn("upto", F.sum("n").over(W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)))
+
+
+def _end(bins: DataFrame, plan: DataFrame) -> DataFrame:
+    """The bin of each source in which its budget ends: its keys low to high, and the tokens before it."""
+    at = bins.join(F.broadcast(plan), "source").withColumn("upto", F.col("upto") + F.col("start")).where(F.col("upto") > F.col("rest"))
+    e = at.groupBy("source", "epochs", "rest").agg(F.min_by(F.struct((F.col("upto") - F.col("n")).alias("start"), "rows", "low", "high"), "bin").alias("e"))
+    return e.select("source", "epochs", "rest", "e.*")
+
+
+def mixture(docs: DataFrame, targets: DataFrame, seed: int = 42, edge_rows: int = EDGE_ROWS) -> DataFrame:
     """(doc_id, source, n_tokens, copies) of the largest mixture that meets the targets.
 
     ``docs``: doc_id, source, n_tokens, weight; ``targets``: source, target_share, max_repeats. The total is the largest at which no source
@@ -40,10 +55,8 @@ def mixture(docs: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
     d = d.withColumn("bin", F.least(F.floor((1 - F.exp(-F.col("key"))) * BINS), F.lit(BINS - 1)).cast("int")).select("doc_id", "source", "n_tokens", "key", "bin")
     d = written(d, "mixture")
 
-    bins = d.groupBy("source", "bin").agg(F.sum("n_tokens").alias("n"))
-    bins = bins.withColumn("upto", F.sum("n").over(W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)))
-    bins = bins.withColumn("all", F.sum("n").over(W.partitionBy("source")))
-    have = bins.groupBy("source").agg(F.first("all").alias("all")).join(t, "source")
+    bins = written(_sums(d), "bins")  # at most BINS rows per source
+    have = bins.groupBy("source").agg(F.sum("n").alias("all")).join(t, "source")
     share = F.col("target_share") / F.col("sum_share")
     whole = have.agg(F.sum("target_share").alias("sum_share"))
     have = have.crossJoin(whole).withColumn("share", share)  # one row against one row per source
@@ -52,14 +65,18 @@ def mixture(docs: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
         "source", "all", F.floor(F.col("share") * F.col("total") + 1e-6).cast("long").alias("budget"), F.col("max_repeats").cast("long").alias("max_repeats")
     ).withColumn("epochs", F.least(F.col("max_repeats"), F.floor(F.col("budget") / F.col("all")))).withColumn("rest", F.when(F.col("epochs") < F.col("max_repeats"), F.col("budget") - F.col("epochs") * F.col("all")).otherwise(F.lit(0)))
 
-    ends = bins.join(plan, "source").where(F.col("upto") > F.col("rest")).groupBy("source", "epochs", "rest").agg(
-        F.min_by(F.struct("bin", (F.col("upto") - F.col("n")).alias("before")), "bin").alias("e")
-    ).select("source", "epochs", "rest", F.col("e.bin").alias("last"), F.col("e.before").alias("before"))
-    x = d.join(F.broadcast(ends), "source")  # one row per target
+    ends = written(_end(bins, plan.select("source", "epochs", "rest", F.lit(0).cast("long").alias("start"))), "ends")  # one row per target
+    while not ends.where((F.col("rows") > edge_rows) & (F.col("high") > F.col("low"))).isEmpty():
+        x = d.drop("bin").join(F.broadcast(ends), "source").where(F.col("key").between(F.col("low"), F.col("high")))
+        part = F.coalesce(F.floor((F.col("key") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)) * BINS), F.lit(0))
+        x = x.withColumn("bin", F.least(part, F.lit(BINS - 1)).cast("int"))
+        ends = written(_end(_sums(x.select("source", "bin", "n_tokens", "key")), ends.select("source", "epochs", "rest", "start")), "ends")
+    x = d.join(F.broadcast(ends), "source")
     order = W.partitionBy("source").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, 0)
-    edge = x.where(F.col("bin") == F.col("last")).withColumn("sum", F.sum("n_tokens").over(order) + F.col("before"))
+    inside = F.col("key").between(F.col("low"), F.col("high"))
+    edge = x.where(inside).withColumn("sum", F.sum("n_tokens").over(order) + F.col("start"))
     edge = edge.withColumn("copies", F.col("epochs") + (F.col("sum") <= F.col("rest")).cast("int"))
-    rest = x.where(F.col("bin") != F.col("last")).withColumn("copies", F.col("epochs") + (F.col("bin") < F.col("last")).cast("int"))
+    rest = x.where(~inside).withColumn("copies", F.col("epochs") + (F.col("key") < F.col("low")).cast("int"))
     cols = ["doc_id", "source", "n_tokens", F.col("copies").cast("int").alias("copies")]
     return rest.select(*cols).unionByName(edge.select(*cols)).where(F.col("copies") > 0)
 

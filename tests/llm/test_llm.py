@@ -158,6 +158,26 @@ def test_entry_meant(make: str | None, model: str | None, want: int) -> None:
     assert canonical.Catalog(CATALOG).find(make, model) == want
 
 
+def test_values_are_read_whole() -> None:
+    c = canonical.Catalog(CATALOG)
+    assert c.find(" " * 4100 + "Halvorsen", " " * 4100 + "Prisma 910") == 1
+    assert c.find("Halvorsen " * 70, "Prisma 910") == 1
+    assert c.find("Halvorsen " * 70, "Prisma 911") == 0
+    for long in ("l" * 300_000, "o" * 300_000 + "a", "word " * 100_000):  # linear time
+        assert c.find(long, "Prisma 910") == 0
+
+
+def test_similar_token_sets() -> None:
+    near = [(1, "Nord Optik", "Jasper 620"), (2, "Other", "Aster 621"), (3, "Other", "Aster 50")]
+    c = canonical.Catalog(near, [("Brandname", "Nord Optik")])
+    assert c.find("Optik Nrod", "Jasper 620") == 1  # in any order, with an edit
+    assert c.find("Nord Optik", "Jaster 620") == 1  # a tie of Aster and Jasper, decided by the maker
+    assert c.find(None, "Jaster 620") == 0  # and not without
+    assert c.find("Brandname", "Jasper 620") == 1  # an alias
+    assert c.find("Other to., Ltd.", "Aster 50") == 3  # a misspelt legal form
+    assert c.find("Other to", "Aster 50") == 0
+
+
 def test_mapped_table(spark) -> None:  # noqa: ANN001
     rows = spark.createDataFrame([(1, "Lumora", "Aster X25", 9), (1, "Lumora", "Aster X25", 9), (2, None, None, 9), (3, " \x00", "\t", 9), (4, None, "x", 9)], "key long, make string, model string, catalog_id long")
     cat = spark.createDataFrame(CATALOG, "catalog_id long, make string, model string")
@@ -226,6 +246,21 @@ def test_mixture(spark) -> None:  # noqa: ANN001
     assert mixing.mixture(d, t.limit(0)).count() == 0
 
 
+def test_budget_in_a_crowded_bin(spark) -> None:  # noqa: ANN001
+    """Light documents all have large keys: the bin in which the budget ends is cut until few rows are sorted, with the same result."""
+    d = spark.range(100_000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'b' else 'a' end as source", "id % 50 + 1 as n_tokens", "0.05D as weight")
+    t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 3)], "source string, target_share double, max_repeats int")
+    few = mixing.mixture(d, t, edge_rows=500)
+    assert mixing.mixture(d, t, edge_rows=200_000).exceptAll(few).count() == 0
+    sizes: list[int] = []
+    real, mixing._end = mixing._end, lambda b, p: (sizes.append(0), real(b, p))[1]
+    try:
+        mixing.mixture(d, t, edge_rows=500)
+    finally:
+        mixing._end = real
+    assert len(sizes) > 1
+
+
 def test_heavier_documents_come_sooner(spark) -> None:  # noqa: ANN001
     d = spark.createDataFrame([(i, s, 10, 1.0 if i % 2 else 0.1) for s in ("a",) for i in range(2000)] + [(5000 + i, "b", 10, 1.0) for i in range(100)], "doc_id long, source string, n_tokens long, weight double")
     t = spark.createDataFrame([("a", 0.9, 1), ("b", 0.1, 1)], "source string, target_share double, max_repeats int")

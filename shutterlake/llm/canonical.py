@@ -144,6 +144,7 @@ class Catalog:
             for kind, names in known.items():
                 if squashed in names and plain(alias).strip():
                     self.names[kind]["".join(words(plain(alias)))] = names[squashed]
+        self.longest = max((len(n) for names in self.names.values() for n in names), default=0)
         self.index: dict[str, dict[str, set[str]]] = {"maker": {}, "series": {}}
         for kind, names in self.names.items():
             for squashed, name in names.items():
@@ -208,7 +209,7 @@ class Catalog:
     def _closest(self, tokens: tuple[str, ...], kind: str) -> frozenset[str]:
         """The names most similar to a set of tokens: fewest edits between the squashed words, or between the tokens in any order, each within what ``_edits`` allows."""
         word = "".join(tokens)
-        if len(word) < 4:
+        if not 4 <= len(word) <= self.longest + 2:  # no name is within two edits of a longer word
             return frozenset()
         index, names = self.index[kind], self.names[kind]
         near = set().union(*(index.get(d, ()) for t in {word, *tokens} if len(t) > 3 for d in _deletions(t, _edits(t))))

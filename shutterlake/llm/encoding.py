@@ -98,6 +98,45 @@ def _utf8_in(s: str, read: str) -> str:
     return "".join([*out, s[at:]]) if at else s
 
 
+@lru_cache(1 << 15)
+def _expansions(w: str) -> tuple[tuple[tuple[str, ...], str], ...]:
+    """(chain of pages, reading) of a word, of up to three garblings; a worker keeps them over all rounds."""
+    seen, todo, out = {w}, [(w, ())], []
+    for _ in range(3):
+        more = []
+        for s, chain in todo:
+            chars = set(s)
+            for read in READ_AS:
+                lead, more_bytes = _ends(read)
+                if not chars.isdisjoint(lead) and not chars.isdisjoint(more_bytes):
+                    d = _utf8_in(s, read)
+                    if d not in seen:
+                        seen.add(d)
+                        more.append((d, (*chain, read)))
+        out += [(c, d) for d, c in more]
+        todo = more
+    return tuple(out)
+
+
+@lru_cache(1 << 15)
+def _wide_readings(x: str) -> tuple[tuple[str, tuple[int, ...]], ...]:
+    """(reading, swaps of two bytes that give it) of a part between blanks."""
+    raws: dict[str, bytes | None] = {}
+    out: dict[str, list[int]] = {}
+    known: dict[tuple[bytes, str], str | None] = {}
+    for k, (read, w) in enumerate(_WIDE):
+        if read not in raws:
+            raws[read] = as_bytes(x, read)
+        raw = raws[read]
+        if raw is not None:
+            if (raw, w) not in known:  # many pages share their bytes
+                known[raw, w] = decoded(x, read, w)
+            d = known[raw, w]
+            if d is not None and d != x and not d.isascii():
+                out.setdefault(d, []).append(k)
+    return tuple((d, tuple(k)) for d, k in out.items())
+
+
 @lru_cache(None)
 def _swap_codes() -> tuple[np.ndarray, dict[int, np.ndarray]]:
     """(no swap's code, character -> its code point under each one-byte swap, -1 where it can't come from the swap)."""
@@ -156,49 +195,45 @@ class Restorer:
         return v
 
     def _chain(self, w: str, chain: tuple[str, ...]) -> tuple[float, int, float, str]:
-        """(gain per bigram times bigrams, bigrams, log-likelihood gained, reading) of a word whose bytes are read as UTF-8 once per page of the chain.
+        """``_reading`` of a word whose bytes are read as UTF-8 once per page of the chain."""
+        v = self.chained.get((w, chain))
+        if v is None:
+            c = w
+            for read in chain:
+                c = _utf8_in(c, read)
+            v = _keep(self.chained, REMEMBER, (w, chain), self._reading(w, c))
+        return v
+
+    def _reading(self, w: str, c: str) -> tuple[float, int, float, str]:
+        """(gain per bigram times bigrams, bigrams, log-likelihood gained, reading) of a word read as ``c``.
 
         Runs get shorter by reading several bytes as one letter; whether to accept a reading is judged by means, weighted by the length restored, and which
         of two readings is better by the whole likelihood. Only the runs that gain are taken, since the others may be fine as they are.
         """
-        v = self.chained.get((w, chain))
-        if v is not None:
-            return v
-        c = w
-        for read in chain:
-            c = _utf8_in(c, read)
         gain, n, total, out, at = 0.0, 0, 0.0, [], 1
         p, c = f" {w} ", f" {c} "
         for a, b in zip(NON_ASCII.finditer(p), NON_ASCII.finditer(c)):
-            if a[0] == b[0]:
+            x, y = a[0], b[0]
+            if x == y:
                 continue
             so, no = self._score(p[a.start() - 1 : a.end() + 1])
             sc, nc = self._score(c[b.start() - 1 : b.end() + 1])
             # Accidental validity gets unlikely with each byte beyond two.
-            own = nc * (sc / nc - so / no) + 2.0 * sum(2 if o > 0xFFFF else 1 for o in map(ord, b[0]) if o > 0x7FF)
+            own = nc * (sc / nc - so / no) + 2.0 * (sum(2 if o > 0xFFFF else 1 for o in map(ord, y) if o > 0x7FF) if max(y) > "\u07ff" else 0)
             if own > 0:
                 gain, n, total = gain + own, n + nc, total + sc - so
-                out += [p[at : a.start()], b[0]]
+                out += [p[at : a.start()], y]
                 at = a.end()
-        return _keep(self.chained, REMEMBER, (w, chain), (gain, n, total, "".join([*out, p[at:-1]])))
+        return (gain, n, total, "".join([*out, p[at:-1]])) if n else (0.0, 0, 0.0, w)
 
     def _chains(self, w: str) -> list[tuple[str, ...]]:
         """The chains of pages, of up to three garblings, under which some run of a word gains."""
-        seen, todo, out = {w}, [(w, ())], []
-        for _ in range(3):
-            more = []
-            for s, chain in todo:
-                chars = set(s)
-                for read in READ_AS:
-                    lead, more_bytes = _ends(read)
-                    if chars.isdisjoint(lead) or chars.isdisjoint(more_bytes):
-                        continue
-                    d = _utf8_in(s, read)
-                    if d not in seen:
-                        seen.add(d)
-                        more.append((d, (*chain, read)))
-            out += [c for _, c in more if self._chain(w, c)[1]]
-            todo = more
+        out = []
+        for chain, d in _expansions(w):
+            v = self._reading(w, d)
+            if v[1]:
+                out.append(chain)
+                _keep(self.chained, REMEMBER, (w, chain), v)
         return out
 
     def _word(self, w: str) -> Word:
@@ -254,24 +289,15 @@ class Restorer:
 
     def _wide_gains(self, x: str) -> list[tuple[int, str, float]]:
         """(swap of two bytes, reading, log-likelihood gained) of a part between blanks, of those that gain enough."""
-        v, seen = [], {}
-        so, no = self._score(f" {x} ")
-        for k, (read, w) in enumerate(_WIDE):
-            if read not in seen:
-                seen[read] = as_bytes(x, read)
-            raw = seen[read]
-            if raw is None:
-                continue
-            if (raw, w) not in seen:  # many pages share their bytes
-                d = decoded(x, read, w)
-                own = 0.0
-                if d is not None and d != x and not d.isascii():
-                    sc, nc = self._score(f" {d} ")
-                    own = nc * (sc / nc - so / no)
-                seen[raw, w] = (d, sc - so) if own > GAIN and own > GAIN_EACH * nc else None
-            if seen[raw, w]:
-                v.append((k, *seen[raw, w]))
-        return v
+        v = []
+        readings = _wide_readings(x)
+        so, no = self._score(f" {x} ") if readings else (0.0, 1)
+        for d, swaps in readings:
+            sc, nc = self._score(f" {d} ")
+            own = nc * (sc / nc - so / no)
+            if own > GAIN and own > GAIN_EACH * nc:
+                v += [(k, d, sc - so) for k in swaps]
+        return sorted(v)
 
     def _once(self, p: str, source: str, favoured: str | None) -> tuple[str, str | None]:
         """The best reading of a passage under one swap, and the swap; None if none is better than the passage as it is."""

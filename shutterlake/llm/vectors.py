@@ -1,10 +1,12 @@
 """Groups of linked vectors: cells from cluster features, links within cells, and links between the groups of cells.
 
 1. Each partition builds a cluster-feature tree; the trees' leaves are merged in a tree of tasks, and Ward's agglomeration of the last leaves gives
-   ``CELLS`` centroids (all of bounded size). 2. One assignment pass sends each vector to its nearest centroid's cell, where exact links make
-   leaves: sets of linked vectors with a leader and a radius. 3. A leaf visits all cells whose centroids are nearly as close to its
-   leader as its own; in a cell, leaders that are linked join, and leaves that are too close to exclude a link between members are
-   checked member by member. 4. Components of leaves are the groups.
+   centroids, of a number that grows with the data up to a bound. 2. One assignment pass sends each vector to its nearest centroid's cell, where exact links make
+   leaves: sets of linked vectors with a leader and a radius. A leaf is core if all its members lie within ``CORE`` of the centroid, else stray.
+3. By the triangle inequality a core leaf can only be linked with leaves whose leader lies within the link's angle, CORE and their radius of its centroid, so exactly
+   these visit its cell, and all stray leaves meet each other in blocks: no link is lost, whatever the data. Where leaves meet, leaders that
+   are linked join, and leaves too close to exclude a link between members are checked member by member. Meetings are split into pairs of
+   blocks of bounded size, so no task gets a whole cell. 4. Components of leaves are the groups.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,12 +25,18 @@ from shutterlake.operators.graph import components
 from shutterlake.session import written
 
 DIMS = 64
-LEAVES, CELLS, FAN = 2048, 1024, 16
+FAN = 16
+#: Cells at least and at most, and vectors per cell between.
+CELLS, MOST_CELLS, PER_CELL = 1024, 8192, 2000
 #: Rows of a cell compared at once, and rows of a cell that one task gets.
 CHUNK, TASK_ROWS = 4096, 400_000
 MIN_SIM = 0.9
-#: A leaf visits each cell whose centroid is at most so much less similar than the nearest, more for a wide leaf.
-MARGIN, MARGIN_WIDE = 0.12, 0.35
+THETA = float(np.arccos(MIN_SIM)) + 1e-6
+SALTS = 1 << 20
+#: Cosine within which a vector is at the core of its cell.
+CORE = 0.9
+#: Leaves of a block, and blocks of one meeting up to which that holds; beyond, blocks grow to LARGE leaves, so that none is sent to too many tasks.
+BLOCK, MOST_BLOCKS, LARGE = 8192, 64, 262_144
 
 
 def unpack(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -63,13 +72,14 @@ def _leaf_batch(t: FeatureTree, part: int) -> pa.RecordBatch:
 _LEAF = "part long, n double, sums binary, radius double"
 
 
-def centroids(vectors: DataFrame, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
-    """(unit centroids, count of each): feature trees per partition, merged FAN by FAN, agglomerated by Ward."""
+def centroids(vectors: DataFrame, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """(at most ``cells`` unit centroids, about how many vectors each has): feature trees per partition, merged FAN by FAN, agglomerated by Ward."""
+    most = 2 * cells
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        t = FeatureTree(DIMS, LEAVES)
+        t = FeatureTree(DIMS, most)
         for b in batches:
             if b.num_rows:
                 x = unpack(b.column(0))
@@ -77,7 +87,7 @@ def centroids(vectors: DataFrame, cells: int = CELLS) -> tuple[np.ndarray, np.nd
         yield _leaf_batch(t, TaskContext.get().partitionId())
 
     def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = FeatureTree(DIMS, LEAVES)
+        t = FeatureTree(DIMS, most)
         for b in batches:
             if b.num_rows:
                 t.radius = max(t.radius, max(b.column("radius").to_pylist()) if not len(t.n) else t.radius)
@@ -89,15 +99,15 @@ def centroids(vectors: DataFrame, cells: int = CELLS) -> tuple[np.ndarray, np.nd
     while parts > 1:
         parts = -(-parts // FAN)
         leaves = leaves.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("part").applyInArrow(merge, _LEAF)
-    rows = leaves.select("n", "sums").collect()  # at most LEAVES rows
+    rows = leaves.select("n", "sums").collect()  # at most 2 * cells rows
     if not rows:
         return np.zeros((1, DIMS)), np.zeros(1)
     n, sums = np.array([r.n for r in rows]), np.array([np.frombuffer(bytes(r.sums), np.float64) for r in rows])
     group = ward(n, sums, cells)
-    c, m = np.zeros((group.max() + 1, DIMS)), np.bincount(group, n)
+    c = np.zeros((group.max() + 1, DIMS))
     np.add.at(c, group, sums)
     length = np.linalg.norm(c, axis=1)
-    return c / np.where(length > 0, length, 1)[:, None], m
+    return c / np.where(length > 0, length, 1)[:, None], np.bincount(group, n)
 
 
 def linked(x: np.ndarray, y: np.ndarray | None = None) -> np.ndarray:
@@ -110,35 +120,27 @@ def linked(x: np.ndarray, y: np.ndarray | None = None) -> np.ndarray:
     return out
 
 
-def parts_of(adjacent: np.ndarray) -> np.ndarray:
-    """The component of each node of a boolean matrix."""
-    n = len(adjacent)
-    part, k = np.full(n, -1), 0
-    alone = adjacent.sum(1) <= 1
-    part[alone] = np.arange(alone.sum())
-    k = int(alone.sum())
-    for i in np.flatnonzero(~alone):
-        if part[i] < 0:
-            seen = adjacent[i].copy()
-            seen[i] = True
-            edge = seen.copy()
-            edge[i] = False
-            while edge.any():
-                more = adjacent[edge].any(0) & ~seen
-                seen |= more
-                edge = more
-            part[seen] = k
-            k += 1
-    return part
-
-
-_PART = "kind int, leaf long, id long, n long, radius double, vec binary"
-
-
-def _leaves_of(ids: np.ndarray, vec: pa.Array) -> tuple[np.ndarray, list[tuple[int, int, float, int]]]:
-    """(leaf of each vector, [(leaf, n, radius, row of its leader)]) of a chunk with distinct ids."""
+def labels_of(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of ``n`` nodes the smallest node of its component, given edges (i, j)."""
+    lab = np.arange(n)
+    while len(i):
+        a, b = lab[i], lab[j]
+        open_ = a != b
+        i, j, a, b = i[open_], j[open_], a[open_], b[open_]
+        np.minimum.at(lab, np.maximum(a, b), np.minimum(a, b))
+        while (lab[lab] != lab).any():
+            lab = lab[lab]
+    return lab
+
+
+_PART = "kind int, leaf long, id long, n long, radius double, vec binary, core int"
+
+
+def _leaves_of(ids: np.ndarray, vec: pa.Array) -> tuple[np.ndarray, list[tuple[int, int, float, int, list[int]]]]:
+    """(leaf of each vector, [(leaf, n, radius, row of its leader, its rows)]) of a chunk with distinct ids."""
     x = unpack(vec)
-    part = parts_of(linked(x))
+    i, j = np.nonzero(linked(x))
+    part = labels_of(len(x), i[i < j], j[i < j])
     order = np.argsort(part, kind="stable")
     ends = np.flatnonzero(np.diff(part[order], append=-1))
     leaf, heads, start = np.empty(len(ids), np.int64), [], 0
@@ -148,41 +150,44 @@ def _leaves_of(ids: np.ndarray, vec: pa.Array) -> tuple[np.ndarray, list[tuple[i
         name = int(ids[rows].min())
         leaf[rows] = name
         if len(rows) == 1:
-            heads.append((name, 1, 0.0, int(rows[0])))
+            heads.append((name, 1, 0.0, int(rows[0]), rows))
             continue
         own = x[rows]
         to_mean = own @ own.mean(0)
         k = int(to_mean.argmax())
-        heads.append((name, len(rows), float(np.arccos(np.clip((own @ own[k]).min(), -1, 1))) + 1e-7, int(rows[k])))
+        heads.append((name, len(rows), float(np.arccos(np.clip((own @ own[k]).min(), -1, 1))) + 1e-7, int(rows[k]), rows))
     return leaf, heads
 
 
 def _in_cell(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Leaves of a cell, in chunks; rows of kind 0 are members, of kind 1 leaves with their leader's vector."""
+    """Leaves of a cell, in chunks; rows of kind 0 are members, of kind 1 leaves with their leader's vector. core is the cell of a core leaf, else -1."""
+    cell = key[0].as_py() // SALTS
 
     def done(t: pa.Table) -> pa.RecordBatch:
         ids = np.asarray(t.column("id"))
         first = np.unique(ids, return_index=True)[1]
         t = t.take(pa.array(np.sort(first)))
-        ids, vec = np.asarray(t.column("id")), t.column("vec").combine_chunks()
+        ids, vec, inner = np.asarray(t.column("id")), t.column("vec").combine_chunks(), np.asarray(t.column("inner"))
         leaf, heads = _leaves_of(ids, vec)
         k = len(heads)
         none = np.zeros(len(ids))
+        at = [h[3] for h in heads]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(np.repeat([0, 1], [len(ids), k]), pa.int32()),
                 pa.array(np.concatenate([leaf, [h[0] for h in heads]]).astype(np.int64)),
-                pa.array(np.concatenate([ids, ids[[h[3] for h in heads]]]).astype(np.int64)),
+                pa.array(np.concatenate([ids, ids[at]]).astype(np.int64)),
                 pa.array(np.concatenate([none, [h[1] for h in heads]]).astype(np.int64)),
                 pa.array(np.concatenate([none, [h[2] for h in heads]])),
-                pa.concat_arrays([vec, vec.take(pa.array([h[3] for h in heads]))]),
+                pa.concat_arrays([vec, vec.take(pa.array(at))]),
+                pa.array(np.concatenate([none - 1, [cell if inner[h[4]].all() else -1 for h in heads]]).astype(np.int32)),
             ],
-            names=["kind", "leaf", "id", "n", "radius", "vec"],
+            names=["kind", "leaf", "id", "n", "radius", "vec", "core"],
         )
 
     held, n = [], 0
     for b in batches:
-        b = b.select(["id", "vec"])
+        b = b.select(["id", "vec", "inner"])
         while b.num_rows:
             take = min(b.num_rows, CHUNK - n)
             held.append(b.slice(0, take))
@@ -194,6 +199,72 @@ def _in_cell(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> I
         yield done(pa.Table.from_batches(held))
 
 
+def placed(vectors: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """((cell, salt, id, vec, inner), (centroids, tasks of each)): each vector's nearest of centroids whose number grows with the data, and whether it is at the core of its cell.
+
+    The rows of a crowded cell are spread by salt over tasks of about TASK_ROWS.
+    """
+    c, n = centroids(vectors, int(min(MOST_CELLS, max(CELLS, vectors.count() // PER_CELL))))
+    shared = vectors.sparkSession.sparkContext.broadcast((c.astype(np.float32), np.clip(np.ceil(n / TASK_ROWS), 1, SALTS).astype(np.int64)))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, salts = shared.value
+        for b in batches:
+            for s in range(0, b.num_rows, 2048):
+                p = b.slice(s, 2048)
+                sim = unpack(p.column(1)).astype(np.float32) @ c.T
+                k = sim.argmax(1)
+                salt = np.asarray(p.column(0)) % 1_000_003 % salts[k]
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(salt), *p.columns, pa.array(sim[np.arange(len(k)), k] >= CORE + 1e-5)], names=["cell", "salt", "id", "vec", "inner"])
+
+    return vectors.mapInArrow(assign, "cell long, salt long, id long, vec binary, inner boolean"), shared
+
+
+def visits(rows: DataFrame, cents: Broadcast) -> DataFrame:
+    """(space, side, leaf, radius, vec): where the rows (core, leaf, radius, vec) meet.
+
+    Rows at the core of a cell are on side 0 of it, and on side 1 of each cell before it whose core they can reach. The others are on side 1 of each cell they can reach, and all on side 0 of
+    space -1. Rows of side 0 meet each other and those of side 1, so any two that can be linked meet once.
+    """
+    theta = float(np.arccos(MIN_SIM) + np.arccos(CORE)) + 1e-4
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = cents.value[0]
+        for b in batches:
+            for s in range(0, b.num_rows, 2048):
+                p = b.slice(s, 2048)
+                core = np.asarray(p.column("core"))
+                sim = unpack(p.column("vec")).astype(np.float32) @ c.T
+                near = sim >= np.cos(np.minimum(theta + np.asarray(p.column("radius")), np.pi))[:, None]
+                near &= (core < 0)[:, None] | (np.arange(len(c))[None] < core[:, None])
+                row, cell = np.nonzero(near)
+                row, space = np.concatenate([np.arange(len(core)), row]), np.concatenate([core, cell])
+                side = np.repeat([0, 1], [len(core), len(cell)])
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(space, pa.int64()), pa.array(side, pa.int32()), *(p.column(n).take(take) for n in ("leaf", "radius", "vec"))], names=["space", "side", "leaf", "radius", "vec"])
+
+    return rows.select("core", "leaf", "radius", "vec").mapInArrow(visit, "space long, side int, leaf long, radius double, vec binary")
+
+
+def meetings(met: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``met`` with p, q and role: the rows of a space in pairs of blocks. Task (p, q) has the rows of role 0 of block p, and those of role 1 of block q.
+
+    Rows of role 0 meet each other where p = q, and always those of role 1.
+    """
+    n = met.groupBy("space").agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1"))
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / LARGE), F.least(F.lit(MOST_BLOCKS), F.ceil(F.col(c) / block))).cast("int")
+    n = n.select("space", blocks("n0").alias("b0"), blocks("n1").alias("b1"))
+    x = met.join(F.broadcast(n), "space")  # one row per cell
+    to = lambda p, q, role: F.struct(p.alias("p"), q.alias("q"), F.lit(role).alias("role"))
+    zero, own = F.lit(0), F.col("_own")
+    first = F.transform(F.sequence(zero, F.col("b0") - 1), lambda j: F.when(j < own, to(j, own, 1)).otherwise(to(own, j, 0)))
+    # The first block of visitors joins the tasks of one block; the others have tasks of their own.
+    more = F.when(F.col("b1") > 1, F.transform(F.sequence(F.lit(1), F.col("b1") - 1), lambda v: to(own, F.col("b0") + v, 0))).otherwise(F.array().cast("array<struct<p:int,q:int,role:int>>"))
+    second = F.transform(F.sequence(zero, F.col("b0") - 1), lambda j: F.when(own == 0, to(j, j, 1)).otherwise(to(j, F.col("b0") + own, 1)))
+    x = x.withColumn("_own", F.pmod(F.xxhash64("leaf"), F.when(F.col("side") == 0, F.col("b0")).otherwise(F.col("b1"))).cast("int"))
+    return x.withColumn("_t", F.explode(F.when(F.col("side") == 0, F.concat(first, more)).otherwise(second))).select("space", "_t.*", "leaf", "radius", "vec")
+
+
 @dataclass(frozen=True)
 class Groups:
     """members: (leaf, id, vec); labels: (leaf, label) of the leaves that are joined with others; leaves: (leaf, n)."""
@@ -208,92 +279,58 @@ class Groups:
         return m.select(F.coalesce("label", "leaf").alias("cluster_key"), "id", *columns)
 
 
-def linked_groups(vectors: DataFrame) -> Groups:
-    """The groups of vectors (id, vec) connected by similarities of at least MIN_SIM."""
-    spark = vectors.sparkSession
-    c, counts = centroids(vectors)
-    shared = spark.sparkContext.broadcast((c.astype(np.float32), np.maximum(1, np.ceil(counts / TASK_ROWS)).astype(np.int64)))
+def _meet(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+    """Certain edges that span the components of leaders, and pairs of leaves still to be checked (with their leaders' vectors)."""
+    role = np.asarray(t.column("role"))
+    t = t.take(pa.array(np.lexsort((np.asarray(t.column("radius")), role))))  # leaves of like radius together
+    n0, alike = int((role == 0).sum()), key[1].as_py() == key[2].as_py()
+    leaf, r, vec = np.asarray(t.column("leaf")), np.asarray(t.column("radius")), t.column("vec").combine_chunks()
+    x = unpack(vec)
+    y, n = x.astype(np.float32), len(leaf)
+    sure, open_ = [], []
+    for s in range(0, n0, CHUNK):
+        for q in range(s if alike else n0, n, CHUNK):
+            a, b = slice(s, min(s + CHUNK, n0)), slice(q, q + CHUNK)
+            sim = y[a] @ y[b].T
+            reach = np.cos(np.minimum(THETA + r[a].max() + r[b].max(), np.pi))
+            i, j = np.nonzero(sim >= min(reach, MIN_SIM) - 5e-5)
+            v = sim[i, j].astype(np.float64)
+            i, j = i + a.start, j + q
+            keep = i < j
+            i, j, v = i[keep], j[keep], v[keep]
+            doubt = np.abs(v - MIN_SIM) < 5e-5  # single precision can't decide these
+            v[doubt] = np.round((x[i[doubt]] * x[j[doubt]]).sum(1), 6)
+            hit = v >= MIN_SIM
+            sure.append(np.stack([i[hit], j[hit]]))
+            wide = ~hit & (r[i] + r[j] > 0) & (v >= np.cos(np.minimum(THETA + r[i] + r[j], np.pi)) - 5e-5)
+            open_.append(np.stack([i[wide], j[wide]]))
+    z = lambda e: np.concatenate(e, axis=1) if e else np.zeros((2, 0), np.int64)
+    root = labels_of(n, *z(sure))
+    a, b = z(open_)
+    k = (root[a] != root[b]) & (leaf[a] != leaf[b])  # an open pair only matters between components of leaders
+    a, b = a[k], b[k]
+    e = np.flatnonzero(root != np.arange(n))  # one link per leaf and component
+    ia, ib = np.concatenate([e, a]), np.concatenate([root[e], b])
+    none = pa.nulls(len(e), pa.binary())
+    return pa.table(
+        [
+            pa.array(np.repeat([True, False], [len(e), len(a)])), pa.array(leaf[ia]), pa.array(leaf[ib]), pa.array(r[ia]), pa.array(r[ib]),
+            pa.concat_arrays([none, vec.take(pa.array(a))]), pa.concat_arrays([none, vec.take(pa.array(b))]),
+        ],
+        names=["sure", "a", "b", "ra", "rb", "va", "vb"],
+    )
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cents, salts = shared.value
-        for b in batches:
-            for s in range(0, b.num_rows, 2048):
-                p = b.slice(s, 2048)
-                k = (unpack(p.column(1)).astype(np.float32) @ cents.T).argmax(1)
-                salt = np.asarray(p.column(0)) % 1_000_003 % salts[k]
-                yield pa.RecordBatch.from_arrays([pa.array(k * 100_000 + salt, pa.int64()), *p.columns], names=["cell", "id", "vec"])
 
-    placed = vectors.mapInArrow(assign, "cell long, id long, vec binary")
-    base = written(placed.groupBy("cell").applyInArrow(_in_cell, _PART), "leaves")
+def linked_groups(vectors: DataFrame) -> Groups:
+    """The groups of vectors (id, vec) connected by similarities of at least MIN_SIM."""
+    home, shared = placed(vectors)
+    home = home.select((F.col("cell") * SALTS + F.col("salt")).alias("cell"), "id", "vec", "inner")
+    base = written(home.groupBy("cell").applyInArrow(_in_cell, _PART), "leaves")
     members = base.where("kind = 0").select("leaf", "id", "vec")
-    leaves = base.where("kind = 1").select("leaf", "n", "radius", "vec")
-
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cents, _ = shared.value
-        for b in batches:
-            for s in range(0, b.num_rows, 2048):
-                p = b.slice(s, 2048)
-                sim = unpack(p.column("vec")).astype(np.float32) @ cents.T
-                margin = MARGIN + MARGIN_WIDE * np.sin(np.asarray(p.column("radius")))
-                row, cell = np.nonzero(sim >= (sim.max(1) - margin)[:, None])
-                row = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), *(p.column(n).take(row) for n in ("leaf", "radius", "vec"))], names=["cell", "leaf", "radius", "vec"])
-
-    theta = float(np.arccos(MIN_SIM)) + 1e-6
-
-    def between(t: pa.Table) -> pa.Table:
-        """Certain edges that span the components of leaders, and pairs of leaves still to be checked (with their leaders' vectors)."""
-        leaf, r = np.asarray(t.column("leaf")), np.asarray(t.column("radius"))
-        vec = t.column("vec").combine_chunks()
-        x = unpack(vec)
-        n = len(leaf)
-        up = np.arange(n)
-
-        def root(i: int) -> int:
-            while up[i] != i:
-                up[i] = up[up[i]]
-                i = up[i]
-            return i
-
-        sure: list[tuple[int, int]] = []
-        open_a, open_b = [], []
-        for s in range(0, n, CHUNK):
-            for q in range(s, n, CHUNK):
-                a, b = x[s : s + CHUNK], x[q : q + CHUNK]
-                hit = linked(a, b)
-                i, j = np.nonzero(hit)
-                keep = i + s < j + q
-                for u, v in zip((i[keep] + s).tolist(), (j[keep] + q).tolist()):
-                    ru, rv = root(u), root(v)
-                    if ru != rv:
-                        up[max(ru, rv)] = min(ru, rv)
-                        sure.append((u, v))
-                ra, rb = r[s : s + CHUNK], r[q : q + CHUNK]
-                reach = np.cos(np.minimum(theta + ra[:, None] + rb[None], np.pi))
-                i, j = np.nonzero((a @ b.T >= reach) & ~hit & ((ra > 0)[:, None] | (rb > 0)[None]))
-                keep = i + s < j + q
-                open_a.append(i[keep] + s)
-                open_b.append(j[keep] + q)
-        roots = np.array([root(i) for i in range(n)])
-        a, b = np.concatenate(open_a), np.concatenate(open_b)
-        # An open pair only matters between different components of leaders.
-        k = (roots[a] != roots[b]) & (leaf[a] != leaf[b])
-        a, b = a[k], b[k]
-        ea, eb = np.array([u for u, _ in sure], np.int64), np.array([v for _, v in sure], np.int64)
-        ia, ib = np.concatenate([ea, a]), np.concatenate([eb, b])
-        empty = pa.nulls(len(ea), pa.binary())
-        return pa.table(
-            [
-                pa.array(np.repeat([True, False], [len(ea), len(a)])),
-                pa.array(leaf[ia]), pa.array(leaf[ib]), pa.array(r[ia]), pa.array(r[ib]),
-                pa.concat_arrays([empty, vec.take(pa.array(a))]), pa.concat_arrays([empty, vec.take(pa.array(b))]),
-            ],
-            names=["sure", "a", "b", "ra", "rb", "va", "vb"],
-        )
-
-    pairs = leaves.mapInArrow(visit, "cell long, leaf long, radius double, vec binary").groupBy("cell").applyInArrow(
-        between, "sure boolean, a long, b long, ra double, rb double, va binary, vb binary"
-    )
+    leaves = base.where("kind = 1").select("leaf", "n", "radius", "vec", "core")
+    theta = THETA
+    met = written(visits(leaves, shared), "met")
+    pairs = meetings(met).groupBy("space", "p", "q").applyInArrow(_meet, "sure boolean, a long, b long, ra double, rb double, va binary, vb binary")
     pairs = written(pairs, "pairs")
     edges = pairs.where("sure").select("a", "b")
     doubtful = pairs.where("not sure").dropDuplicates(["a", "b"])

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import random
 from collections import Counter
@@ -58,6 +59,22 @@ def test_clusters_equal_brute_force(spark, monkeypatch) -> None:  # noqa: ANN001
     assert set(got) == want
 
 
+@pytest.mark.parametrize(("dims", "cells"), [(4, 6), (10, 8), (64, 40)])
+def test_no_link_is_lost_whatever_the_data(spark, monkeypatch, dims: int, cells: int) -> None:  # noqa: ANN001
+    """Vectors spread evenly over few or many dimensions, in blocks of a few rows: pairs at the edges of cells are found all the same."""
+    monkeypatch.setattr(vectors, "CELLS", cells)
+    monkeypatch.setattr(vectors, "CHUNK", 32)
+    monkeypatch.setattr(vectors, "meetings", functools.partial(vectors.meetings, block=25))
+    r = np.random.default_rng(dims)
+    x = np.zeros((600, 64))
+    x[:, :dims] = r.standard_normal((600, dims))
+    x[300:] = x[:300] + r.standard_normal((300, 64)) * 0.055 * np.linalg.norm(x[:300], axis=1)[:, None]
+    _, lab = truth(x)
+    size = Counter(lab.tolist())
+    got = {(r.cluster_key, r.id) for r in clusters.clustered(table(spark, x), "face_id", "embedding").collect()}
+    assert got == {(lab[i] + 1, i + 1) for i in range(len(x)) if size[lab[i]] > 1}
+
+
 def test_profiles(spark) -> None:  # noqa: ANN001
     x = people(6, 120, 10, 0.05)
     _, lab = truth(x)
@@ -94,9 +111,9 @@ def test_no_vectors(spark) -> None:  # noqa: ANN001
     assert neighbours.most_similar(table(spark, np.zeros((0, 64))), "face_id", "embedding").count() == 0
 
 
-@pytest.mark.parametrize("hot", [50_000, 60])
-def test_neighbours_against_brute_force(spark, monkeypatch, hot: int) -> None:  # noqa: ANN001
-    monkeypatch.setattr(neighbours, "HOT_ROWS", hot)
+@pytest.mark.parametrize("block", [8192, 40])
+def test_neighbours_against_brute_force(spark, monkeypatch, block: int) -> None:  # noqa: ANN001
+    monkeypatch.setattr(neighbours, "meetings", lambda met: vectors.meetings(met, block))
     x = people(3, 400, 12, 0.06)
     x[17] = x[18] * 2  # a tie
     s, _ = truth(x)

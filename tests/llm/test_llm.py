@@ -113,7 +113,7 @@ def test_no_vectors(spark) -> None:  # noqa: ANN001
 
 @pytest.mark.parametrize("block", [8192, 40])
 def test_neighbours_against_brute_force(spark, monkeypatch, block: int) -> None:  # noqa: ANN001
-    monkeypatch.setattr(neighbours, "meetings", lambda met: vectors.meetings(met, block))
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", block)
     x = people(3, 400, 12, 0.06)
     x[17] = x[18] * 2  # a tie
     s, _ = truth(x)

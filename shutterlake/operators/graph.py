@@ -14,7 +14,7 @@ def components(edges: DataFrame) -> DataFrame:
     Minimum labels with pointer jumping; every round is a table in the shared folder, so lineage stays short and a lost executor costs
     one round. Edges are never collected. Self-loops give a node of its own; repeated edges count once.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).distinct()
     both = written(both, "edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
     while True:

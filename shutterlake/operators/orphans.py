@@ -45,7 +45,11 @@ def _hashes(key: str) -> list[Column]:
 
 
 def bloom_filter(parents: DataFrame, key: str) -> tuple[bytes, int]:
-    """(bit set, number of bits) of the keys. Each partition fills its own bit set; sets are merged by OR on executors."""
+    """(bit set, number of bits) of the keys. Each task fills one bit set; sets are merged by OR on executors.
+
+    There are at most two tasks per core, however many files, and a task sends the slices of its set as bit offsets where these are shorter, so that merging moves at most
+    16 bytes per key and at most two sets per core.
+    """
     n = parents.count()
     bits = 1 << 13
     while bits < min(n * BITS_PER_KEY, MAX_BITS):
@@ -60,17 +64,23 @@ def bloom_filter(parents: DataFrame, key: str) -> tuple[bytes, int]:
         if some:
             step = 1 << 16  # slices, so that no merging task holds whole filters of many partitions
             for k in range(0, len(own), step):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([own[k : k + step].tobytes()], pa.binary())], names=["k", "part"])
+                at = np.flatnonzero(np.unpackbits(own[k : k + step], bitorder="little")).astype(np.uint32)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([at.tobytes() if 4 * len(at) < step else own[k : k + step].tobytes()], pa.binary()), pa.array([4 * len(at) < step])], names=["k", "part", "sparse"])
 
     def merge(key_: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = None
+        whole = np.zeros(min(1 << 16, bits // 8), np.uint8)
         for b in batches:
-            for x in b.column("part"):
-                x = np.frombuffer(x.as_buffer(), np.uint8)
-                whole = x.copy() if whole is None else np.bitwise_or(whole, x, out=whole)
+            for x, sparse in zip(b.column("part"), b.column("sparse").to_pylist()):
+                if sparse:
+                    at = np.frombuffer(x.as_buffer(), np.uint32)
+                    np.bitwise_or.at(whole, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+                else:
+                    whole |= np.frombuffer(x.as_buffer(), np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([key_[0].as_py()], pa.int64()), pa.array([whole.tobytes()], pa.binary())], names=["k", "part"])
 
-    slices = parents.where(F.col(key).isNotNull()).select(*_hashes(key)).mapInArrow(fill, "k long, part binary")
+    keys = parents.where(F.col(key).isNotNull()).select(*_hashes(key)).coalesce(2 * parents.sparkSession.sparkContext.defaultParallelism)
+    slices = keys.mapInArrow(fill, "k long, part binary, sparse boolean")
     rows = slices.groupBy("k").applyInArrow(merge, "k long, part binary").collect()  # at most MAX_BITS / 8 bytes
     out = bytearray(bits // 8)
     for r in rows:

@@ -1,7 +1,7 @@
 """Faces and people: retrieval from a gallery, constrained clustering, unification and upkeep.
 
 Scores of all pairs that matter come from blocked matrix products on the executors. The merges that depend on their order (each one changes which
-next ones are allowed) run per connected component, or over a bounded list of the best edges where the reference has such a bound.
+next ones are allowed) run per connected component.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ DIMS = 64
 BLOCK = 100_000
 #: Similarities that a task holds at once (32 MB).
 CELLS = 4_000_000
-#: Edges that one ordered merge takes, the best first.
-MAX_EDGES = 50_000
+#: Edges of small components that one task unites.
+TASK_EDGES = 20_000
 LOW, HIGH, GAP = 0.40, 0.65, 0.12
 
 
@@ -187,25 +187,33 @@ def ordered_union(edges: pd.DataFrame, barred: set[tuple[int, int]], photos: dic
     return {x: root(x) for x in up}
 
 
-def united(edges: DataFrame, node_photos: DataFrame) -> DataFrame:
-    """(cluster_id, survivor) after uniting all edges (a, b, score), best first; ``node_photos``: (cluster_id, photo_id).
+def united(edges: DataFrame, node_photos: DataFrame, barred: DataFrame | None = None) -> DataFrame:
+    """(cluster_id, survivor) after uniting all edges (a, b, score), best first, never two that share a photo or are barred (a, b); ``node_photos``: (cluster_id, photo_id).
 
-    No edge reaches over two connected components, so each is united by itself, on the executors, with the result of one list over all.
+    No edge reaches over two connected components, so each is united by itself, on the executors, with the result of one list over all; small components share tasks.
     """
     edges = written(edges.select("a", "b", "score"), "edges")
     labels = components(edges)
+    tasks = F.lit(max(1, edges.count() // TASK_EDGES))
+    if barred is not None:  # a bar is an edge without a score; only one within a component has a say
+        ends = labels.select(col("node").alias("a"), col("label").alias("_l")), labels.select(col("node").alias("b"), col("label").alias("_r"))
+        bars = barred.select("a", "b").join(ends[0], "a").join(ends[1], "b").where("_l = _r").select("a", "b", F.lit(None).cast("double").alias("score"))
+        edges = edges.unionByName(bars)
 
     def run(e: pa.Table, p: pa.Table) -> pa.Table:
         photos: dict[int, set[int]] = {}
         for node, photo in zip(p.column("cluster_id").to_pylist(), p.column("photo_id").to_pylist()):
             if photo is not None:
                 photos.setdefault(node, set()).add(photo)
-        roots = ordered_union(e.select(["a", "b", "score"]).to_pandas(), set(), photos)
+        e = e.select(["a", "b", "score"]).to_pandas()
+        bar = e.score.isna()
+        roots = ordered_union(e[~bar], set(zip(e.a[bar], e.b[bar])), photos)
         return pa.table([pa.array(list(roots), pa.int64()), pa.array(list(roots.values()), pa.int64())], names=["cluster_id", "survivor"])
 
+    labels = labels.select("node", F.pmod(F.xxhash64("label"), tasks).alias("task"))
     e = edges.join(labels.withColumnRenamed("node", "a"), "a")
-    p = node_photos.join(labels.select(col("node").alias("cluster_id"), col("label").alias("of")), "cluster_id").select("of", "cluster_id", "photo_id")
-    return e.groupBy("label").cogroup(p.groupBy("of")).applyInArrow(run, "cluster_id long, survivor long")
+    p = node_photos.join(labels.withColumnRenamed("node", "cluster_id"), "cluster_id").select(col("task").alias("of"), "cluster_id", "photo_id")
+    return e.groupBy("task").cogroup(p.groupBy("of")).applyInArrow(run, "cluster_id long, survivor long")
 
 
 def cluster_scores(gallery: DataFrame, min_sim: float = 0.4, top: int = 3) -> DataFrame:
@@ -217,16 +225,9 @@ def cluster_scores(gallery: DataFrame, min_sim: float = 0.4, top: int = 3) -> Da
     return t.groupBy("a", "b").agg(F.round(F.avg("sim") + 1e-9, 6).alias("score"))
 
 
-def unified(scores: DataFrame, cluster_photos: DataFrame, barred: list[tuple[int, int]], least: float = 0.55) -> DataFrame:
-    """(cluster_id, survivor) after uniting pairs of at least ``least``, best first; bounded to the ``MAX_EDGES`` best pairs."""
-    spark = scores.sparkSession
-    e = scores.where(col("score") >= least).orderBy(col("score").desc(), "a", "b").limit(MAX_EDGES)
-    nodes = e.select(col("a").alias("cluster_id")).union(e.select("b")).distinct()
-    seen = cluster_photos.join(nodes, "cluster_id", "left_semi").groupBy("cluster_id").agg(F.collect_set("photo_id").alias("p"))
-    photos = {r.cluster_id: set(r.p) for r in seen.toLocalIterator()}
-    roots = ordered_union(e.toPandas(), set(barred), photos)
-    rows = sorted(roots.items()) or [(0, 0)]
-    return spark.createDataFrame(rows, "cluster_id long, survivor long").where("cluster_id > 0 or survivor > 0")
+def unified(scores: DataFrame, cluster_photos: DataFrame, barred: DataFrame | None = None, least: float = 0.55) -> DataFrame:
+    """(cluster_id, survivor) after uniting pairs of clusters (a, b, score) of at least ``least``, best first, but for those barred (a, b) and those that share a photo."""
+    return united(scores.where(col("score") >= least), cluster_photos.select("cluster_id", "photo_id").distinct(), barred)
 
 
 def linked(faces: DataFrame, least: float = 0.7, k: int = 15) -> DataFrame:
@@ -246,23 +247,35 @@ def exemplars(faces: DataFrame, n: int = 30) -> DataFrame:
 def diverse(faces: DataFrame, most: int = 30, alike: float = 0.70) -> DataFrame:
     """(cluster_id, exemplar) of a gallery kept diverse: when it is full, a face whose least similarity to it is under ``alike`` replaces the unconfirmed member most similar to the rest.
 
-    Faces come in order of confidence, confirmed ones first; a cluster's faces stream through one task, which holds the gallery only.
+    Faces come in order of confidence, confirmed ones first. They are sorted by the shuffle, which spills, and stream through a task that holds one gallery only, however large a
+    cluster is.
     """
 
-    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches)).sort_by([("user_confirmed", "descending"), ("confidence", "descending"), ("face_id", "ascending")])
-        x, ids, sure = _matrix(t.column("unit").combine_chunks()), np.asarray(t.column("face_id")), np.asarray(t.column("user_confirmed")) > 0
-        own = list(range(min(most, len(ids))))
-        for i in range(len(own), len(ids)):
-            g = x[own]
-            if (g @ x[i]).min() < alike:
-                mean = (g @ g.T).sum(1)
-                free = [k for k, r in enumerate(own) if not sure[r]]
-                if free:
-                    own[max(free, key=lambda k: (mean[k], ids[own[k]]))] = i
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(own), pa.int64()), pa.array(ids[own])], names=["cluster_id", "exemplar"])
-
-    return faces.where("cluster_id is not null").select("cluster_id", "face_id", "user_confirmed", "confidence", "unit").groupBy("cluster_id").applyInArrow(run, "cluster_id long, exemplar long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, sure, g = None, np.zeros(0, np.int64), np.zeros(0, bool), np.zeros((0, DIMS))
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now] * len(ids), pa.int64()), pa.array(ids)], names=["cluster_id", "exemplar"])
+
+        for b in batches:
+            x = _matrix(b.column("unit"))
+            for c, i, u, v in zip(b.column("cluster_id").to_pylist(), b.column("face_id").to_pylist(), b.column("user_confirmed").to_pylist(), x):
+                if c != now:
+                    if now is not None:
+                        yield done()
+                    now, ids, sure, g = c, ids[:0], sure[:0], g[:0]
+                if len(ids) < most:
+                    ids, sure, g = np.append(ids, i), np.append(sure, u > 0), np.vstack([g, v])
+                elif (g @ v).min() < alike and not sure.all():
+                    mean = (g @ g.T).sum(1)
+                    k = max(np.flatnonzero(~sure), key=lambda k: (mean[k], ids[k]))
+                    ids[k], sure[k], g[k] = i, u > 0, v
+        if now is not None:
+            yield done()
+
+    f = faces.where("cluster_id is not null").select("cluster_id", "face_id", "user_confirmed", "confidence", "unit")
+    f = f.repartition("cluster_id").sortWithinPartitions("cluster_id", col("user_confirmed").desc(), col("confidence").desc(), "face_id")
+    return f.mapInArrow(run, "cluster_id long, exemplar long")
 
 
 def centroid(faces: DataFrame, cluster: int) -> DataFrame:
@@ -413,6 +426,11 @@ def assigned_apart(faces: DataFrame, gallery: DataFrame, min_sim: float, high: f
     return faces.join(b, "face_id", "left").withColumn("cluster_id", F.coalesce("cluster_id", "_c")).drop("_c")
 
 
+def rescued(faces: DataFrame, gallery: DataFrame) -> DataFrame:
+    """Faces that still have no cluster are given to one by laxer bands, and those left are clusters of their own."""
+    return with_singletons(assigned_apart(faces, gallery, 0.45, 0.60, 0.08))
+
+
 def pipeline(faces: DataFrame, limit: float = 0.30, most: int = 256) -> DataFrame:
     """Faces after assign, cluster, refresh, unify, rescue and singletons. New clusters are numbered after the present ones, by their smallest face."""
     unit = faces.select("face_id", "unit")
@@ -432,6 +450,6 @@ def pipeline(faces: DataFrame, limit: float = 0.30, most: int = 256) -> DataFram
         return written(g.join(unit.withColumnRenamed("face_id", "exemplar"), "exemplar").select("cluster_id", "exemplar", "unit"), "gallery")
 
     held = faces.where("cluster_id is not null").select("cluster_id", "photo_id")
-    roots = unified(cluster_scores(gallery(faces)), held, [])
+    roots = unified(cluster_scores(gallery(faces)), held)
     faces = written(faces.join(roots, "cluster_id", "left").withColumn("cluster_id", F.coalesce("survivor", "cluster_id")).drop("survivor"), "unified")
-    return with_singletons(assigned_apart(faces, gallery(faces), 0.45, 0.60, 0.08))
+    return rescued(faces, gallery(faces))

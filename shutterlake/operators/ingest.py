@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 
 col = F.col
-# Extensions of pictures and videos that are taken in, folders that are skipped.
-PHOTO_EXTENSIONS = "jpg jpeg png gif bmp webp tif tiff heic heif avif dng cr2 cr3 nef arw raf orf rw2".split()
-VIDEO_EXTENSIONS = "mp4 mov m4v avi mkv webm mts 3gp".split()
-SKIP_FOLDERS = ["node_modules", "$RECYCLE.BIN", "System Volume Information", "@eaDir", "__MACOSX"]
+# Extensions of pictures, raw pictures and videos that are taken in, and names of folders that are skipped.
+PHOTO_EXTENSIONS = "jpg jpeg png heic heif webp tif tiff bmp gif nef cr2 cr3 arw dng orf rw2 pef rwl srw raf".split()
+VIDEO_EXTENSIONS = "mp4 m4v mov webm mkv avi 3gp 3g2 mts m2ts".split()
+SKIP_FOLDERS = [".photovault", ".Trash", "$RECYCLE.BIN", "System Volume Information", ".DS_Store", "Thumbs.db", ".thumbnails", "@eaDir"]
 MIN_BYTES = 1024
 HEAD_BYTES = 65536
 
@@ -92,28 +92,32 @@ def applied(photos: DataFrame, changes: DataFrame, listing: DataFrame) -> DataFr
     return out.unionByName(stubs)
 
 
-# Notations of dates in file names, in order, each with year, month, day and perhaps hour, minute, second.
+# Notations of dates in file names, in order; digits in brackets are, one after the other, year, month, day, hour, minute and second.
 NAME_DATES = [
-    r"(\d{4})(\d{2})(\d{2})[_-](\d{2})(\d{2})(\d{2})",
-    r"(\d{4})-(\d{2})-(\d{2})[ _T](\d{2})[.\-:](\d{2})[.\-:](\d{2})",
-    r"(\d{4})-(\d{2})-(\d{2}) at (\d{2})\.(\d{2})\.(\d{2})",
-    r"(\d{4})_(\d{2})_(\d{2})_(\d{2})_(\d{2})_(\d{2})",
-    r"(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})",
-    r"(\d{4})-(\d{2})-(\d{2})()()()",
-    r"(\d{4})_(\d{2})_(\d{2})()()()",
-    r"(\d{4})\.(\d{2})\.(\d{2})()()()",
-    r"(?<!\d)(\d{4})(\d{2})(\d{2})(?!\d)()()()",
+    r"IMG_(\d{8})_(\d{6})",
+    r"(\d{8})_(\d{6})",
+    r"(\d{4}-\d{2}-\d{2}) (\d{2}\.\d{2}\.\d{2})",
+    r"Screenshot_(\d{8})[-_](\d{6})",
+    r"(?:IMG|VID)-(\d{8})-WA\d+",
+    r"Screenshot[ _](\d{4}-\d{2}-\d{2}) at (\d{2}\.\d{2}\.\d{2})",
+    r"signal-(\d{4}-\d{2}-\d{2})-(\d{6})",
+    r"(\d{8})-(\d{6})",
+    r"(\d{4}-\d{2}-\d{2})-(\d{2}-\d{2}-\d{2})",
+    r"(\d{4}-\d{2}-\d{2})[ _](\d{2}[.\-_]\d{2}[.\-_]\d{2})",
+    r"(?:^|[^\d])(\d{8})\.",
 ]
 
 
 def name_date(name: str, last_year: int) -> Column:
-    """The first plausible date in a file name, midnight where it has no time of day; years from 1900 to ``last_year`` + 1."""
+    """The first plausible date in a file name, midnight where it has no time of day or one that doesn't exist; years from 1900 to ``last_year`` + 1."""
     out = []
     for p in NAME_DATES:
-        g = [F.regexp_extract(name, p, i) for i in range(1, 7)]
-        h = [F.when(x == "", "00").otherwise(x) for x in g[3:]]
-        t = F.concat(g[0], F.lit("-"), g[1], F.lit("-"), g[2], F.lit(" "), h[0], F.lit(":"), h[1], F.lit(":"), h[2]).try_cast("timestamp_ntz")
-        out.append(F.when(F.year(t).between(1900, last_year + 1), t))
+        digits = F.regexp_replace(F.concat(*(F.regexp_extract(name, p, i) for i in range(1, p.replace("(?:", "").count("(") + 1))), r"\D", "")
+        part = lambda i, n, d=digits: F.substring(d, i, n)
+        day = F.concat_ws("-", part(1, 4), part(5, 2), part(7, 2))
+        whole = F.concat(day, F.lit(" "), F.concat_ws(":", part(9, 2), part(11, 2), part(13, 2))).try_cast("timestamp_ntz")
+        for t in (F.when(F.length(digits) == 14, whole), F.when(F.length(digits) == 8, day.try_cast("date").cast("timestamp_ntz"))):
+            out.append(F.when(F.year(t).between(1900, last_year + 1), t))
     return F.coalesce(*out)
 
 

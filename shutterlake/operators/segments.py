@@ -18,8 +18,16 @@ def gap_islands(df: DataFrame, keys: list[str], gap: int, date: str = "taken", k
     """Number the runs of rows within ``keys`` that have no gap of more than ``gap`` seconds; with ``closes``, a run also ends where that column changes.
 
     Rows are ordered within buckets of six hours only; buckets are joined through one row each (their first and last row and their number of
-    starts), so a key that holds most rows is spread over its buckets. Rows without a date are left out.
+    starts), so a key that holds most rows is spread over its buckets. Without ``closes`` only distinct times are ordered, so that very many rows of one time (a camera's default) are
+    one row there, and a plain join gives them their run. Rows without a date are left out.
     """
+    if closes is None:
+        times = df.where(col(date).isNotNull()).select(*keys, date).distinct()
+        return _null_safe_join(df.where(col(date).isNotNull()), _islands(times, keys, gap, date, date, None, name), [*keys, date])
+    return _islands(df, keys, gap, date, key, closes, name)
+
+
+def _islands(df: DataFrame, keys: list[str], gap: int, date: str, key: str, closes: str | None, name: str) -> DataFrame:
     d = df.where(col(date).isNotNull()).withColumn("_b", F.floor(X.seconds(date) / BUCKET_S))
     w = W.partitionBy(*keys, "_b").orderBy(date, key)
     flag = col(closes) if closes else F.lit(0)
@@ -52,8 +60,9 @@ def _null_safe_join(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
 def bursts(photos: DataFrame, gap: int, span: int, least: int = 2) -> DataFrame:
     """(folder, photo_id, burst): photos of a folder at most ``gap`` seconds apart, a burst lasting at most ``span`` seconds; bursts of at least ``least``.
 
-    Gaps depend on the previous photo only and cut the timeline into islands. Only an island longer than ``span`` is folded in
-    order, streaming; the start of a burst in it depends on where the one before ended.
+    Gaps depend on the previous photo only and cut the timeline into islands. Only an island longer than ``span`` is folded in order, as the start of a burst in it depends
+    on where the one before ended; the fold takes the distinct seconds of the island, with the first photo of each, so what a task holds is bounded by the time
+    that a camera fired without a break, not by the number of its photos.
     """
     p = gap_islands(photos.select("folder", "photo_id", "taken"), ["folder"], gap)
     p = p.withColumn("t", X.seconds("taken"))
@@ -62,17 +71,18 @@ def bursts(photos: DataFrame, gap: int, span: int, least: int = 2) -> DataFrame:
     short = p.where(col("_span") <= span).select("folder", "photo_id", col("_first").alias("burst"))
 
     def fold(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        t = t.sort_by([("t", "ascending"), ("photo_id", "ascending")])
+        t = t.sort_by("t")
         ids, times = t.column("photo_id").to_pylist(), t.column("t").to_pylist()
         out, head, begin = [], None, None
         for i, x in zip(ids, times):
             if head is None or x - begin > span:
                 head, begin = i, x
             out.append(head)
-        return pa.table([t.column("folder"), t.column("photo_id"), pa.array(out, pa.int64())], names=["folder", "photo_id", "burst"])
+        return pa.table([t.column("folder"), t.column("island"), t.column("t"), pa.array(out, pa.int64())], names=["folder", "island", "t", "burst"])
 
-    long = p.where(col("_span") > span).select("folder", "island", "photo_id", "t").groupBy("folder", "island").applyInArrow(fold, "folder string, photo_id long, burst long")
-    every = short.unionByName(long)
+    long = p.where(col("_span") > span).select("folder", "island", "photo_id", "t")
+    heads = long.groupBy("folder", "island", "t").agg(F.min("photo_id").alias("photo_id")).groupBy("folder", "island").applyInArrow(fold, "folder string, island long, t long, burst long")
+    every = short.unionByName(_null_safe_join(long, heads, ["folder", "island", "t"]).select("folder", "photo_id", "burst"))
     big = every.groupBy("folder", "burst").agg(F.count("*").alias("n")).where(col("n") >= least).select("folder", "burst")
     return every.join(big, ["folder", "burst"], "left_semi")
 
@@ -149,15 +159,17 @@ def gatherings(photos: DataFrame, identities: DataFrame, least: int = 8, window:
     s = gap_islands(p.select("photo_id", "taken"), [], window, name="stretch").select("stretch", "photo_id", X.seconds("taken").alias("t"))
 
     def fold(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        t = t.sort_by([("t", "ascending"), ("photo_id", "ascending")])
+        t = t.sort_by("t")
         out, begin = [], None
         for x in t.column("t").to_pylist():
             if begin is None or x >= begin + window:
                 begin = x
             out.append(begin)
-        return pa.table([t.column("photo_id"), pa.array(out, pa.int64())], names=["photo_id", "start_s"])
+        return pa.table([t.column("stretch"), t.column("t"), pa.array(out, pa.int64())], names=["stretch", "t", "start_s"])
 
-    w = s.groupBy("stretch").applyInArrow(fold, "photo_id long, start_s long")
+    # Distinct seconds only, so a stretch is bounded by its time.
+    w = s.select("stretch", "t").distinct().groupBy("stretch").applyInArrow(fold, "stretch long, t long, start_s long")
+    w = s.join(w, ["stretch", "t"]).select("photo_id", "start_s")
     g = w.join(identities, "photo_id").groupBy("start_s").agg(F.countDistinct("photo_id").alias("n"), F.countDistinct("cluster_id").alias("people"))
     return g.where((col("n") >= least) & (col("people") >= 2)).select(F.timestamp_seconds("start_s").cast("timestamp_ntz").alias("start"), "n", "people")
 

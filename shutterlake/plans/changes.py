@@ -9,7 +9,7 @@ from shutterlake.functions import exprs as X
 from shutterlake.operators import grouping as G
 from shutterlake.operators import ingest as N
 from shutterlake.operators import mutate as M
-from shutterlake.plans.groups import _EX, _OPS, changes
+from shutterlake.plans.groups import _EX, _OPS, changes, sized
 from shutterlake.plans.timeline import _ST, stacks
 from shutterlake.session import fresh
 from shutterlake.sources.library import Library, sql
@@ -26,16 +26,13 @@ def q(name: str, text: str | None, f, more: str = "") -> None:  # noqa: ANN001
         SQL[name] = sql(text, more)
 
 
-def _in(words: list[str]) -> str:
-    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
-
-
 _EXT = "lower(regexp_extract(file_path, '\\.([^./\\\\]+)$', 1))"
+_VIDEOS = "'mp4', 'm4v', 'mov', 'webm', 'mkv', 'avi', '3gp', '3g2', 'mts', 'm2ts'"
 q("SC01", None, lambda L: N.listed(L.spark, L.path).select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), "length").where("name like '%.parquet'"))
-q("SC02", f"SELECT photo_id FROM ph WHERE {_EXT} IN {_in(N.PHOTO_EXTENSIONS + N.VIDEO_EXTENSIONS)} AND file_size >= 1024", lambda L: L.photos().where(N.wanted("file_path", "file_size")).select("photo_id"))
-q("SC03", f"SELECT photo_id, CASE WHEN {_EXT} IN {_in(N.VIDEO_EXTENSIONS)} THEN 'video' ELSE 'photo' END AS kind FROM ph", lambda L: L.photos().select("photo_id", N.media_type("file_path").alias("kind")))
+q("SC02", f"SELECT photo_id FROM ph WHERE {_EXT} IN ('jpg', 'jpeg', 'png', 'heic', 'heif', 'webp', 'tif', 'tiff', 'bmp', 'gif', 'nef', 'cr2', 'cr3', 'arw', 'dng', 'orf', 'rw2', 'pef', 'rwl', 'srw', 'raf', {_VIDEOS}) AND file_size >= 1024 AND NOT list_has_any(string_split(file_path, '/'), ['$RECYCLE.BIN', 'System Volume Information', 'Thumbs.db', '@eaDir']) AND NOT regexp_matches(file_path, '(^|/)[.]')", lambda L: L.photos().where(N.wanted("file_path", "file_size")).select("photo_id"))
+q("SC03", f"SELECT photo_id, CASE WHEN {_EXT} IN ({_VIDEOS}) THEN 'video' ELSE 'photo' END AS kind FROM ph", lambda L: L.photos().select("photo_id", N.media_type("file_path").alias("kind")))
 _LE = " || ".join(f"substr(h{{}}, {i}, 2)" for i in range(15, 0, -2))
-q("SC04", f"SELECT doc_id, sha256(unhex({_LE.replace('h{}', 'ha')} || {_LE.replace('h{}', 'hb')}) || encode(t)) AS fingerprint FROM (SELECT doc_id, lpad(hex(n_chars), 16, '0') AS ha, lpad(hex(doc_id), 16, '0') AS hb, left(text, 8000) AS t FROM documents WHERE text IS NOT NULL AND n_chars IS NOT NULL)", lambda L: L.table("documents").where("text is not null and n_chars is not null").select("doc_id", N.fast_fingerprint(col("n_chars"), col("doc_id"), F.encode(F.left("text", F.lit(8000)), "utf-8")).alias("fingerprint")))
+q("SC04", f"SELECT doc_id, sha256(unhex({_LE.replace('h{}', 'ha')} || {_LE.replace('h{}', 'hb')}) || t[1:65536]) AS fingerprint FROM (SELECT doc_id, lpad(hex(n_chars), 16, '0') AS ha, lpad(hex(doc_id), 16, '0') AS hb, encode(text) AS t FROM documents WHERE text IS NOT NULL AND n_chars IS NOT NULL)", lambda L: L.table("documents").where("text is not null and n_chars is not null").select("doc_id", N.fast_fingerprint(col("n_chars"), col("doc_id"), F.encode("text", "utf-8")).alias("fingerprint")))
 q("SC05", "SELECT doc_id, sha256(text) AS content_hash FROM documents WHERE text IS NOT NULL", lambda L: L.table("documents").where("text is not null").select("doc_id", F.sha2(F.encode("text", "utf-8"), 256).alias("content_hash")))
 q("SC06", "SELECT file_path FROM items WHERE file_path NOT IN (SELECT file_path FROM ph)", lambda L: N.fresh(L.items().where("file_path is not null").select("file_path"), L.photos()))
 q("SC09", None, lambda L: _dates(L))
@@ -113,7 +110,7 @@ q("DM05", f"SELECT photo_id FROM (SELECT *, row_number() OVER (PARTITION BY file
 
 
 def _to_trash(L: Library) -> DataFrame:
-    g = G.exact_groups(L.live())
+    g = G.exact_groups(sized(L))
     keeps = G.keep_suggestions(g).withColumnRenamed("file_hash", "group_key")
     groups = g.select(col("file_hash").alias("group_key"), "photo_id")
     return M.non_keepers(groups, keeps, groups.where(col("group_key").startswith("a")).select("group_key").distinct())

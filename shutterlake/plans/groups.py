@@ -26,10 +26,16 @@ def q(name: str, text: str | None, f, more: str = "") -> None:  # noqa: ANN001
 
 
 # Duplicates
-_EX = "exact AS (SELECT * FROM live WHERE file_size IS NOT NULL AND file_hash IN (SELECT file_hash FROM live WHERE file_hash IS NOT NULL AND file_size IN (SELECT file_size FROM live WHERE file_hash IS NOT NULL AND file_size IS NOT NULL GROUP BY file_size HAVING count(*) > 1) GROUP BY file_hash HAVING count(*) > 1))"
-q("SG01", "SELECT file_hash, photo_id FROM exact", lambda L: G.exact_groups(L.live()).select("file_hash", "photo_id"), _EX)
+def sized(L: Library) -> DataFrame:
+    """Live photos; files of one content have one size, the smallest recorded."""
+    least = L.live().where("file_hash is not null").groupBy("file_hash").agg(F.min("file_size").alias("_s"))
+    return L.live().join(least, "file_hash", "left").withColumn("file_size", F.when(col("file_hash").isNull(), col("file_size")).otherwise(col("_s"))).drop("_s")
+
+
+_EX = "sized AS (SELECT * REPLACE (CASE WHEN file_hash IS NULL THEN file_size ELSE min(file_size) OVER (PARTITION BY file_hash) END AS file_size) FROM live), exact AS (SELECT * FROM sized WHERE file_size IS NOT NULL AND file_hash IN (SELECT file_hash FROM sized WHERE file_hash IS NOT NULL AND file_size IN (SELECT file_size FROM sized WHERE file_hash IS NOT NULL AND file_size IS NOT NULL GROUP BY file_size HAVING count(*) > 1) GROUP BY file_hash HAVING count(*) > 1))"
+q("SG01", "SELECT file_hash, photo_id FROM exact", lambda L: G.exact_groups(sized(L)).select("file_hash", "photo_id"), _EX)
 _PEN = " + ".join(f"100 * CAST(list_contains(string_split_regex(lower(file_path), '[^a-z0-9]+'), '{w}') AS INTEGER)" for w in G.BAD_WORDS)
-q("SG02", f"SELECT file_hash, photo_id AS keep FROM (SELECT *, row_number() OVER (PARTITION BY file_hash ORDER BY {_PEN}, file_size DESC, length(file_path), taken NULLS LAST, file_path, photo_id) AS rn FROM exact) WHERE rn = 1", lambda L: G.keep_suggestions(G.exact_groups(L.live())), _EX)
+q("SG02", f"SELECT file_hash, photo_id AS keep FROM (SELECT *, row_number() OVER (PARTITION BY file_hash ORDER BY {_PEN}, file_size DESC, length(file_path), taken NULLS LAST, file_path, photo_id) AS rn FROM exact) WHERE rn = 1", lambda L: G.keep_suggestions(G.exact_groups(sized(L))), _EX)
 _HASH = "u AS (SELECT face_id, list_sum([CASE WHEN embedding[i + 1] > 0 THEN CAST(1 AS HUGEINT) << i ELSE 0 END FOR i IN range(64)]) AS u FROM (SELECT face_id, any_value(embedding) AS embedding FROM cluster_input GROUP BY face_id) WHERE len(embedding) = 64), hashes AS (SELECT face_id, CAST(CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END AS BIGINT) AS phash FROM u)"
 
 
@@ -53,7 +59,7 @@ def _stored(L: Library) -> DataFrame:
     return L.photos().where("file_hash is not null and photo_id % 3 <> 0").groupBy("file_hash").agg(F.count("*").alias("n")).where("n > 1").select("file_hash")
 
 
-q("SG06", "SELECT coalesce(o.file_hash, n.file_hash) AS file_hash, CASE WHEN o.file_hash IS NULL THEN 'new' WHEN n.file_hash IS NULL THEN 'stale' ELSE 'kept' END AS action FROM oldg o FULL JOIN newg n ON n.file_hash = o.file_hash", lambda L: G.synced(_stored(L), G.exact_groups(L.live()).select("file_hash"), "file_hash"), f"{_EX}, {_OLD}")
+q("SG06", "SELECT coalesce(o.file_hash, n.file_hash) AS file_hash, CASE WHEN o.file_hash IS NULL THEN 'new' WHEN n.file_hash IS NULL THEN 'stale' ELSE 'kept' END AS action FROM oldg o FULL JOIN newg n ON n.file_hash = o.file_hash", lambda L: G.synced(_stored(L), G.exact_groups(sized(L)).select("file_hash"), "file_hash"), f"{_EX}, {_OLD}")
 _R2 = f"{_BU}, sets AS (SELECT folder, run, count(*) AS n, sha256(array_to_string(list_sort(list(photo_id))::VARCHAR[], ',')) AS set_key FROM runs GROUP BY folder, run HAVING count(*) > 1)"
 
 
@@ -77,7 +83,7 @@ k2 AS (SELECT g, photo_id FROM (SELECT *, count(*) OVER (PARTITION BY g) AS k FR
 
 
 def _claims(L: Library) -> DataFrame:
-    exact = G.exact_groups(L.live()).select(col("file_hash").alias("group_key"), "photo_id")
+    exact = G.exact_groups(sized(L)).select(col("file_hash").alias("group_key"), "photo_id")
     burst = _runs(L).select(F.concat("folder", F.lit(":"), col("run").cast("string")).alias("group_key"), "photo_id")
     return G.claimed([("exact", exact), ("burst", burst)])
 
@@ -85,7 +91,7 @@ def _claims(L: Library) -> DataFrame:
 q("SG09", "SELECT 'exact' AS kind, g AS group_key, photo_id FROM k1 UNION ALL SELECT 'burst', g, photo_id FROM k2", _claims, _CL)
 _QL = "1.2 * least(coalesce(CAST(width AS DOUBLE) * height / 1e6, 0), 60) + least(ln(CAST(greatest(coalesce(file_size, 1), 1) AS DOUBLE)) / 20, 4) + 2.0 * least(coalesce(n, 0), 5)"
 q("SG10", f"SELECT photo_id, round({_QL}, 6) AS score FROM live LEFT JOIN (SELECT photo_id, count(*) AS n FROM faces GROUP BY photo_id) f USING (photo_id)", lambda L: L.live().join(L.faces().groupBy("photo_id").agg(F.count("*").alias("n")), "photo_id", "left").select("photo_id", F.round(G.quality(F.coalesce("n", F.lit(0))), 6).alias("score")))
-q("SG11", "SELECT n.file_hash, coalesce(s.status, 'pending') AS status FROM newg n LEFT JOIN (SELECT fingerprint, min(status) AS status FROM suggestions GROUP BY fingerprint) s ON s.fingerprint = n.file_hash WHERE coalesce(s.status, 'pending') <> 'dismissed'", lambda L: G.exact_groups(L.live()).select("file_hash").distinct().join(L.suggestions().groupBy(col("fingerprint").alias("file_hash")).agg(F.min("status").alias("status")), "file_hash", "left").select("file_hash", F.coalesce("status", F.lit("pending")).alias("status")).where("status <> 'dismissed'"), f"{_EX}, {_OLD}")
+q("SG11", "SELECT n.file_hash, coalesce(s.status, 'pending') AS status FROM newg n LEFT JOIN (SELECT fingerprint, min(status) AS status FROM suggestions GROUP BY fingerprint) s ON s.fingerprint = n.file_hash WHERE coalesce(s.status, 'pending') <> 'dismissed'", lambda L: G.exact_groups(sized(L)).select("file_hash").distinct().join(L.suggestions().groupBy(col("fingerprint").alias("file_hash")).agg(F.min("status").alias("status")), "file_hash", "left").select("file_hash", F.coalesce("status", F.lit("pending")).alias("status")).where("status <> 'dismissed'"), f"{_EX}, {_OLD}")
 q("SG13", None, lambda L: G.sharpness(L.table("embeddings"), "vec_id", "embedding", 8))
 q("SG05", "SELECT * FROM (VALUES (1::BIGINT), (2), (3), (4), (5)) v(id)", lambda L: G.near_groups(L.spark.createDataFrame([(1, 0), (2, 0), (3, 0), (4, 15), (5, 255), (6, 65535)], "id long, phash long"), "id").select("id"))
 
@@ -127,7 +133,7 @@ _LV = "lv AS (SELECT k, CAST(floor(cy / CAST(power(2, k) AS DOUBLE)) AS BIGINT)
 q("SP02", "SELECT cy, cx, CAST(lv.k AS BIGINT) AS level, count(*) AS n, round(sum(lat) / count(*) + 1e-7::DOUBLE, 4) AS lat, round(sum(lon) / count(*) + 1e-7::DOUBLE, 4) AS lon FROM lv JOIN lk ON lk.k = lv.k GROUP BY cy, cx, lv.k", lambda L: P.merged_pins(L.live(), 8, 300), f"{_C8}, {_LV}")
 q("SP03", "SELECT photo_id FROM live WHERE lat BETWEEN -50 AND 70 AND (lon >= 170 OR lon <= 20)", lambda L: L.live().where(P.Viewport.of(70, -50, 170, 380).holds()).select("photo_id"))
 q("SP04", "SELECT photo_id, lat, lon FROM live WHERE lat IS NOT NULL ORDER BY taken DESC NULLS LAST, photo_id DESC LIMIT 100000", lambda L: L.live().where("lat is not null").orderBy(col("taken").desc_nulls_last(), col("photo_id").desc()).limit(100_000).select("photo_id", "lat", "lon"))
-q("SP05", "SELECT photo_id, file_name FROM live WHERE photo_id IN (3, 5, 8, 13, 21, 34, 55, 89)", lambda L: X.in_given_order(L.live(), "photo_id", [3, 5, 8, 13, 21, 34, 55, 89]).select("photo_id", "file_name"))
+q("SP05", "SELECT photo_id, file_name FROM live WHERE photo_id IN (1001, 1002, 1005, 1008, 1013, 1021, 1034, 1055, 1089)", lambda L: X.in_given_order(L.live(), "photo_id", [1001, 1002, 1005, 1008, 1013, 1021, 1034, 1055, 1089]).select("photo_id", "file_name"))
 _PR = "CASE feature_code " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in P.PRIORITY.items()) + " ELSE 7 END"
 _BC = f"""cand AS (SELECT p.photo_id, c.id AS city_id, abs(p.lat - c.latitude) AS dy, least(abs(p.lon - c.longitude), 360 - abs(p.lon - c.longitude)) AS dx, {_PR} AS pr,
   2 * 6371.0 * asin(sqrt(least(1.0, power(sin(radians(c.latitude - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(c.latitude)) * power(sin(radians(c.longitude - p.lon) / 2), 2)))) AS km

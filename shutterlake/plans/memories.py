@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shutterlake.functions import exprs as X
 from shutterlake.operators import insights as I
 from shutterlake.operators import memories as M
+from shutterlake.plans.groups import hashes
 from shutterlake.plans.insights import _HOME, runs
 from shutterlake.plans.timeline import _IDS, suggested
 from shutterlake.sources.library import Library, sql
@@ -41,9 +42,9 @@ def _per(where: str, order: str, n: int) -> str:
 
 
 q("MM01", _years(_per(f"{_OLD} AND strftime(taken, '%m-%d') = '06-15'", _OR, 500), 10), lambda L: M.on_this_day(dated(L), TODAY))
-_NEAR = "('02-26', '02-27', '02-28', '02-29', '03-01', '03-02', '03-03')"
-q("MM02", f"SELECT * FROM ({_years(_per(_OLD + ' AND strftime(taken, ' + chr(39) + '%m-%d' + chr(39) + ') IN ' + _NEAR.replace('02-29', '02-25'), _OR, 500), 10)}) WHERE NOT EXISTS (SELECT 1 FROM live WHERE strftime(taken, '%m-%d') = '02-28')", lambda L: M.around_this_day(dated(L), date(2025, 2, 28)))
-SQL["MM02"] = SQL["MM02"].replace("2025-03-17", "2024-11-30")
+_NEAR = "('06-12', '06-13', '06-14', '06-15', '06-16', '06-17', '06-18')"
+_BARE = "bare AS (SELECT * FROM live WHERE strftime(taken, '%m-%d') <> '06-15')"  # a library with no photo of the day itself
+q("MM02", _years(_per(f"{_OLD} AND strftime(taken, '%m-%d') IN {_NEAR}", _OR, 500), 10).replace("FROM live", "FROM bare"), lambda L: M.around_this_day(dated(L).where(F.date_format("taken", "MM-dd") != "06-15"), TODAY), _BARE)
 q("MM03", _years(_per(f"{_OLD} AND month(taken) = 6 AND year(taken) IN (SELECT year(taken) FROM live WHERE {_OLD} AND month(taken) = 6 GROUP BY 1 HAVING count(*) >= 5)", _OR, 500), 5), lambda L: M.seasonal(dated(L), TODAY))
 _ST = """t8 AS (SELECT {k} AS k, photo_id, taken, year(taken) AS year FROM (SELECT *, row_number() OVER (PARTITION BY {k}, year(taken) ORDER BY favorite DESC, taken DESC, photo_id DESC) AS rn FROM {src}) WHERE rn <= 8),
 ok AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS i, count(*) OVER () AS n FROM (SELECT k FROM t8 GROUP BY k HAVING count(DISTINCT year) >= 3 AND count(*) >= 9))"""
@@ -103,8 +104,9 @@ q("MM12", "SELECT photo_id, round(score, 6) AS score FROM co", lambda L: _collag
 
 def _pools(L: Library) -> DataFrame:
     b = runs(L).groupBy("folder", "run").agg(F.min("photo_id").alias("burst"), F.collect_set("photo_id").alias("m")).select("burst", F.explode("m").alias("photo_id"))
-    p = _collage_scores(L).join(b, "photo_id", "left")
-    p = p.select("photo_id", X.seconds("taken").alias("t"), "score", "file_hash", F.lit(None).cast("long").alias("phash"), "burst")
+    h = L.vectors().select("photo_id", "face_id").join(hashes(L), "face_id").groupBy("photo_id").agg(F.min_by("phash", "face_id").alias("phash"))
+    p = _collage_scores(L).join(b, "photo_id", "left").join(h, "photo_id", "left")
+    p = p.select("photo_id", X.seconds("taken").alias("t"), "score", "file_hash", "phash", "burst")
     return suggested(L).withColumnRenamed("id", "key").join(p, "photo_id")
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from shutterlake.functions import exprs as X
 from shutterlake.operators import identity as N
+from shutterlake.operators.segments import near_in_time
+from shutterlake.plans.groups import _NT
 from shutterlake.plans.timeline import _BUSY, _busy
 from shutterlake.session import written
 from shutterlake.sources.library import Library, sql
@@ -29,8 +31,8 @@ def vectors(L: Library) -> DataFrame:
 
 _FV = """fv AS (SELECT f.*, [x / n FOR x IN e] AS unit FROM faces f JOIN (SELECT face_id, e, sqrt(list_dot_product(e, e)) AS n FROM (SELECT face_id, any_value(embedding)::DOUBLE[] AS e FROM cluster_input GROUP BY face_id)
   WHERE len(e) = 64 AND len([x FOR x IN e IF x IS NOT NULL AND isfinite(x)]) = 64) v USING (face_id) WHERE n > 0),
-gal AS (SELECT cluster_id, face_id AS exemplar, unit FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY user_confirmed DESC, confidence DESC, face_id) AS rn FROM fv WHERE cluster_id IS NOT NULL AND user_confirmed >= 0) WHERE rn <= 5)"""
-_M = f"""{_FV}, m AS (SELECT * FROM (SELECT f.face_id, g.cluster_id, g.exemplar, round(list_dot_product(f.unit, g.unit), 6) AS sim FROM fv f JOIN gal g ON g.exemplar <> f.face_id WHERE f.cluster_id IS NULL AND f.user_confirmed >= 0) WHERE sim >= 0.7),
+gal AS (SELECT cluster_id, face_id AS exemplar, unit FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY user_confirmed DESC, confidence DESC, face_id) AS rn FROM fv WHERE cluster_id IS NOT NULL AND user_confirmed >= 0) WHERE rn <= 30)"""
+_M = f"""{_FV}, m AS (SELECT * FROM (SELECT f.face_id, g.cluster_id, g.exemplar, round(list_dot_product(f.unit, g.unit), 6) AS sim FROM fv f JOIN gal g ON g.exemplar <> f.face_id WHERE f.cluster_id IS NULL AND f.user_confirmed >= 0) WHERE sim >= 0.3),
 ret AS (SELECT face_id, cluster_id, round(avg(sim) + 1e-9, 6) AS score, arg_min(exemplar, rn) AS best, max(n) AS n FROM (SELECT *, row_number() OVER (PARTITION BY face_id, cluster_id ORDER BY sim DESC, exemplar) AS rn, count(*) OVER (PARTITION BY face_id, cluster_id) AS n FROM m) WHERE rn <= 5 GROUP BY face_id, cluster_id)"""
 
 
@@ -39,10 +41,10 @@ def _open(L: Library) -> DataFrame:
 
 
 def _ret(L: Library, top: int = 5) -> DataFrame:
-    return N.retrieved(_open(L), N.exemplars(vectors(L), 5), 0.7, top=top)
+    return N.retrieved(_open(L), N.exemplars(vectors(L)), 0.3, top=top)
 
 
-q("JN15", "SELECT face_id, cluster_id, exemplar, sim FROM m", lambda L: N.matches(_open(L), N.exemplars(vectors(L), 5), 0.7), _M)
+q("JN15", "SELECT face_id, cluster_id, exemplar, sim FROM m", lambda L: N.matches(_open(L), N.exemplars(vectors(L)), 0.3), _M)
 q("FC01", "SELECT * FROM ret", _ret, _M)
 _BAND = f"{_M}, top2 AS (SELECT *, row_number() OVER (PARTITION BY face_id ORDER BY score DESC, cluster_id) AS r FROM ret), band AS (SELECT face_id, arg_min(cluster_id, r) AS cluster_id, max(score) AS score, max(score) FILTER (WHERE r = 2) AS second FROM top2 WHERE r <= 2 GROUP BY face_id)"
 q("FC02", "SELECT face_id, cluster_id, score, CASE WHEN score < 0.4 THEN 'none' WHEN score >= 0.65 AND score - coalesce(second, 0) >= 0.12 THEN 'assign' ELSE 'ambiguous' END AS band FROM band", lambda L: N.banded(_ret(L)), _BAND)
@@ -50,9 +52,10 @@ q("FC03", None, lambda L: N.split_clusters(vectors(L).where("cluster_id is not n
 q("FC04", None, lambda L: _linked(L))
 _PAIR = f"""{_FV}, cs AS (SELECT a, b, round(avg(sim) + 1e-9, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY sim DESC, x, y) AS rn FROM
   (SELECT g.cluster_id AS a, h.cluster_id AS b, g.exemplar AS x, h.exemplar AS y, round(list_dot_product(g.unit, h.unit), 6) AS sim FROM gal g JOIN gal h ON g.cluster_id < h.cluster_id) WHERE sim >= 0.4) WHERE rn <= 3 GROUP BY a, b)"""
-q("JN16", "SELECT a, b, score FROM cs", lambda L: N.cluster_scores(N.exemplars(vectors(L), 5)), _PAIR)
-q("FC05", None, lambda L: N.unified(N.cluster_scores(N.exemplars(vectors(L))), L.identities(), []))
-q("FC06", "SELECT face_id, CASE WHEN cluster_id IS NULL AND user_confirmed >= 0 THEN -face_id ELSE cluster_id END AS cluster_id FROM faces", lambda L: N.with_singletons(L.faces()).select("face_id", "cluster_id"))
+q("JN16", "SELECT a, b, score FROM cs", lambda L: N.cluster_scores(N.exemplars(vectors(L))), _PAIR)
+q("FC05", None, lambda L: N.unified(N.cluster_scores(N.exemplars(vectors(L))), L.identities(), _apart(L)))
+q("FC06", None, lambda L: _rescued(L))
+q("FC06_singletons", "SELECT face_id, CASE WHEN cluster_id IS NULL AND user_confirmed >= 0 THEN -face_id ELSE cluster_id END AS cluster_id FROM faces", lambda L: N.with_singletons(L.faces()).select("face_id", "cluster_id"))
 q("FC07", None, lambda L: _pipeline(L))
 
 
@@ -61,20 +64,45 @@ def _linked(L: Library) -> DataFrame:
     return N.linked(vectors(L).where("cluster_id is null"))
 
 
+def _apart(L: Library) -> DataFrame:
+    """(a, b): clusters that the user holds to be different people: those of a face refused by one and confirmed for the other on the same photo."""
+    f = L.faces().where("cluster_id is not null")
+    no, yes = (f.where(col("user_confirmed") == k).select("photo_id", col("cluster_id").alias(n)) for k, n in ((-1, "a"), (1, "b")))
+    return no.join(yes, "photo_id").where("a <> b").select("a", "b").distinct()
+
+
+def _rescued(L: Library) -> DataFrame:
+    """The faces after rescue from the stored galleries; those without a usable embedding become singletons as well."""
+    v = vectors(L)
+    done = N.rescued(v, N.exemplars(v)).select("face_id", col("cluster_id").alias("_c"))
+    return N.with_singletons(L.faces().join(done, "face_id", "left").withColumn("cluster_id", F.coalesce("_c", "cluster_id"))).select("face_id", "cluster_id")
+
+
 def _pipeline(L: Library) -> DataFrame:
     """The pipeline over faces with a usable embedding; the others become singletons as well."""
     done = N.pipeline(written(vectors(L), "vectors")).select("face_id", col("cluster_id").alias("_c"))
     return N.with_singletons(L.faces().join(done, "face_id", "left").withColumn("cluster_id", F.coalesce("_c", "cluster_id"))).select("face_id", "cluster_id")
 
 
-@(lambda f: q("FC08", "SELECT face_id, cluster_id, round(score + 0.3 * least(ln(coalesce(n2, 0) + 1.0::DOUBLE) / 5, 1.0), 6) AS score FROM (SELECT r.face_id, r.cluster_id, r.score, (SELECT count(*) FROM identities i JOIN faces f2 ON f2.photo_id = i.photo_id AND f2.cluster_id IS NOT NULL WHERE i.cluster_id = r.cluster_id AND f2.cluster_id <> i.cluster_id) AS n2 FROM ret r)", f, _M))
+_CTX = f"""{_M}, {_NT}, held AS (SELECT DISTINCT photo_id, cluster_id FROM faces WHERE cluster_id IS NOT NULL),
+tgt AS (SELECT x.cluster_id AS c, y.cluster_id AS o, count(*) AS n FROM identities x JOIN identities y ON x.photo_id = y.photo_id AND x.cluster_id <> y.cluster_id GROUP BY ALL),
+tog AS (SELECT r.face_id, r.cluster_id, sum(b.n) AS n2 FROM ret r JOIN faces f ON f.face_id = r.face_id JOIN held h ON h.photo_id = f.photo_id AND h.cluster_id <> r.cluster_id JOIN tgt b ON b.c = r.cluster_id AND b.o = h.cluster_id GROUP BY ALL),
+nr AS (SELECT DISTINCT f.face_id, h.cluster_id FROM faces f JOIN nt x ON x.photo_id = f.photo_id JOIN nt y ON x.folder = y.folder AND x.photo_id <> y.photo_id AND abs(x.t - y.t) <= 300 JOIN held h ON h.photo_id = y.photo_id)"""
+
+
+@(lambda f: q("FC08", "SELECT r.face_id, r.cluster_id, round(r.score + 0.3 * least(ln(coalesce(n2, 0) + 1.0::DOUBLE) / 5, 1.0) + CASE WHEN nr.face_id IS NOT NULL THEN 0.05 ELSE 0 END, 6) AS score FROM ret r LEFT JOIN tog USING (face_id, cluster_id) LEFT JOIN nr USING (face_id, cluster_id)", f, _CTX))
 def _fc08(L: Library) -> DataFrame:
+    """Scores with the bonus of the people already on the face's photo, by how often they are together, and of people on photos of the folder within five minutes."""
     i = L.identities()
-    f = L.faces().where("cluster_id is not null").select("photo_id", col("cluster_id").alias("other"))
-    n = i.join(f, "photo_id").where("cluster_id <> other").groupBy("cluster_id").agg(F.count("*").alias("n"))
-    r = _ret(L).drop("n")
-    together = r.select("face_id", "cluster_id").join(n, "cluster_id")
-    return N.reranked(r, together, r.select("face_id", "cluster_id").where(F.lit(False)))
+    both = i.join(i.select("photo_id", col("cluster_id").alias("other")), "photo_id").where("cluster_id <> other").groupBy("cluster_id", "other").agg(F.count("*").alias("n"))
+    held = L.faces().where("cluster_id is not null").select("photo_id", "cluster_id").distinct()
+    r, at = _ret(L).drop("n"), L.faces().select("face_id", "photo_id")
+    there = r.select("face_id", "cluster_id").join(at, "face_id").join(held.withColumnRenamed("cluster_id", "other"), "photo_id").where("cluster_id <> other")
+    together = there.join(both, ["cluster_id", "other"]).groupBy("face_id", "cluster_id").agg(F.sum("n").alias("n"))
+    p = near_in_time(L.live().where("taken is not null").select("photo_id", X.folder("file_path").alias("folder"), X.seconds("taken").alias("t")), "photo_id", "t", ["folder"], 300)
+    p = p.select("a", "b").unionByName(p.select(col("b").alias("a"), col("a").alias("b")))
+    near = at.join(p.withColumnRenamed("a", "photo_id"), "photo_id").select("face_id", col("b").alias("photo_id")).join(held, "photo_id").select("face_id", "cluster_id")
+    return N.reranked(r, together, near)
 
 
 q("FC09", None, lambda L: N.diverse(vectors(L)))
@@ -88,9 +116,9 @@ def _suggested(L: Library) -> DataFrame:
     """The three best people for each face, without those the user refused for it."""
     from shutterlake.operators.timeline import top_per_group
 
-    refused = _open(L).where("face_id % 11 = 3").select("face_id").crossJoin(L.clusters().where("cluster_id % 2 = 0").select("cluster_id"))
-    r = _ret(L)
-    r = r.join(refused.join(r.select("face_id", "cluster_id"), ["face_id", "cluster_id"], "left_semi"), ["face_id", "cluster_id"], "left_anti")
+    r = written(_ret(L), "scores")
+    refused = r.where("face_id % 11 = 3 and cluster_id % 2 = 0").select("face_id", "cluster_id")
+    r = r.join(refused, ["face_id", "cluster_id"], "left_anti")
     return top_per_group(r, ["face_id"], [col("score").desc(), col("cluster_id")], 3).select("face_id", "cluster_id", "score")
 
 

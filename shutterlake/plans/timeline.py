@@ -140,7 +140,16 @@ def _jn08(L: Library) -> DataFrame:
 q("JN09", "SELECT file_path FROM later WHERE file_path NOT IN (SELECT file_path FROM ph)", lambda L: X.later(L).join(L.photos(), "file_path", "left_anti").select("file_path"), "later AS (SELECT CASE WHEN photo_id % 10 = 1 THEN 'moved/' || file_path ELSE file_path END AS file_path, file_size AS size, mtime, file_hash FROM ph WHERE photo_id % 10 <> 0)")
 q("JN10", "SELECT p.photo_id FROM ph p JOIN listing n ON n.file_path = p.file_path WHERE n.size IS DISTINCT FROM p.file_size OR n.mtime IS DISTINCT FROM p.mtime", lambda L: L.photos().join(listing(L).withColumnRenamed("mtime", "new_mtime"), "file_path").where(~col("size").eqNullSafe(col("file_size")) | ~col("new_mtime").eqNullSafe(col("mtime"))).select("photo_id"), _LIST)
 q("JN17", "SELECT e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], z.embedding::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(z.embedding::DOUBLE[], z.embedding::DOUBLE[]))), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) z ORDER BY score DESC, vec_id LIMIT 20", lambda L: X.nearest_to(L.table("embeddings"), "vec_id", "embedding", 0, 20))
-q("JN18", "SELECT p.photo_id, i.content_hash, a.album FROM items i JOIN ph p ON p.file_path = i.file_path LEFT JOIN (SELECT DISTINCT lower(trim(content_hash)) AS h, album_name AS album FROM google_takeout_albums) a ON a.h = i.content_hash", lambda L: L.items().join(L.photos().select("photo_id", "file_path"), "file_path").join(L.table("google_takeout_albums").select(F.lower(F.trim("content_hash")).alias("content_hash"), col("album_name").alias("album")).distinct(), "content_hash", "left").select("photo_id", "content_hash", "album"))
+_LG = "ledger AS (SELECT i.content_hash, min(p.file_path) AS file_path FROM items i JOIN ph p ON p.file_hash = i.content_hash GROUP BY i.content_hash)"
+
+
+def ledger(L: Library) -> DataFrame:
+    """(content_hash, file_path): the imported files at the paths of the library that have their content."""
+    p = L.photos().select(col("file_hash").alias("content_hash"), "file_path")
+    return L.items().select("content_hash").join(p, "content_hash").groupBy("content_hash").agg(F.min("file_path").alias("file_path"))
+
+
+q("JN18", "SELECT p.photo_id, i.content_hash, a.album FROM ledger i JOIN ph p ON p.file_path = i.file_path LEFT JOIN (SELECT DISTINCT lower(trim(content_hash)) AS h, album_name AS album FROM google_takeout_albums) a ON a.h = i.content_hash", lambda L: ledger(L).join(L.photos().select("photo_id", "file_path"), "file_path").join(L.table("google_takeout_albums").select(F.lower(F.trim("content_hash")).alias("content_hash"), col("album_name").alias("album")).distinct(), "content_hash", "left").select("photo_id", "content_hash", "album"), _LG)
 q("JN19", "SELECT l.photo_id, (SELECT count(*) FROM faces f WHERE f.photo_id = l.photo_id) AS n_faces, (SELECT max(area) FROM faces f WHERE f.photo_id = l.photo_id) AS largest, (SELECT min(album) FROM album_photos a WHERE a.photo_id = l.photo_id) AS album FROM live l", lambda L: L.live().select("photo_id").join(L.faces().groupBy("photo_id").agg(F.count("*").alias("n"), F.max("area").alias("largest")), "photo_id", "left").join(L.album_photos().groupBy("photo_id").agg(F.min("album").alias("album")), "photo_id", "left").select("photo_id", F.coalesce("n", F.lit(0)).alias("n_faces"), "largest", "album"))
 _NEXT = "next AS (SELECT cluster_id FROM faces WHERE cluster_id IS NOT NULL AND user_confirmed = 0 GROUP BY cluster_id ORDER BY count(*) DESC, cluster_id LIMIT 1)"
 q("JN20", "SELECT face_id, cluster_id FROM faces WHERE user_confirmed = 0 AND cluster_id IN (SELECT cluster_id FROM next)", lambda L: X.next_review(L.faces()), _NEXT)
@@ -207,7 +216,7 @@ def _sl13(L: Library) -> DataFrame:
 
 
 q("SL14", "SELECT photo_id FROM live WHERE favorite AND media_type = 'photo' ORDER BY coalesce(width > height, false) DESC, taken DESC NULLS LAST, photo_id DESC LIMIT 1", lambda L: L.live().where("favorite and media_type = 'photo'").orderBy(F.coalesce(col("width") > col("height"), F.lit(False)).desc(), col("taken").desc_nulls_last(), col("photo_id").desc()).limit(1).select("photo_id"))
-q("SL15", "SELECT u.pos, p.photo_id, p.file_name FROM (SELECT unnest([30, 7, 7, 12, 9999999, 3]) AS id, generate_subscripts([30, 7, 7, 12, 9999999, 3], 1) AS pos) u JOIN ph p ON p.photo_id = u.id WHERE u.pos <> 3", lambda L: X.in_given_order(L.photos(), "photo_id", [30, 7, 7, 12, 9999999, 3]).select("pos", "photo_id", "file_name"))
+q("SL15", "SELECT u.pos, p.photo_id, p.file_name FROM (SELECT unnest([1030, 1005, 1005, 1002, 9999999, 1001, 1013]) AS id, generate_subscripts([1030, 1005, 1005, 1002, 9999999, 1001, 1013], 1) AS pos) u JOIN ph p ON p.photo_id = u.id WHERE u.pos <> 3", lambda L: X.in_given_order(L.photos(), "photo_id", [1030, 1005, 1005, 1002, 9999999, 1001, 1013]).select("pos", "photo_id", "file_name"))
 q("SL16", "SELECT file_hash, n, bytes FROM (SELECT file_hash, count(*) AS n, CAST(sum(file_size) AS BIGINT) AS bytes FROM live WHERE file_hash IS NOT NULL GROUP BY file_hash HAVING count(*) > 1) ORDER BY bytes DESC NULLS LAST, file_hash LIMIT 20 OFFSET 10", lambda L: L.live().where("file_hash is not null").groupBy("file_hash").agg(F.count("*").alias("n"), F.sum("file_size").alias("bytes")).where("n > 1").orderBy(col("bytes").desc_nulls_last(), "file_hash").offset(10).limit(20))
 
 # Sets
@@ -216,4 +225,4 @@ q("SO02", "SELECT photo_id FROM identities i JOIN busy b ON b.cluster_id = i.clu
 q("SO03", "SELECT * FROM (VALUES ('favorites', 1::BIGINT), ('recent', 2::BIGINT)) v(kind, pos)", lambda L: L.spark.range(1, 2).select(F.lit("favorites").alias("kind"), col("id").alias("pos")).unionByName(L.spark.range(2, 3).select(F.lit("recent").alias("kind"), col("id").alias("pos"))))
 q("SO04", "SELECT photo_id FROM live WHERE (country = 'Kestria' OR favorite) AND photo_id NOT IN (SELECT photo_id FROM faces)", lambda L: L.live().where("country = 'Kestria'").select("photo_id").union(L.live().where("favorite").select("photo_id")).distinct().join(L.faces(), "photo_id", "left_anti"))
 q("SO05", "SELECT file_hash FROM ph WHERE file_hash IS NOT NULL GROUP BY file_hash HAVING count(*) > 1 EXCEPT SELECT file_hash FROM live WHERE file_hash IS NOT NULL GROUP BY file_hash HAVING count(*) > 1", lambda L: L.photos().where("file_hash is not null").groupBy("file_hash").count().where("count > 1").select("file_hash").join(L.live().groupBy("file_hash").count().where("count > 1"), "file_hash", "left_anti"))
-q("SO06", "SELECT city FROM ph WHERE city IS NOT NULL EXCEPT SELECT ascii_name FROM cities", lambda L: L.photos().select("city").where("city is not null").subtract(L.cities().select("ascii_name")))
+q("SO06", "SELECT ascii_name FROM cities WHERE ascii_name IS NOT NULL EXCEPT SELECT city FROM ph", lambda L: L.cities().select("ascii_name").where("ascii_name is not null").subtract(L.photos().select("city")))

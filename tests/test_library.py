@@ -227,9 +227,9 @@ def test_file_metadata(spark, tmp_path) -> None:  # noqa: ANN001
 
 
 def test_names_with_dates(spark) -> None:  # noqa: ANN001
-    n = ["IMG_20190203_101112.jpg", "2019-02-03 10.11.12.png", "scan 2019-02-03.tif", "20191399_999999", "IMG_1234"]
+    n = ["IMG_20190203_101112.jpg", "2019-02-03 10.11.12.png", "scan 2019-02-03.tif", "20191399_999999", "IMG_1234", "IMG-20201231-WA0007.jpg", "Screenshot 2019-02-03 at 14.30.22.png"]
     d = spark.createDataFrame([(x,) for x in n], "name string")
-    assert [r[0] for r in d.select(ingest.name_date("name", 2025)).collect()] == [D(2019, 2, 3, 10, 11, 12), D(2019, 2, 3, 10, 11, 12), D(2019, 2, 3), None, None]
+    assert [r[0] for r in d.select(ingest.name_date("name", 2025)).collect()] == [D(2019, 2, 3, 10, 11, 12), D(2019, 2, 3, 10, 11, 12), None, None, None, D(2020, 12, 31), D(2019, 2, 3, 14, 30, 22)]
 
 
 def test_memories(spark) -> None:  # noqa: ANN001
@@ -238,12 +238,20 @@ def test_memories(spark) -> None:  # noqa: ANN001
     assert sorted(r.photo_id for r in memories.on_this_day(p, today).collect()) == [1, 2]
     assert memories.around_this_day(p, today).count() == 0
     assert [r.photo_id for r in memories.around_this_day(p.where("photo_id = 4"), today).collect()] == [4]
-    pool = [{"photo_id": i, "t": 1000 * i, "score": float(i == 3), "file_hash": "h" if i in (4, 5) else str(i), "phash": None, "burst": None} for i in range(6)]
-    got = memories.pick_collage(pool)
-    assert got[0] == 3
-    assert len(got) == 4
-    assert memories.pick_collage([]) == []
-    assert not {4, 5} <= set(got)
+    pool = [("a", i, 1000 * i, float(i == 3), "h" if i in (4, 5) else str(i), None, None) for i in range(6)]  # copies
+    pool += [("b", i, 1000 * i, float(i), str(i), 7 if i < 3 else None, None) for i in range(4)]  # look-alikes
+    pool += [("c", i, 10 * i, 1.0, str(i), None, None) for i in range(5)] + [("d", 1, None, 1.0, None, None, 3), ("d", 2, None, 2.0, None, None, 3)]  # of one minute; of one burst, undated
+    df = spark.createDataFrame(pool, "key string, photo_id long, t long, score double, file_hash string, phash long, burst long")
+    got: dict = {}
+    for r in sorted(memories.collages(df).collect(), key=lambda r: r.position):
+        got.setdefault(r.key, []).append(r.photo_id)
+    assert got["a"][0] == 3
+    assert len(got["a"]) == 4
+    assert not {4, 5} <= set(got["a"])
+    assert got["b"] == [3, 0]
+    assert got["c"] == [0, 1, 2, 3]
+    assert got["d"] == [2, 1]
+    assert memories.collages(df.limit(0)).count() == 0
 
 
 def test_stream_equals_batch(spark, tmp_path) -> None:  # noqa: ANN001

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,9 @@ from shutterlake.operators.graph import components
 col = F.col
 # Words in a path that speak against keeping the file.
 BAD_WORDS = ["backup", "copy", "old", "duplicate", "temp", "tmp"]
-BANDS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 MAX_DISTANCE = 4
+#: Segments (first bit, bits) of a hash. With six, four differing bits leave two alike, so each pair of segments is a key.
+SEGMENTS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
 
 
 def exact_groups(photos: DataFrame) -> DataFrame:
@@ -51,17 +53,23 @@ def hamming(a: str, b: str) -> Column:
 
 
 def near_pairs(hashes: DataFrame) -> DataFrame:
-    """(a, b): hashes (phash, distinct) that differ in at most 4 bits, each pair once. Five bands make the join lossless: 4 flips leave one band equal."""
-    bands = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("phash", lo).bitwiseAND(F.lit((1 << n) - 1)).alias("v")) for k, (lo, n) in enumerate(BANDS)])
-    b = hashes.select("phash", F.explode(bands).alias("band")).select("phash", "band.*")
+    """(a, b): hashes (phash, distinct) that differ in at most 4 bits, each pair once.
+
+    Each of the 15 pairs of six segments is a key of 20 to 22 bits; 4 flips leave two segments alike, so the join is lossless. Candidates per hash are some four
+    millionths of the hashes, and a value that many hashes share is split by the adaptive join.
+    """
+    part = lambda x, k: F.shiftrightunsigned(x, SEGMENTS[k][0]).bitwiseAND(F.lit((1 << SEGMENTS[k][1]) - 1))
+    keys = list(combinations(range(len(SEGMENTS)), 2))
+    b = hashes.select("phash", F.posexplode(F.array(*[F.shiftleft(part(col("phash"), i), 11).bitwiseOR(part(col("phash"), j)) for i, j in keys])).alias("k", "v"))
     x, y = b.select("k", "v", col("phash").alias("a")), b.select("k", "v", col("phash").alias("b"))
     j = x.join(y, ["k", "v"]).where((col("a") < col("b")) & (hamming("a", "b") <= MAX_DISTANCE))
-    # A pair counts only in the first band it shares, so no distinct() is needed.
+    # A pair counts only under the first key it shares, so no distinct() is needed.
     diff = col("a").bitwiseXOR(col("b"))
-    earlier = F.lit(False)
-    for k, (lo, n) in enumerate(BANDS[:-1]):
-        earlier = earlier | ((col("k") > k) & (F.shiftrightunsigned(diff, lo).bitwiseAND(F.lit((1 << n) - 1)) == 0))
-    return j.where(~earlier).select("a", "b")
+    alike = [part(diff, k) == 0 for k in range(len(SEGMENTS))]
+    first = F.lit(None).cast("int")
+    for k, (p, q) in reversed(list(enumerate(keys))):
+        first = F.when(alike[p] & alike[q], k).otherwise(first)
+    return j.where(col("k") == first).select("a", "b")
 
 
 def near_groups(items: DataFrame, key: str) -> DataFrame:
@@ -101,10 +109,33 @@ def claimed(kinds: list[tuple[str, DataFrame]]) -> DataFrame:
     return out
 
 
-def quality(n_faces: str) -> Column:
-    """Points for resolution, size and faces."""
-    mp = F.coalesce(col("width").cast("double") * col("height") / 1e6, F.lit(0.0))
-    return F.lit(1.2) * F.least(mp, F.lit(60.0)) + F.least(F.log(F.greatest(F.coalesce("file_size", F.lit(1)), F.lit(1)).cast("double")) / 20, F.lit(4.0)) + F.lit(2.0) * F.least(n_faces, F.lit(5))
+def quality(n_faces: str, suggested: Column | None = None, sharp: Column | None = None, brightness: Column | None = None) -> Column:
+    """Points: 20 for a pick, up to 72 for resolution, 4 for size, 10 for faces, 40 for sharpness and 8 for a medium brightness (0 to 1)."""
+    mp = F.coalesce(F.when((col("width") > 0) & (col("height") > 0), col("width").cast("double") * col("height") / 1e6), F.lit(0.0))
+    size = F.coalesce(F.when(col("file_size") > 0, F.least(F.log(col("file_size").cast("double")) / 20, F.lit(4.0))), F.lit(0.0))
+    points = F.lit(1.2) * F.least(mp, F.lit(60.0)) + size + F.lit(2.0) * F.least(n_faces, F.lit(5))
+    if suggested is not None:
+        points = points + F.when(suggested, 20.0).otherwise(0.0)
+    if sharp is not None:
+        points = points + F.coalesce(F.least(sharp, F.lit(40.0)), F.lit(0.0))
+    if brightness is not None:
+        points = points + F.coalesce(8.0 * F.greatest(F.lit(0.0), 1.0 - F.abs(brightness - 0.5) * 2.0), F.lit(0.0))
+    return points
+
+
+def covers(members: DataFrame) -> DataFrame:
+    """(group_key, cover): of members (group_key, photo_id, score, suggested, file_size) the best by score, then the pick, the larger file and the smaller id."""
+    return members.groupBy("group_key").agg(F.min_by("photo_id", F.struct(-col("score"), ~col("suggested"), -F.coalesce("file_size", F.lit(0)), "photo_id")).alias("cover"))
+
+
+def synced_stacks(found: DataFrame, stored: DataFrame) -> DataFrame:
+    """(group_key, cover, action) after a detection: stored stacks (group_key, cover, dismissed) that were dismissed stay so and get no members; a stored cover stays while it is a member;
+    stacks not found again go, unless dismissed. ``found``: group_key, photo_id, best (the cover by score)."""
+    g = found.join(stored.withColumnRenamed("cover", "_old"), "group_key", "left")
+    g = g.groupBy("group_key").agg(F.count("*").alias("n"), F.first("best").alias("best"), F.max(F.when(col("photo_id") == col("_old"), col("_old"))).alias("_kept"), F.max("_old").alias("_old"), F.max("dismissed").alias("dismissed")).where("n > 1")
+    new = g.select("group_key", F.when(col("dismissed"), col("_old")).otherwise(F.coalesce("_kept", "best")).alias("cover"), F.when(col("dismissed"), "dismissed").when(col("_old").isNull(), "new").otherwise("kept").alias("action"))
+    gone = stored.join(g, "group_key", "left_anti").select("group_key", "cover", F.when(col("dismissed"), "dismissed").otherwise("removed").alias("action"))
+    return new.unionByName(gone)
 
 
 def sharpness(images: DataFrame, key: str, luma: str, side: int) -> DataFrame:

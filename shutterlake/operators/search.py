@@ -293,12 +293,32 @@ def hits(names: DataFrame, column: str, text: str, most: int = 10) -> DataFrame:
     return n.orderBy(col("starts").desc(), F.length(column), column).limit(most)
 
 
-def names_of(clusters: DataFrame, photos: DataFrame, album_photos: DataFrame) -> Names:
-    """The dimensions of a library; each is as small as its number of people, places and albums."""
-    pairs = photos.where("city is not null and country is not null").select("city", "country").distinct().orderBy("city", "country").collect()
-    people = clusters.where("name is not null").orderBy("cluster_id").collect()
-    albums = album_photos.select("album").distinct().orderBy("album").collect()
-    return Names(tuple((r.cluster_id, r.name) for r in people), tuple((r.city, r.country) for r in pairs), tuple(sorted({r.country for r in pairs})), tuple(r.album for r in albums))
+def names_of(clusters: DataFrame, photos: DataFrame, album_photos: DataFrame, query: str) -> Names:
+    """The people, places and albums that a query may name: only names all of whose words stand in the query leave the tables, so what comes back doesn't grow with the library."""
+    words = F.array(*map(F.lit, tokens(query))) if tokens(query) else F.array().cast("array<string>")
+
+    def named(c: str) -> Column:
+        own = F.filter(F.split(F.lower(c), r"(?U)[^\w]+|_"), lambda w: w != "")
+        return (F.size(own) > 0) & (F.size(F.array_except(own, words)) == 0)
+
+    pairs = photos.where(col("city").isNotNull() & col("country").isNotNull() & (named("city") | named("country"))).select("city", "country", named("city").alias("_c")).distinct().orderBy("city", "country").collect()
+    people = clusters.where(col("name").isNotNull() & named("name")).orderBy("cluster_id").collect()
+    albums: list = []
+    if m := re.search(r"(?i)\balbum\s+(.+)$", query):
+        part = named("album")
+        for w in m[1].lower().split():
+            part = part | F.lower("album").contains(w)
+        albums = album_photos.where(part).select("album").distinct().orderBy("album").collect()
+    return Names(tuple((r.cluster_id, r.name) for r in people), tuple((r.city, r.country) for r in pairs if r["_c"]), tuple(sorted({r.country for r in pairs})), tuple(r.album for r in albums))
+
+
+def near_names(names: DataFrame, column: str, query: str, most: int = 5) -> DataFrame:
+    """Names near a query, as ``fuzzy`` has them, found in the table."""
+    q = "".join(tokens(query))
+    s = F.regexp_replace(F.lower(column), r"(?U)[^\w]|_", "")
+    ok = s.startswith(q) | (s.startswith(q[:1]) & (F.lit(len(q) <= 4) | s.contains(q))) if q else F.lit(False)
+    n = names.where(ok).select(column, s.startswith(q).alias("_starts")).distinct()
+    return n.orderBy(col("_starts").desc(), F.length(column), column).limit(most).select(column)
 
 
 def meaningful(text: str) -> bool:

@@ -76,22 +76,66 @@ def _sets(L: Library) -> DataFrame:
 
 q("SG07", "SELECT set_key FROM sets", lambda L: _sets(L).select("set_key"), _R2)
 q("SG08", "SELECT folder, arg_min(photo_id, (taken, photo_id)) AS best, count(*) AS n FROM runs GROUP BY folder, run HAVING count(*) > 1", lambda L: _runs(L).groupBy("folder", "run").agg(F.min_by("photo_id", F.struct("taken", "photo_id")).alias("best"), F.count("*").alias("n")).where("n > 1").drop("run"), _BU)
-_CL = f"""{_EX}, {_BU}, c1 AS (SELECT file_hash AS g, photo_id FROM exact),
+_CL = f"""{_EX}, {_BU}, {_CC}, c1 AS (SELECT file_hash AS g, photo_id FROM exact),
 k1 AS (SELECT g, photo_id FROM (SELECT *, count(*) OVER (PARTITION BY g) AS k FROM c1) WHERE k > 1),
-c2 AS (SELECT folder || ':' || run AS g, photo_id FROM runs WHERE photo_id NOT IN (SELECT photo_id FROM k1)),
+pp AS (SELECT f.photo_id, arg_min(h.phash, f.face_id) AS phash FROM faces f JOIN hashes h USING (face_id) JOIN live l ON l.photo_id = f.photo_id GROUP BY f.photo_id),
+own AS (SELECT a, b FROM e2 WHERE a IN (SELECT phash FROM pp) AND b IN (SELECT phash FROM pp)),
+far AS (SELECT phash AS n, phash AS l FROM (SELECT DISTINCT phash FROM pp) UNION SELECT own.b, far.l FROM far JOIN own ON own.a = far.n), comp2 AS (SELECT n, min(l) AS group_key FROM far GROUP BY n),
+cp AS (SELECT CAST(c.group_key AS VARCHAR) AS g, photo_id FROM pp JOIN comp2 c ON c.n = pp.phash WHERE photo_id NOT IN (SELECT photo_id FROM k1)),
+kp AS (SELECT g, photo_id FROM (SELECT *, count(*) OVER (PARTITION BY g) AS k FROM cp) WHERE k > 1),
+c2 AS (SELECT folder || ':' || run AS g, photo_id FROM runs WHERE photo_id NOT IN (SELECT photo_id FROM k1) AND photo_id NOT IN (SELECT photo_id FROM kp)),
 k2 AS (SELECT g, photo_id FROM (SELECT *, count(*) OVER (PARTITION BY g) AS k FROM c2) WHERE k > 1)"""
 
 
+def photo_hashes(L: Library) -> DataFrame:
+    """(photo_id, phash): the hash of a photo's first face stands for its own."""
+    return L.vectors().select("photo_id", "face_id").join(hashes(L), "face_id").groupBy("photo_id").agg(F.min_by("phash", "face_id").alias("phash"))
+
+
 def _claims(L: Library) -> DataFrame:
     exact = G.exact_groups(sized(L)).select(col("file_hash").alias("group_key"), "photo_id")
+    alike = G.near_groups(photo_hashes(L).join(L.live().select("photo_id"), "photo_id", "left_semi"), "photo_id").select("group_key", "photo_id")
     burst = _runs(L).select(F.concat("folder", F.lit(":"), col("run").cast("string")).alias("group_key"), "photo_id")
-    return G.claimed([("exact", exact), ("burst", burst)])
+    return G.claimed([("exact", exact), ("perceptual", alike), ("burst", burst)])
+
+
+q("SG09", "SELECT 'exact' AS kind, g AS group_key, photo_id FROM k1 UNION ALL SELECT 'perceptual', g, photo_id FROM kp UNION ALL SELECT 'burst', g, photo_id FROM k2", _claims, _CL)
+_QL = "1.2 * least(coalesce(CASE WHEN width > 0 AND height > 0 THEN CAST(width AS DOUBLE) * height / 1e6 END, 0), 60) + coalesce(CASE WHEN file_size > 0 THEN least(ln(CAST(file_size AS DOUBLE)) / 20, 4) END, 0) + 2.0 * least(coalesce(n, 0), 5) + CASE WHEN keep IS NOT NULL THEN 20 ELSE 0 END + least((photo_id % 53)::DOUBLE, 40) + 8 * greatest(0, 1 - abs((photo_id % 100)::DOUBLE / 100 - 0.5) * 2)"
+_SCORED = f"{_EX}, keeps AS (SELECT photo_id AS keep FROM (SELECT *, row_number() OVER (PARTITION BY file_hash ORDER BY {_PEN}, file_size DESC, length(file_path), taken NULLS LAST, file_path, photo_id) AS rn FROM exact) WHERE rn = 1), scored AS (SELECT s.*, keep, round({_QL}, 6) AS score FROM sized s LEFT JOIN (SELECT photo_id, count(*) AS n FROM faces GROUP BY photo_id) f USING (photo_id) LEFT JOIN keeps ON keep = photo_id)"
+
+
+def scored(L: Library) -> DataFrame:
+    """Live photos with their quality; sharpness and brightness, which pixels would give, are derived from the id."""
+    p, n = sized(L), L.faces().groupBy("photo_id").agg(F.count("*").alias("n"))
+    picks = G.keep_suggestions(G.exact_groups(p)).select(col("keep").alias("photo_id"), F.lit(True).alias("_p"))
+    p = p.join(n, "photo_id", "left").join(picks, "photo_id", "left").withColumn("suggested", F.coalesce("_p", F.lit(False)))
+    score = G.quality(F.coalesce("n", F.lit(0)), col("suggested"), (col("photo_id") % 53).cast("double"), (col("photo_id") % 100).cast("double") / 100)
+    return p.withColumn("score", F.round(score, 6))
+
+
+q("SG10", "SELECT photo_id, score FROM scored", lambda L: scored(L).select("photo_id", "score"), _SCORED)
+_COVERS = f"{_SCORED}, best AS (SELECT file_hash, photo_id, first_value(photo_id) OVER (PARTITION BY file_hash ORDER BY score DESC, keep IS NULL, file_size DESC, photo_id) AS cover FROM scored WHERE file_hash IN (SELECT file_hash FROM exact))"
+
+
+def _members(L: Library) -> DataFrame:
+    """(group_key, photo_id, best) of the exact groups."""
+    m = scored(L).where("file_hash is not null").withColumnRenamed("file_hash", "group_key")
+    m = m.join(G.exact_groups(sized(L)).select(col("file_hash").alias("group_key")).distinct(), "group_key", "left_semi")
+    return m.select("group_key", "photo_id").join(G.covers(m).withColumnRenamed("cover", "best"), "group_key")
+
+
+q("SG10_covers", "SELECT DISTINCT file_hash AS group_key, cover FROM best", lambda L: _members(L).select("group_key", col("best").alias("cover")).distinct(), _COVERS)
+_SY = f"{_COVERS}, oldst AS (SELECT file_hash, max(photo_id) AS cover, file_hash < '4' AS dismissed FROM ph WHERE file_hash IS NOT NULL AND photo_id % 3 <> 0 GROUP BY file_hash HAVING count(*) > 1)"
+q("SG11", """SELECT b.file_hash AS group_key, CASE WHEN o.dismissed OR bool_or(b.photo_id = o.cover) THEN o.cover ELSE min(b.cover) END AS cover, CASE WHEN o.dismissed THEN 'dismissed' WHEN o.cover IS NULL THEN 'new' ELSE 'kept' END AS action
+ FROM best b LEFT JOIN oldst o ON o.file_hash = b.file_hash GROUP BY b.file_hash, o.cover, o.dismissed UNION ALL SELECT file_hash, cover, CASE WHEN dismissed THEN 'dismissed' ELSE 'removed' END FROM oldst WHERE file_hash NOT IN (SELECT file_hash FROM best)""", lambda L: G.synced_stacks(_members(L), _old_stacks(L)), _SY)
+
+
+def _old_stacks(L: Library) -> DataFrame:
+    """(group_key, cover, dismissed) as an earlier detection and the user left them."""
+    o = L.photos().where("file_hash is not null and photo_id % 3 <> 0").groupBy(col("file_hash").alias("group_key")).agg(F.max("photo_id").alias("cover"), F.count("*").alias("n"))
+    return o.where("n > 1").select("group_key", "cover", (col("group_key") < "4").alias("dismissed"))
 
 
-q("SG09", "SELECT 'exact' AS kind, g AS group_key, photo_id FROM k1 UNION ALL SELECT 'burst', g, photo_id FROM k2", _claims, _CL)
-_QL = "1.2 * least(coalesce(CAST(width AS DOUBLE) * height / 1e6, 0), 60) + least(ln(CAST(greatest(coalesce(file_size, 1), 1) AS DOUBLE)) / 20, 4) + 2.0 * least(coalesce(n, 0), 5)"
-q("SG10", f"SELECT photo_id, round({_QL}, 6) AS score FROM live LEFT JOIN (SELECT photo_id, count(*) AS n FROM faces GROUP BY photo_id) f USING (photo_id)", lambda L: L.live().join(L.faces().groupBy("photo_id").agg(F.count("*").alias("n")), "photo_id", "left").select("photo_id", F.round(G.quality(F.coalesce("n", F.lit(0))), 6).alias("score")))
-q("SG11", "SELECT n.file_hash, coalesce(s.status, 'pending') AS status FROM newg n LEFT JOIN (SELECT fingerprint, min(status) AS status FROM suggestions GROUP BY fingerprint) s ON s.fingerprint = n.file_hash WHERE coalesce(s.status, 'pending') <> 'dismissed'", lambda L: G.exact_groups(sized(L)).select("file_hash").distinct().join(L.suggestions().groupBy(col("fingerprint").alias("file_hash")).agg(F.min("status").alias("status")), "file_hash", "left").select("file_hash", F.coalesce("status", F.lit("pending")).alias("status")).where("status <> 'dismissed'"), f"{_EX}, {_OLD}")
 q("SG13", None, lambda L: G.sharpness(L.table("embeddings"), "vec_id", "embedding", 8))
 q("SG05", "SELECT * FROM (VALUES (1::BIGINT), (2), (3), (4), (5)) v(id)", lambda L: G.near_groups(L.spark.createDataFrame([(1, 0), (2, 0), (3, 0), (4, 15), (5, 255), (6, 65535)], "id long, phash long"), "id").select("id"))
 

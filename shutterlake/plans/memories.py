@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shutterlake.functions import exprs as X
 from shutterlake.operators import insights as I
 from shutterlake.operators import memories as M
-from shutterlake.plans.groups import hashes
+from shutterlake.plans.groups import photo_hashes
 from shutterlake.plans.insights import _HOME, runs
 from shutterlake.plans.timeline import _IDS, suggested
 from shutterlake.sources.library import Library, sql
@@ -104,8 +104,7 @@ q("MM12", "SELECT photo_id, round(score, 6) AS score FROM co", lambda L: _collag
 
 def _pools(L: Library) -> DataFrame:
     b = runs(L).groupBy("folder", "run").agg(F.min("photo_id").alias("burst"), F.collect_set("photo_id").alias("m")).select("burst", F.explode("m").alias("photo_id"))
-    h = L.vectors().select("photo_id", "face_id").join(hashes(L), "face_id").groupBy("photo_id").agg(F.min_by("phash", "face_id").alias("phash"))
-    p = _collage_scores(L).join(b, "photo_id", "left").join(h, "photo_id", "left")
+    p = _collage_scores(L).join(b, "photo_id", "left").join(photo_hashes(L), "photo_id", "left")
     p = p.select("photo_id", X.seconds("taken").alias("t"), "score", "file_hash", "phash", "burst")
     return suggested(L).withColumnRenamed("id", "key").join(p, "photo_id")
 

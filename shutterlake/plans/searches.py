@@ -23,8 +23,8 @@ def q(name: str, text: str | None, f, more: str = "") -> None:  # noqa: ANN001
         SQL[name] = sql(text, more)
 
 
-def _names(L: Library) -> Q.Names:
-    return Q.names_of(L.clusters(), L.live(), L.album_photos())
+def _names(L: Library, text: str) -> Q.Names:
+    return Q.names_of(L.clusters(), L.live(), L.album_photos(), text)
 
 
 def run(L: Library, plan: Q.Plan, semantic: DataFrame | None = None, limit: int = Q.MAX_RESULTS) -> DataFrame:
@@ -32,7 +32,7 @@ def run(L: Library, plan: Q.Plan, semantic: DataFrame | None = None, limit: int
 
 
 def search(L: Library, text: str) -> DataFrame:
-    return run(L, Q.compile_search(text, _names(L), TODAY))
+    return run(L, Q.compile_search(text, _names(L, text), TODAY))
 
 
 _DATES = ["today", "yesterday", "last week", "this month", "last year", "march 2021", "2019", "summer 2020", "winter 2018", "last summer", "last autumn", "june", "2022-02-03", "no date"]
@@ -76,8 +76,8 @@ q("NL08", "SELECT name FROM (SELECT DISTINCT name FROM clusters WHERE contains(l
 q("NL08_places", "SELECT city FROM (SELECT DISTINCT city FROM live WHERE contains(lower(city), 'br')) ORDER BY starts_with(lower(city), 'br') DESC, length(city), city LIMIT 10", lambda L: Q.hits(L.live(), "city", "br").select("city"))
 q("NL09", "SELECT * FROM (VALUES ('date'), ('country:Kestria'), ('favorite'), ('media:video'), ('text:dog')) v(chip)", lambda L: L.spark.createDataFrame([(c,) for c in Q.compile_search("starred videos Kestria dog 2021", Q.Names(countries=("Kestria",)), TODAY).chips], "chip string"))
 q("NL10", "SELECT l.photo_id FROM live l JOIN towns t ON lower(t.city) = lower(l.city) WHERE taken BETWEEN TIMESTAMP '2022-01-01' AND TIMESTAMP '2022-12-31 23:59:59'", lambda L: run(L, Q.compile_simple(f"in {_first_town(L)} 2022", TODAY)), _P)
-q("NL11", "SELECT photo_id FROM live WHERE country = 'Hestria' AND media_type = 'video'", lambda L: run(L, Q.compile_request("show me my videos Hestria", _names(L), TODAY).plan))
-q("NL12", "SELECT city FROM (SELECT DISTINCT city, regexp_replace(lower(city), '[^\\w]|_', '', 'g') AS s FROM live WHERE city IS NOT NULL) WHERE starts_with(s, 'mor') OR starts_with(s, 'm') ORDER BY NOT starts_with(s, 'mor'), length(city), city LIMIT 5", lambda L: L.spark.createDataFrame([(c,) for c in Q.fuzzy("mor", [r.city for r in L.live().where("city is not null").select("city").distinct().collect()])], "city string"))
+q("NL11", "SELECT photo_id FROM live WHERE country = 'Hestria' AND media_type = 'video'", lambda L: run(L, Q.compile_request("show me my videos Hestria", _names(L, "show me my videos Hestria"), TODAY).plan))
+q("NL12", "SELECT city FROM (SELECT DISTINCT city, regexp_replace(lower(city), '[^\\w]|_', '', 'g') AS s FROM live WHERE city IS NOT NULL) WHERE starts_with(s, 'mor') OR starts_with(s, 'm') ORDER BY NOT starts_with(s, 'mor'), length(city), city LIMIT 5", lambda L: Q.near_names(L.live().where("city is not null"), "city", "mor"))
 q("NL13", "SELECT photo_id FROM live WHERE (country = 'Kestria' OR country = 'Hestria') AND NOT favorite", lambda L: Q.combined([search(L, "Kestria"), search(L, "Hestria")], "union", search(L, "favorites")))
 q("NL13_both", "SELECT photo_id FROM live WHERE country = 'Kestria' AND taken BETWEEN TIMESTAMP '2021-01-01' AND TIMESTAMP '2021-12-31 23:59:59'", lambda L: Q.combined([search(L, "Kestria"), search(L, "2021")], "intersect"))
 q("NL14", "SELECT photo_id, rank FROM ranked", lambda L: Q.ranked(L.candidates()), _SC)

@@ -48,13 +48,6 @@ def top(photos: DataFrame, by: list[str], n: int) -> DataFrame:
     return known.groupBy(*by).agg(F.count("*").alias("n")).orderBy(col("n").desc(), *by).limit(n)
 
 
-def camera_name(make: str, model: str) -> F.Column:
-    """Maker and model as one name in which the maker isn't said twice, without blanks or NUL characters around."""
-    clean = lambda c: F.nullif(F.trim(F.regexp_replace(F.translate(c, "\x00", ""), r"\s+", " ")), F.lit(""))
-    m, d = clean(make), clean(model)
-    return F.nullif(F.when(F.lower(d).startswith(F.lower(m)), d).otherwise(F.concat_ws(" ", m, d)), F.lit(""))
-
-
 def home_city(photos: DataFrame) -> DataFrame:
     """(city, country, weeks, lat, lon): the city with photos in the most weeks, and the mean of its positions."""
     p = photos.where("taken is not null and city is not null and lat is not null")

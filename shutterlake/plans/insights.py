@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterlake.functions import exprs as X
+from shutterlake.functions.cameras import friendly_name
 from shutterlake.operators import insights as I
 from shutterlake.operators.segments import gap_islands
 from shutterlake.plans.timeline import _IDS, _LIST, _ST, listing, stacks, suggested
@@ -36,8 +37,17 @@ q("AG10", "SELECT count(DISTINCT country) AS countries, count(DISTINCT CASE WHEN
 q("AG11", "SELECT c.name, count(DISTINCT i.photo_id) AS n FROM identities i JOIN clusters c ON c.cluster_id = i.cluster_id JOIN live l ON l.photo_id = i.photo_id WHERE c.name IS NOT NULL GROUP BY c.name ORDER BY n DESC, name LIMIT 10", lambda L: L.identities().join(L.clusters().where("name is not null"), "cluster_id").join(L.live(), "photo_id", "left_semi").groupBy("name").agg(F.countDistinct("photo_id").alias("n")).orderBy(col("n").desc(), "name").limit(10))
 q("AG12", "SELECT city, country, count(*) AS n FROM live WHERE city IS NOT NULL AND country IS NOT NULL GROUP BY ALL ORDER BY n DESC, city, country LIMIT 30", lambda L: I.top(L.live(), ["city", "country"], 30))
 q("AG12_countries", "SELECT country, count(*) AS n FROM live WHERE country IS NOT NULL GROUP BY ALL ORDER BY n DESC, country LIMIT 20", lambda L: I.top(L.live(), ["country"], 20))
-_CAM = "cam AS (SELECT nullif(trim(regexp_replace(replace(make, chr(0), ''), '\\s+', ' ', 'g')), '') AS m, nullif(trim(regexp_replace(replace(model, chr(0), ''), '\\s+', ' ', 'g')), '') AS d FROM live), named AS (SELECT CASE WHEN starts_with(lower(d), lower(m)) THEN d ELSE nullif(concat_ws(' ', m, d), '') END AS name FROM cam)"
-q("AG13", "SELECT name, count(*) AS n FROM named WHERE name IS NOT NULL GROUP BY name ORDER BY n DESC, name LIMIT 3", lambda L: I.top(L.live().withColumn("name", I.camera_name("make", "model")), ["name"], 3), _CAM)
+_CAM = """cam AS (SELECT nullif(trim(trim(trim(replace(make, chr(0), '')), '"')), '') AS m, nullif(trim(trim(trim(replace(model, chr(0), '')), '"')), '') AS d FROM live),
+cased AS (SELECT *, CASE WHEN contains(d, ' ') AND d <> upper(d) AND d <> lower(d) THEN d WHEN NOT contains(d, ' ') THEN upper(d) ELSE array_to_string([upper(w[1]) || lower(w[2:]) FOR w IN string_split_regex(d, '\\s+') IF w <> ''], ' ') END AS c FROM cam),
+named AS (SELECT CASE WHEN d IS NULL THEN m WHEN m IS NULL OR starts_with(lower(d), lower(m)) THEN c ELSE m || ' ' || c END AS name FROM cased)"""
+q("AG13", "SELECT name, count(*) AS n FROM named WHERE name IS NOT NULL GROUP BY name ORDER BY n DESC, name LIMIT 3", lambda L: I.top(_named(L), ["name"], 3), _CAM)
+q("AG13_names", "SELECT name, count(*) AS n FROM named WHERE name IS NOT NULL GROUP BY name", lambda L: _named(L).where("name is not null").groupBy("name").agg(F.count("*").alias("n")), _CAM)
+
+
+def _named(L: Library) -> DataFrame:
+    return L.live().withColumn("name", friendly_name(col("make"), col("model")))
+
+
 q("AG14", "SELECT (SELECT count(*) FROM live) AS photos, (SELECT count(DISTINCT cluster_id) FROM faces) AS people, (SELECT count(DISTINCT country) FROM live) AS countries, (SELECT count(DISTINCT year(taken)) FROM live) AS years, (SELECT count(*) FROM live WHERE favorite) AS favorites", lambda L: L.live().agg(F.count("*").alias("photos"), F.countDistinct("country").alias("countries"), F.countDistinct(F.year("taken")).alias("years"), F.count_if("favorite").alias("favorites")).crossJoin(L.faces().agg(F.countDistinct("cluster_id").alias("people"))).select("photos", "people", "countries", "years", "favorites"))
 q("AG15", "SELECT a.album, count(*) AS n, min(taken) AS first_taken, max(taken) AS last_taken FROM album_photos a JOIN live l ON l.photo_id = a.photo_id GROUP BY a.album", lambda L: L.album_photos().join(L.live(), "photo_id").groupBy("album").agg(F.count("*").alias("n"), F.min("taken").alias("first_taken"), F.max("taken").alias("last_taken")))
 q("AG16", "SELECT count(*) AS n, (SELECT photo_id FROM live WHERE favorite ORDER BY taken DESC NULLS LAST, photo_id DESC LIMIT 1) AS cover, min(taken) AS first_taken, max(taken) AS last_taken FROM live WHERE favorite", lambda L: L.live().where("favorite").agg(F.count("*").alias("n"), F.max_by("photo_id", F.struct(col("taken").isNotNull(), "taken", "photo_id")).alias("cover"), F.min("taken").alias("first_taken"), F.max("taken").alias("last_taken")))

@@ -263,3 +263,18 @@ def test_stream_equals_batch(spark, tmp_path) -> None:  # noqa: ANN001
     merge = streams.merging(str(tmp_path / "m"), "user", "ts")
     streams.run_once(streams.tables(spark, str(tmp_path / "e"), e), merge)
     assert spark.read.parquet(str(tmp_path / "m/0")).count() == 2
+
+
+def test_camera_names(spark) -> None:  # noqa: ANN001
+    from shutterlake.functions import cameras
+
+    rows = [
+        ("Xiaomi", "m2007j20ci", "Xiaomi Poco X3 NFC"), ("SONY", "ILCE-7M3", "Sony α7 III"), ("SONY", "ILCE-7RM4", "Sony α7R IV"), ("SONY", "ILCE-6400", "Sony α6400"), ("SONY", "DSC-RX100M5A", "Sony RX100 VA"), ("SONY", "DSC-W830", "Sony W830"),
+        ("Apple", "iPhone15,2", "iPhone 14 Pro"), ("Apple", "iPhone 12", "Apple iPhone 12"), ("Canon", "EOS R5", "Canon EOS R5"), ("Canon", "Canon PowerShot S110", "Canon PowerShot S110"), ("UnknownMaker", "xyz123abc", "UnknownMaker XYZ123ABC"),
+        ("NIKON CORPORATION", "Z 6", "Nikon Z 6"), ("FUJIFILM", "X-T4", "Fujifilm X-T4"), ("Google", "Pixel 7 Pro", "Google Pixel 7 Pro"), ("ACME", "GREAT CAM", "ACME Great Cam"), (None, None, None), (" \x00", '"', None), ('"OnePlus", "", ""', "x1", "OnePlus X1"), ("Only", None, "Only"),
+    ]
+    d = spark.createDataFrame(rows, "make string, model string, want string")
+    for r in d.select("want", cameras.friendly_name(d.make, d.model).alias("got")).collect():
+        assert r.got == r.want
+    csv = spark.createDataFrame([("Acme", "Acme One", "d", "a-1"), ("Acme", "Two", "d", "A-2"), ("Acme", "", "d", "A-3")], "retail_branding string, marketing_name string, device string, model string")
+    assert sorted(map(tuple, cameras.device_names(csv).collect())) == [("A-1", "Acme One"), ("A-2", "Acme Two")]

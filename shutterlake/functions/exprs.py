@@ -97,6 +97,12 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(col(a), col(b), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def cosine_of(a: Column, b: Column) -> Column:
+    """Cosine similarity of two arrays; null if either is null or all 0."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
 def cosine(a: str, b: str) -> Column:
     """0 where a norm is 0 or the lengths differ."""
     n = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))

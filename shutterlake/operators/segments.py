@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,8 +15,9 @@ col = F.col
 BUCKET_S = 6 * 3600
 
 
-def gap_islands(df: DataFrame, keys: list[str], gap: int, date: str = "taken", key: str = "photo_id", closes: str | None = None, name: str = "island") -> DataFrame:
-    """Number the runs of rows within ``keys`` that have no gap of more than ``gap`` seconds; with ``closes``, a run also ends where that column changes.
+def gap_islands(df: DataFrame, keys: list[str], gap: int, date: str = "taken", key: str = "photo_id", closes: str | None = None, name: str = "island", differs: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Number the runs of rows within ``keys`` that have no gap of more than ``gap`` seconds; with ``closes``, a run also ends where that column changes (or
+    ``differs`` says so of the row before and the row).
 
     Rows are ordered within buckets of six hours only; buckets are joined through one row each (their first and last row and their number of
     starts), so a key that holds most rows is spread over its buckets. Without ``closes`` only distinct times are ordered, so that very many rows of one time (a camera's default) are
@@ -24,13 +26,13 @@ def gap_islands(df: DataFrame, keys: list[str], gap: int, date: str = "taken", k
     if closes is None:
         times = df.where(col(date).isNotNull()).select(*keys, date).distinct()
         return _null_safe_join(df.where(col(date).isNotNull()), _islands(times, keys, gap, date, date, None, name), [*keys, date])
-    return _islands(df, keys, gap, date, key, closes, name)
+    return _islands(df, keys, gap, date, key, closes, name, differs)
 
 
-def _islands(df: DataFrame, keys: list[str], gap: int, date: str, key: str, closes: str | None, name: str) -> DataFrame:
+def _islands(df: DataFrame, keys: list[str], gap: int, date: str, key: str, closes: str | None, name: str, differs: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     d = df.where(col(date).isNotNull()).withColumn("_b", F.floor(X.seconds(date) / BUCKET_S))
     w = W.partitionBy(*keys, "_b").orderBy(date, key)
-    flag = col(closes) if closes else F.lit(0)
+    flag = F.struct(col(closes).alias("v")) if closes else F.lit(0)
     d = d.withColumn("_f", flag).withColumn("_t", F.lag(X.seconds(date)).over(w)).withColumn("_p", F.lag("_f").over(w))
     edge = F.struct(col(date), col(key))
     e = d.groupBy(*keys, "_b").agg(F.max(X.seconds(date)).alias("_last"), F.max_by("_f", edge).alias("_lastf"))
@@ -41,7 +43,7 @@ def _islands(df: DataFrame, keys: list[str], gap: int, date: str, key: str, clos
     prev, pf = F.coalesce("_t", "_bt"), F.coalesce("_p", "_bp")
     start = prev.isNull() | (X.seconds(date) - prev > gap)
     if closes:
-        start = start | ~pf.eqNullSafe(col("_f"))
+        start = start | (F.coalesce(differs(pf["v"], col("_f.v")), F.lit(False)) if differs else ~pf.eqNullSafe(col("_f")))
     d = d.withColumn("_s", start.cast("long")).drop("_t", "_p", "_bt", "_bp", "_f")
     c = d.groupBy(*keys, "_b").agg(F.sum("_s").alias("_n"))
     c = c.select(*keys, "_b", (F.sum("_n").over(o.rowsBetween(W.unboundedPreceding, 0)) - col("_n")).alias("_before"))
@@ -57,14 +59,20 @@ def _null_safe_join(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     return a.join(b, cond).drop(*[f"_r{c}" for c in on])
 
 
-def bursts(photos: DataFrame, gap: int, span: int, least: int = 2) -> DataFrame:
+def bursts(photos: DataFrame, gap: int, span: int, least: int = 2, similarity: float = 0.65) -> DataFrame:
     """(folder, photo_id, burst): photos of a folder at most ``gap`` seconds apart, a burst lasting at most ``span`` seconds; bursts of at least ``least``.
 
+    Where ``photos`` has a column signature, a photo whose cosine similarity to the one before is under ``similarity`` begins a burst, if both have one. For bursts across folders
+    give all photos one folder.
+
     Gaps depend on the previous photo only and cut the timeline into islands. Only an island longer than ``span`` is folded in order, as the start of a burst in it depends
     on where the one before ended; the fold takes the distinct seconds of the island, with the first photo of each, so what a task holds is bounded by the time
     that a camera fired without a break, not by the number of its photos.
     """
-    p = gap_islands(photos.select("folder", "photo_id", "taken"), ["folder"], gap)
+    if "signature" in photos.columns:
+        p = gap_islands(photos.select("folder", "photo_id", "taken", "signature"), ["folder"], gap, closes="signature", differs=lambda a, b: X.cosine_of(a, b) < similarity).drop("signature")
+    else:
+        p = gap_islands(photos.select("folder", "photo_id", "taken"), ["folder"], gap)
     p = p.withColumn("t", X.seconds("taken"))
     size = p.groupBy("folder", "island").agg((F.max("t") - F.min("t")).alias("_span"), F.min_by("photo_id", F.struct("t", "photo_id")).alias("_first"))
     p = p.join(size, ["folder", "island"])
@@ -92,14 +100,15 @@ def sessions(photos: DataFrame, gap: int) -> DataFrame:
     return gap_islands(photos, [], gap, name="session")
 
 
-def events(photos: DataFrame, identities: DataFrame, in_album: DataFrame, gap: int = 4 * 3600, least: int = 15) -> DataFrame:
-    """(session, n, people, cities, days, album_share): sessions of at least ``least`` photos with two people, or a city within three days, at most 60 % in albums."""
+def events(photos: DataFrame, identities: DataFrame, in_album: DataFrame, gap: int = 4 * 3600, least: int = 15, in_trips: DataFrame | None = None) -> DataFrame:
+    """(session, n, people, cities, days, album_share): sessions of at least ``least`` photos with two people, or a city and three days with photos at most, at most 60 % in albums and 70 % in trips."""
     s = sessions(photos, gap).join(in_album.select("photo_id", F.lit(1).alias("in_album")).distinct(), "photo_id", "left")
+    s = s.join(in_trips.select("photo_id", F.lit(1).alias("in_trip")).distinct(), "photo_id", "left") if in_trips is not None else s.withColumn("in_trip", F.lit(None).cast("int"))
     people = s.join(identities, "photo_id").groupBy("session").agg(F.countDistinct("cluster_id").alias("people"))
-    e = s.groupBy("session").agg(F.count("*").alias("n"), F.countDistinct("city").alias("cities"), F.datediff(F.max(F.to_date("taken")), F.min(F.to_date("taken"))).alias("_d"), F.count("in_album").alias("_a"), F.min("taken").alias("start"))
-    e = e.where(col("n") >= least).join(people, "session", "left").withColumn("people", F.coalesce("people", F.lit(0))).withColumn("days", (col("_d") + 1).cast("long"))
+    e = s.groupBy("session").agg(F.count("*").alias("n"), F.countDistinct("city").alias("cities"), F.countDistinct(F.to_date("taken")).alias("days"), F.count("in_album").alias("_a"), F.count("in_trip").alias("_t"), F.min("taken").alias("start"))
+    e = e.where(col("n") >= least).join(people, "session", "left").withColumn("people", F.coalesce("people", F.lit(0)))
     e = e.withColumn("album_share", F.round(col("_a").cast("double") / col("n"), 6))
-    gate = ((col("people") >= 2) | ((col("cities") >= 1) & (col("days") <= 3))) & (col("_a") <= col("n") * 0.6)
+    gate = ((col("people") >= 2) | ((col("cities") >= 1) & (col("days") <= 3))) & (col("_a") <= col("n") * 0.6) & (col("_t") <= col("n") * 0.7)
     return e.where(gate).select("session", "start", "n", "people", "cities", "days", "album_share")
 
 
@@ -112,12 +121,12 @@ def at_home(photos: DataFrame, home: DataFrame) -> DataFrame:
     return _null_safe_join(photos, c, ["city", "country"])
 
 
-def trips(photos: DataFrame, identities: DataFrame, home: DataFrame, least: int = 15, days: int = 3, far: int = 10, apart: int = 4) -> DataFrame:
-    """(trip, start, end, n): journeys away from home.
+def trip_photos(photos: DataFrame, identities: DataFrame, home: DataFrame, in_album: DataFrame | None = None, least: int = 15, days: int = 3, far: int = 10, apart: int = 4) -> DataFrame:
+    """(trip, start, end, photo_id): the photos of journeys away from home; trip is the second of its first photo.
 
     In order of time, a photo at home ends a journey; so does a gap of more than ``far`` days, or of more than ``apart`` days without a person in common with
     any photo of the journey so far. The first two cut the timeline into independent stretches; only the last is folded in order within a
-    stretch. A trip lasts at least ``days`` days; all photos between its first and last moment belong to it, at least ``least``.
+    stretch. A trip lasts at least ``days`` days; all photos from its first to its last day belong to it, at least ``least``, and at most 60 % of them are in albums.
     """
     located = at_home(photos.where("city is not null and taken is not null"), home).select("photo_id", "taken", "is_home")
     runs = gap_islands(located, [], far * 86400, closes="is_home", name="stretch").where(~col("is_home"))
@@ -142,20 +151,28 @@ def trips(photos: DataFrame, identities: DataFrame, home: DataFrame, least: int
     spans = runs.groupBy("stretch").applyInArrow(fold, "start_s long, end_s long")
     day = lambda c: F.floor(col(c) / 86400)
     spans = spans.where(day("end_s") - day("start_s") + 1 >= days)
-    # All photos in the envelope: trips are exploded to their days, an equi-join, then the exact bounds.
+    # All photos of the days: trips are exploded to their days, an equi-join.
     on_day = spans.withColumn("_day", F.explode(F.sequence(day("start_s"), day("end_s"))))
-    p = photos.where("taken is not null").select("photo_id", X.seconds("taken").alias("t")).withColumn("_day", F.floor(col("t") / 86400))
-    n = p.join(on_day, "_day").where((col("t") >= col("start_s")) & (col("t") <= col("end_s"))).groupBy("start_s", "end_s").agg(F.count("*").alias("n"))
+    p = photos.where("taken is not null").select("photo_id", F.floor(X.seconds("taken") / 86400).alias("_day"))
+    p = p.join(in_album.select("photo_id", F.lit(1).alias("_a")).distinct(), "photo_id", "left") if in_album is not None else p.withColumn("_a", F.lit(None).cast("int"))
+    p = p.join(on_day, "_day")
+    good = p.groupBy("start_s").agg(F.count("*").alias("_n"), F.count("_a").alias("_in")).where((col("_n") >= least) & (col("_in") <= col("_n") * 0.6)).select("start_s")
     when = lambda c: F.timestamp_seconds(c).cast("timestamp_ntz")
-    return n.where(col("n") >= least).select(when("start_s").alias("start"), when("end_s").alias("end"), "n")
+    return p.join(good, "start_s").select(col("start_s").alias("trip"), when("start_s").alias("start"), when("end_s").alias("end"), "photo_id")
+
+
+def trips(photos: DataFrame, identities: DataFrame, home: DataFrame, in_album: DataFrame | None = None, least: int = 15, days: int = 3) -> DataFrame:
+    """(start, end, n): the trips of ``trip_photos``."""
+    return trip_photos(photos, identities, home, in_album, least, days).groupBy("start", "end").agg(F.count("*").alias("n"))
 
 
-def gatherings(photos: DataFrame, identities: DataFrame, least: int = 8, window: int = 2 * 86400) -> DataFrame:
-    """(start, n, people): windows of two days, each anchored at the first photo after the window before, with ``least`` photos and two people.
+def gatherings(photos: DataFrame, identities: DataFrame, least: int = 8, window: int = 2 * 86400, used: DataFrame | None = None) -> DataFrame:
+    """(start, n, people): windows of two days, each anchored at the first photo after the window before, with ``least`` photos and two people; photos ``used`` by other suggestions are left out.
 
     Windows on both sides of a gap longer than a window don't depend on each other, so only stretches without one are folded in order.
     """
     p = photos.where("taken is not null").join(identities.select("photo_id").distinct(), "photo_id", "left_semi")
+    p = p if used is None else p.join(used, "photo_id", "left_anti")
     s = gap_islands(p.select("photo_id", "taken"), [], window, name="stretch").select("stretch", "photo_id", X.seconds("taken").alias("t"))
 
     def fold(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:

@@ -12,6 +12,7 @@ from shutterlake.operators import segments as S
 from shutterlake.operators import spatial as P
 from shutterlake.plans.insights import _BU, _HOME
 
+from shutterlake.session import written
 from shutterlake.sources.library import Library, sql
 
 QUERIES: dict = {}
@@ -144,17 +145,39 @@ _FOLD = """b0 AS (SELECT *, row_number() OVER (PARTITION BY folder, run ORDER BY
 fold AS (SELECT folder, run, i, photo_id, t AS begin, photo_id AS burst, t FROM b0 WHERE i = 1
   UNION ALL SELECT b.folder, b.run, b.i, b.photo_id, CASE WHEN b.t - f.begin > 900 THEN b.t ELSE f.begin END, CASE WHEN b.t - f.begin > 900 THEN b.photo_id ELSE f.burst END, b.t
   FROM fold f JOIN b0 b ON b.folder = f.folder AND b.run = f.run AND b.i = f.i + 1)"""
-q("TS01", "SELECT folder, photo_id, burst FROM (SELECT *, count(*) OVER (PARTITION BY folder, burst) AS k FROM fold) WHERE k > 1", lambda L: S.bursts(L.live().withColumn("folder", X.folder("file_path")), 600, 900), f"{_BU}, {_FOLD}")
+_SIM = """sig AS (SELECT photo_id, arg_min(embedding, face_id)::DOUBLE[] AS signature FROM (SELECT face_id, any_value(photo_id) AS photo_id, any_value(embedding) AS embedding FROM cluster_input GROUP BY face_id) WHERE len(embedding) = 64 AND photo_id IS NOT NULL GROUP BY photo_id),
+seq AS (SELECT l.photo_id, taken, regexp_replace(file_path, '/[^/]*$', '') AS folder, signature FROM live l LEFT JOIN sig USING (photo_id) WHERE taken IS NOT NULL), prevs AS (SELECT *, lag(taken) OVER w AS pt, lag(signature) OVER w AS ps FROM seq WINDOW w AS (PARTITION BY folder ORDER BY taken, photo_id)),
+gaps AS (SELECT *, CASE WHEN epoch(taken - pt) <= 600 AND NOT coalesce(list_dot_product(signature, ps) / nullif(sqrt(list_dot_product(signature, signature)) * sqrt(list_dot_product(ps, ps)), 0) < 0.65, false) THEN 0 ELSE 1 END AS s FROM prevs),
+runs AS (SELECT *, sum(s) OVER (PARTITION BY folder ORDER BY taken, photo_id ROWS UNBOUNDED PRECEDING) AS run FROM gaps)"""
+
+
+def signed(L: Library) -> DataFrame:
+    """Live photos with their folder; the vector of a photo's first face stands for the signature of its picture."""
+    s = L.vectors().where((F.size("embedding") == 64) & col("photo_id").isNotNull()).groupBy("photo_id").agg(F.min_by("embedding", "face_id").alias("signature"))
+    return L.live().withColumn("folder", X.folder("file_path")).join(s, "photo_id", "left")
+
+
+q("TS01", "SELECT folder, photo_id, burst FROM (SELECT *, count(*) OVER (PARTITION BY folder, burst) AS k FROM fold) WHERE k > 1", lambda L: S.bursts(signed(L), 600, 900), f"{_SIM}, {_FOLD}")
+q("TS01_anywhere", "SELECT folder, photo_id, burst FROM (SELECT *, count(*) OVER (PARTITION BY folder, burst) AS k FROM fold) WHERE k > 1", lambda L: S.bursts(L.live().withColumn("folder", F.lit("")), 60, 600), f"{_BU}, {_FOLD}".replace("regexp_replace(file_path, '/[^/]*$', '')", "''").replace("<= 600", "<= 60").replace("> 900", "> 600"))
 q("TS02", "SELECT a.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS cos FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id - 1", lambda L: L.table("embeddings").select("vec_id", "embedding").join(L.table("embeddings").select((col("vec_id") + 1).alias("vec_id"), col("embedding").alias("before")), "vec_id").select("vec_id", F.round(X.cosine("embedding", "before"), 6).alias("cos")))
 _SES = "sg AS (SELECT *, CASE WHEN epoch(taken - lag(taken) OVER (ORDER BY taken, photo_id)) <= 43200 THEN 0 ELSE 1 END AS s FROM live WHERE taken IS NOT NULL), ses AS (SELECT *, CAST(sum(s) OVER (ORDER BY taken, photo_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM sg)"
-_EV = f"""{_SES}, ev AS (SELECT session, min(taken) AS start, count(*) AS n, count(DISTINCT city) AS cities, date_diff('day', min(taken)::DATE, max(taken)::DATE) + 1 AS days, count(*) FILTER (WHERE photo_id IN (SELECT photo_id FROM album_photos)) AS a FROM ses GROUP BY session),
+_EV = f"""{_SES}, ev AS (SELECT session, min(taken) AS start, count(*) AS n, count(DISTINCT city) AS cities, count(DISTINCT taken::DATE) AS days, count(*) FILTER (WHERE photo_id % 4 <> 0 AND year(taken) = 2021) AS t, count(*) FILTER (WHERE photo_id IN (SELECT photo_id FROM album_photos)) AS a FROM ses GROUP BY session),
 pe AS (SELECT session, count(DISTINCT cluster_id) AS people FROM ses JOIN identities USING (photo_id) GROUP BY session), e3 AS (SELECT ev.*, coalesce(people, 0) AS people FROM ev LEFT JOIN pe USING (session) WHERE n >= 3)"""
-q("TS03", "SELECT session, start, n, people, cities, days, round(CAST(a AS DOUBLE) / n, 6) AS album_share FROM e3 WHERE (people >= 2 OR (cities >= 1 AND days <= 3)) AND a <= n * 0.6", lambda L: S.events(L.live(), L.identities(), L.album_photos(), 12 * 3600, 3), _EV)
+q("TS03", "SELECT session, start, n, people, cities, days, round(CAST(a AS DOUBLE) / n, 6) AS album_share FROM e3 WHERE (people >= 2 OR (cities >= 1 AND days <= 3)) AND a <= n * 0.6 AND t <= n * 0.7", lambda L: S.events(L.live(), L.identities(), L.album_photos(), 12 * 3600, 3, L.live().where("photo_id % 4 <> 0 and year(taken) = 2021")), _EV)
 q("TS03_sessions", "SELECT photo_id, session FROM ses", lambda L: S.sessions(L.live(), 12 * 3600).select("photo_id", "session"), _SES)
-q("TS04", None, lambda L: S.trips(L.live(), L.identities(), I.home_city(L.live()), least=4, days=2))
+q("TS04", None, lambda L: S.trips(L.live(), L.identities(), I.home_city(L.live()), L.album_photos(), least=4, days=2))
 _AH = f"{_HOME}, ctr AS (SELECT city, country, avg(lat) AS la, avg(lon) AS lo FROM live WHERE city IS NOT NULL AND lat IS NOT NULL GROUP BY ALL)"
 q("TS05", "SELECT c.city, c.country, (c.city = h.city AND c.country IS NOT DISTINCT FROM h.country) OR 2 * 6371.0 * asin(sqrt(least(1.0, power(sin(radians(h.lat - c.la) / 2), 2) + cos(radians(c.la)) * cos(radians(h.lat)) * power(sin(radians(h.lon - c.lo) / 2), 2)))) <= 50 AS is_home FROM ctr c CROSS JOIN home h", lambda L: S.at_home(L.live().where("city is not null and lat is not null"), I.home_city(L.live())).select("city", "country", "is_home").distinct(), _AH)
-q("TS06", None, lambda L: S.gatherings(L.live(), L.identities(), least=3))
+q("TS06", None, lambda L: S.gatherings(L.live(), L.identities(), least=3, used=_used(L)))
+
+
+def _used(L: Library) -> DataFrame:
+    """(photo_id): photos that trips and events already suggest."""
+    t = written(S.trip_photos(L.live(), L.identities(), I.home_city(L.live()), L.album_photos(), 4, 2).select("photo_id").distinct(), "trips")
+    e = S.events(L.live(), L.identities(), L.album_photos(), 12 * 3600, 3, t).select("session")
+    return t.unionByName(S.sessions(L.live(), 12 * 3600).join(e, "session", "left_semi").select("photo_id")).distinct()
+
+
 q("TS07", "SELECT city, country, min(taken) AS first_taken, max(taken) AS last_taken, count(*) AS n FROM (SELECT *, sum(s) OVER (PARTITION BY city, country ORDER BY taken, photo_id ROWS UNBOUNDED PRECEDING) AS v FROM (SELECT *, CASE WHEN epoch(taken - lag(taken) OVER (PARTITION BY city, country ORDER BY taken, photo_id)) <= 259200 THEN 0 ELSE 1 END AS s FROM live WHERE taken IS NOT NULL AND city IS NOT NULL)) GROUP BY city, country, v", lambda L: S.gap_islands(L.live().where("city is not null"), ["city", "country"], 3 * 86400, name="v").groupBy("city", "country", "v").agg(F.min("taken").alias("first_taken"), F.max("taken").alias("last_taken"), F.count("*").alias("n")).drop("v"))
 q("TS08", "SELECT count(*) AS sessions, count(*) FILTER (WHERE n >= 3) AS large, count(*) FILTER (WHERE n >= 3 AND a > n * 0.6) AS in_albums FROM ev", lambda L: S.sessions(L.live(), 12 * 3600).join(L.album_photos().select("photo_id", F.lit(1).alias("a")).distinct(), "photo_id", "left").groupBy("session").agg(F.count("*").alias("n"), F.count("a").alias("a")).agg(F.count("*").alias("sessions"), F.count_if(col("n") >= 3).alias("large"), F.count_if((col("n") >= 3) & (col("a") > col("n") * 0.6)).alias("in_albums")), _EV)
 _FP = "fp AS (SELECT session, sha256(array_to_string(list_sort(list(photo_id))::VARCHAR[], ',')) AS fingerprint FROM ses GROUP BY session HAVING count(*) >= 3)"

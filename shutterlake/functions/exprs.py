@@ -97,6 +97,11 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(col(a), col(b), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def good_faces(faces: DataFrame) -> DataFrame:
+    """Faces fit for a gallery: of at least 900 pixels, a confidence of 0.55 and a blur (variance of the Laplacian) of 40, turned by at most 35 degrees."""
+    return faces.where((F.col("area") >= 900) & (F.col("confidence") >= 0.55) & (F.col("blur") >= 40) & (F.abs("yaw") <= 35))
+
+
 def cosine_of(a: Column, b: Column) -> Column:
     """Cosine similarity of two arrays; null if either is null or all 0."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

@@ -273,6 +273,16 @@ def execute(plan: Plan, photos: DataFrame, faces: DataFrame, inferred: DataFrame
     return p.orderBy(col("rank").asc_nulls_last(), col("taken").desc_nulls_last(), col("photo_id").desc()).limit(limit).drop("_rank")
 
 
+def text_hits(photos: DataFrame, faces: DataFrame, inferred: DataFrame, clusters: DataFrame, text: str) -> DataFrame:
+    """Photos whose file, place, maker or model (or both of these together) contains a text, or on which a person of such a name is seen or inferred."""
+    who = clusters.where(F.lower("name").contains(text.lower())).select("cluster_id")
+    seen = faces.select("photo_id", "cluster_id").unionByName(inferred.select("photo_id", "cluster_id")).join(who, "cluster_id").select("photo_id", F.lit(True).alias("_who")).distinct()
+    p = photos.join(seen, "photo_id", "left")
+    both = F.concat_ws(" ", F.coalesce("make", F.lit("")), F.coalesce("model", F.lit("")))
+    hit = X.any_contains(["file_name", "city", "country", "make", "model"], text) | F.lower(both).contains(text.lower()) | F.coalesce("_who", F.lit(False))
+    return p.where(hit).drop("_who")
+
+
 def by_day(found: DataFrame) -> DataFrame:
     """(day, n, city): results by day with the first known city of each."""
     return found.groupBy(F.to_date("taken").alias("day")).agg(F.count("*").alias("n"), F.min_by("city", F.when(col("city").isNotNull(), F.struct("taken", "photo_id"))).alias("city"))

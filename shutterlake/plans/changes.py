@@ -35,16 +35,27 @@ _LE = " || ".join(f"substr(h{{}}, {i}, 2)" for i in range(15, 0, -2))
 q("SC04", f"SELECT doc_id, sha256(unhex({_LE.replace('h{}', 'ha')} || {_LE.replace('h{}', 'hb')}) || t[1:65536]) AS fingerprint FROM (SELECT doc_id, lpad(hex(n_chars), 16, '0') AS ha, lpad(hex(doc_id), 16, '0') AS hb, encode(text) AS t FROM documents WHERE text IS NOT NULL AND n_chars IS NOT NULL)", lambda L: L.table("documents").where("text is not null and n_chars is not null").select("doc_id", N.fast_fingerprint(col("n_chars"), col("doc_id"), F.encode("text", "utf-8")).alias("fingerprint")))
 q("SC05", "SELECT doc_id, sha256(text) AS content_hash FROM documents WHERE text IS NOT NULL", lambda L: L.table("documents").where("text is not null").select("doc_id", F.sha2(F.encode("text", "utf-8"), 256).alias("content_hash")))
 q("SC06", "SELECT file_path FROM items WHERE file_path NOT IN (SELECT file_path FROM ph)", lambda L: N.fresh(L.items().where("file_path is not null").select("file_path"), L.photos()))
-q("SC09", None, lambda L: _dates(L))
+
+
+def _named_by_date(L: Library) -> DataFrame:
+    """Dated photos with a file name as phones and programs write it."""
+    kinds = ["'IMG_'yyyyMMdd_HHmmss'.jpg'", "'Screenshot_'yyyyMMdd-HHmmss'.png'", "yyyy-MM-dd HH.mm.ss'.jpg'", "'signal-'yyyy-MM-dd-HHmmss'.jpg'", "'IMG-'yyyyMMdd'-WA0001.jpg'"]
+    name = F.element_at(F.array(*(F.date_format("taken", k) for k in kinds)), (col("photo_id") % 5 + 1).cast("int"))
+    return L.photos().where("taken is not null and year(taken) between 1900 and 2026").withColumn("name", name)
 
 
 def _dates(L: Library) -> DataFrame:
-    p = L.table("photos").select(col("id").alias("photo_id"), "date_taken", "file_name", "file_mtime").dropDuplicates(["photo_id"]).withColumn("none", F.lit(None).cast("string"))
-    d, s = N.chosen_date("date_taken", "none", "file_name", "none", "file_mtime", 2025)
+    """The date and its source, of photos that have one to five of the sources."""
+    p = _named_by_date(L).withColumn("k", col("photo_id") % 7)
+    text = lambda k: F.when(col("k") == k, F.date_format("taken", "yyyy:MM:dd HH:mm:ss"))
+    p = p.withColumns({"exif": text(0), "digitized": F.when(col("k") <= 1, F.date_format("taken", "yyyy:MM:dd HH:mm:ss")), "own": F.when(col("k") <= 2, col("name")).otherwise("clip.mov"), "meta": F.when(col("k") == 3, F.date_format(F.timestamp_seconds("mtime"), "yyyy:MM:dd HH:mm:ss")).when(col("k") == 4, "1931:01:01 00:00:00")})
+    d, s = N.chosen_date("exif", "digitized", "own", "meta", "mtime", 2025)
     return p.select("photo_id", d.alias("taken"), s.alias("source"))
 
 
-q("SC10", None, lambda L: L.table("photos").select(col("id").alias("photo_id"), N.name_date("date_taken", 2025).alias("taken")).where("taken is not null").distinct())
+_NAMED = "dated AS (SELECT photo_id, taken, mtime, photo_id % 7 AS k, CASE WHEN photo_id % 5 = 4 THEN date_trunc('day', taken)::TIMESTAMP ELSE date_trunc('second', taken) END AS named FROM ph WHERE year(taken) BETWEEN 1900 AND 2026)"
+q("SC09", "SELECT photo_id, CASE WHEN k <= 1 THEN taken WHEN k = 2 THEN named WHEN k = 4 AND mtime IS NULL THEN TIMESTAMP '1931-01-01' ELSE make_timestamp(mtime * 1000000) END AS taken, CASE WHEN k = 0 THEN 'exif' WHEN k = 1 THEN 'exif_digitized' WHEN k = 2 THEN 'filename' WHEN k = 3 AND mtime IS NOT NULL OR k = 4 AND mtime IS NULL THEN 'file_meta' WHEN mtime IS NOT NULL THEN 'mtime' END AS source FROM dated", lambda L: _dates(L), _NAMED)
+q("SC10", "SELECT photo_id, named AS taken FROM dated", lambda L: _named_by_date(L).select("photo_id", N.name_date("name", 2025).alias("taken")), _NAMED)
 q("SC11", "SELECT id AS photo_id, any_value(try_cast(substr(t, 1, 4) || '-' || substr(t, 6, 2) || '-' || substr(t, 9, 2) || ' ' || substr(t, 12) AS TIMESTAMP)) AS taken FROM (SELECT id, regexp_replace(trim(replace(date_taken, chr(0), '')), '(\\.\\d+)?\\s*(Z|[+-]\\d{2}:?\\d{2})?$', '') AS t FROM photos WHERE regexp_matches(trim(date_taken), '^\\d{4}[:]\\d{2}[:]\\d{2} \\d{2}:\\d{2}:\\d{2}')) GROUP BY id", lambda L: L.table("photos").where(F.trim("date_taken").rlike(r"^\d{4}[:]\d{2}[:]\d{2} \d{2}:\d{2}:\d{2}")).select(col("id").alias("photo_id"), N.exif_date("date_taken").alias("taken")).dropDuplicates(["photo_id"]))
 q("SC15", "SELECT lower(trim(model)) AS model_key, min(trim(make || ' ' || model)) AS name FROM camera_catalog WHERE model IS NOT NULL AND make IS NOT NULL GROUP BY 1", lambda L: L.table("camera_catalog").where("model is not null and make is not null").groupBy(F.lower(F.trim("model")).alias("model_key")).agg(F.min(F.trim(F.concat_ws(" ", "make", "model"))).alias("name")))
 _JS = "js AS (SELECT content_hash, file_path, try_cast(metadata_json AS JSON) AS j FROM items)"

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shutterlake.functions import exprs as X
+from shutterlake.operators import grouping as G
 from shutterlake.operators import insights as I
 from shutterlake.operators import memories as M
 from shutterlake.plans.groups import photo_hashes
@@ -84,7 +85,16 @@ def _ranked(L: Library) -> DataFrame:
 q("MM08", "SELECT h.id, round(log2(k + 1.0::DOUBLE) * sqrt(greatest(2025 - year, 0) + 1.0::DOUBLE) * CASE WHEN has_faces THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN s.kind = 'trip' THEN 1.8::DOUBLE ELSE 1.0::DOUBLE END, 6) AS score FROM hero h JOIN suggestions s ON s.id = h.id WHERE year IS NOT NULL", _ranked, f"{_IDS}, {_HERO}")
 q("MM09", "SELECT id FROM ids LEFT JOIN (SELECT DISTINCT photo_id AS b FROM faces WHERE cluster_id % 5 = 0) x ON x.b = ids.photo_id GROUP BY id HAVING count(b) * 2 <= count(*)", lambda L: M.without_blocked(suggested(L), L.faces(), L.clusters().where("cluster_id % 5 = 0").select("cluster_id"), "id"), _IDS)
 q("MM10", "SELECT coalesce(min(taken) <= TIMESTAMP '2025-03-17', false) AS old_enough FROM live", lambda L: L.live().agg(F.coalesce(F.min("taken") <= X.ts("2025-03-17"), F.lit(False)).alias("old_enough")))
-q("MM11", None, lambda L: M.surprise(dated(L), TODAY, 7))
+q("MM11", None, lambda L: M.surprise(_hashed(L), TODAY, 7))
+
+
+def _hashed(L: Library) -> DataFrame:
+    """Dated photos with their hash and their group of look-alikes."""
+    h = photo_hashes(L)
+    g = G.near_groups(h, "photo_id").select("photo_id", "group_key")
+    return dated(L).join(h, "photo_id", "left").join(g, "photo_id", "left")
+
+
 _CO = """fc AS (SELECT photo_id, count(*) AS n, max(area)::DOUBLE / 1000000 AS largest FROM faces GROUP BY photo_id),
 cp AS (SELECT photo_id, row_number() OVER (PARTITION BY file_hash ORDER BY photo_id) > 1 AS second FROM live WHERE file_hash IS NOT NULL),
 co AS (SELECT l.photo_id, 1.0::DOUBLE + CASE WHEN favorite THEN 3.0 ELSE 0 END + CASE WHEN coalesce(n, 0) > 0 THEN 1.2 ELSE 0 END + CASE WHEN coalesce(largest, 0) >= 0.01 THEN 0.6 ELSE 0 END + CASE WHEN coalesce(n, 0) BETWEEN 2 AND 5 THEN 0.3 ELSE 0 END
@@ -110,7 +120,18 @@ def _pools(L: Library) -> DataFrame:
 
 
 q("MM13", None, lambda L: M.collages(_pools(L)))
-q("MM14", "SELECT * FROM (VALUES ('memory', 'today'), ('suggestion', 's2'), ('album', 'b')) v(kind, key)", lambda L: L.spark.createDataFrame(M.collage_suggestions([("memory", "today"), ("suggestion", "s1"), ("suggestion", "s2"), ("album", "a"), ("album", "b"), ("album", "c"), ("favorites", "f")], TODAY), "kind string, key string"))
+_SRC = """mem AS (SELECT '2025-06-15' AS key WHERE EXISTS (SELECT 1 FROM live WHERE taken < TIMESTAMP '2025-03-17' AND strftime(taken, '%m-%d') = '06-15')), sug AS (SELECT id::VARCHAR AS key, row_number() OVER (ORDER BY id::VARCHAR) - 1 AS i, count(*) OVER () AS n FROM suggestions WHERE status = 'pending'),
+alb AS (SELECT album AS key, row_number() OVER (ORDER BY album) - 1 AS i, count(*) OVER () AS n FROM (SELECT album FROM album_photos JOIN live USING (photo_id) GROUP BY album HAVING count(DISTINCT photo_id) >= 3))"""
+q("MM14", "SELECT row_number() OVER (ORDER BY p) AS pos, kind, key FROM (SELECT 0 AS p, 'memory' AS kind, key FROM mem UNION ALL SELECT 1, 'suggestion', key FROM sug WHERE i = 741315 % n UNION ALL SELECT 2, 'album', key FROM alb WHERE i = 370657 % n)", lambda L: _collage_sources(L), _SRC)
+
+
+def _collage_sources(L: Library) -> DataFrame:
+    memory = M.on_this_day(dated(L), TODAY).select(F.lit(TODAY.isoformat()).alias("key"))
+    pending = L.suggestions().where("status = 'pending'").select(col("id").alias("key"))
+    albums = L.album_photos().join(L.live().select("photo_id"), "photo_id").groupBy(col("album").alias("key")).agg(F.countDistinct("photo_id").alias("n")).where("n >= 3")
+    return M.collage_suggestions(memory, pending, albums, TODAY)
+
+
 _SF = """sp AS (SELECT i.id, l.* FROM ids i JOIN live l USING (photo_id) WHERE taken IS NOT NULL), sb AS (SELECT id, min(taken) AS start, max(taken) AS "end", count(*) AS n, count(DISTINCT city) AS places FROM sp GROUP BY id),
 sm AS (SELECT id, arg_max(city, (c, city)) AS main, max(c) AS mc FROM (SELECT id, city, count(*) AS c FROM sp WHERE city IS NOT NULL GROUP BY ALL) GROUP BY id),
 sw AS (SELECT id, name, c, row_number() OVER (PARTITION BY id ORDER BY c DESC, name) AS rn FROM (SELECT sp.id, c.name, count(DISTINCT sp.photo_id) AS c FROM sp JOIN identities USING (photo_id) JOIN clusters c USING (cluster_id) WHERE c.name IS NOT NULL GROUP BY ALL) JOIN sb USING (id) WHERE c >= n * 0.3),

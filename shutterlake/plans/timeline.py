@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shutterlake.functions import exprs as X
 from shutterlake.operators import timeline as T
+from shutterlake.operators.search import text_hits
 from shutterlake.operators.segments import gap_islands
 from shutterlake.sources.library import Library, sql
 
@@ -49,7 +50,17 @@ q("PF05", "SELECT photo_id FROM live WHERE taken BETWEEN TIMESTAMP '2021-01-01'
 q("PF06", "SELECT photo_id FROM live WHERE taken >= TIMESTAMP '2021-01-01' AND taken < TIMESTAMP '2021-02-01'", lambda L: L.live().where(X.half_open("taken", "2021-01-01", "2021-02-01")).select("photo_id"))
 q("PF07", "SELECT photo_id FROM live WHERE lat BETWEEN -60 AND 60 AND (lon >= 120 OR lon <= -80)", lambda L: L.live().where(X.in_box("lat", "lon", -60, 60, 120, -80)).select("photo_id"))
 q("PF08", "SELECT photo_id, lat, lon FROM ph WHERE lat IS NOT NULL", lambda L: L.photos().where("lat is not null").select("photo_id", "lat", "lon"))
-q("PF09", "SELECT photo_id FROM live WHERE contains(lower(coalesce(file_name, '')), 'mov') OR contains(lower(coalesce(city, '')), 'an') OR contains(lower(coalesce(country, '')), 'an') OR contains(lower(coalesce(model, '')), 'an')", lambda L: L.live().where(X.any_contains(["file_name"], "mov") | X.any_contains(["city", "country", "model"], "an")).select("photo_id"))
+_ARMS = """SELECT photo_id FROM live l WHERE contains(lower(coalesce(file_name, '')), '{t}') OR contains(lower(coalesce(city, '')), '{t}') OR contains(lower(coalesce(country, '')), '{t}') OR contains(lower(coalesce(make, '')), '{t}') OR contains(lower(coalesce(model, '')), '{t}')
+ OR contains(lower(coalesce(make, '') || ' ' || coalesce(model, '')), '{t}') OR photo_id IN (SELECT photo_id FROM faces JOIN clusters USING (cluster_id) WHERE photo_id IS NOT NULL AND contains(lower(name), '{t}')) OR photo_id IN (SELECT photo_id FROM inferred JOIN clusters USING (cluster_id) WHERE photo_id IS NOT NULL AND contains(lower(name), '{t}'))"""
+
+
+def _hits(L: Library, text: str) -> DataFrame:
+    return text_hits(L.live(), L.faces(), L.inferred(), L.clusters(), text).select("photo_id")
+
+
+q("PF09", _ARMS.format(t="an"), lambda L: _hits(L, "an"))
+q("PF09_person", _ARMS.format(t="son 1"), lambda L: _hits(L, "son 1"))
+q("PF09_camera", _ARMS.format(t="n h"), lambda L: _hits(L, "n h"))
 
 
 _BUSY = "busy AS (SELECT cluster_id, row_number() OVER (ORDER BY count(*) DESC, cluster_id) AS r FROM faces WHERE cluster_id IS NOT NULL GROUP BY cluster_id)"
@@ -107,7 +118,7 @@ q("PF22", f"SELECT p.photo_id FROM ph p JOIN listing n ON n.file_path = p.file_p
 q("PF23", "SELECT count(*) FILTER (WHERE n.file_path IS NULL) AS missing, count(*) AS active, count(*) FILTER (WHERE n.file_path IS NULL) >= 25 AND 5 * count(*) FILTER (WHERE n.file_path IS NULL) > count(*) AS refused FROM live p LEFT JOIN listing n ON n.file_path = p.file_path", lambda L: X.mass_removal(L.live().join(listing(L).select("file_path", F.lit(True).alias("there")), "file_path", "left")), _LIST)
 q("PF24", "SELECT face_id FROM faces WHERE user_confirmed = 1", lambda L: X.by_status(L.faces(), "confirmed").select("face_id"))
 q("PF24_unconfirmed", "SELECT face_id FROM faces WHERE user_confirmed = 0", lambda L: X.by_status(L.faces(), "unconfirmed").select("face_id"))
-q("PF25", "SELECT face_id FROM faces WHERE area >= 900 AND confidence >= 0.55", lambda L: L.faces().where((col("area") >= 900) & (col("confidence") >= 0.55)).select("face_id"))
+q("PF25", "SELECT face_id FROM faces WHERE area >= 900 AND confidence >= 0.55 AND face_id * 31 % 120 >= 40 AND abs(face_id * 17 % 90 - 45) <= 35", lambda L: X.good_faces(L.faces().withColumns({"blur": col("face_id") * 31 % 120, "yaw": col("face_id") * 17 % 90 - 45})).select("face_id"))
 q("PF26", "SELECT photo_id FROM live WHERE CAST(width AS BIGINT) * height >= 300000 AND (photo_id % 100)::DOUBLE / 100 BETWEEN 0.1 AND 0.92", lambda L: L.live().where((col("width").cast("long") * col("height") >= 300_000) & ((col("photo_id") % 100).cast("double") / 100).between(0.1, 0.92)).select("photo_id"))
 q("PF27", "SELECT photo_id, nullif(trim(make), '') AS make, nullif(trim(model), '') AS model FROM ph", lambda L: L.photos().select("photo_id", X.cleaned("make"), X.cleaned("model")))
 

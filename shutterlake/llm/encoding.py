@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from shutterlake.llm.codepages import NON_ASCII, READ_AS, WIDE, WRITTEN_IN, as_bytes, byte_of, decoded, table
 from shutterlake.session import written
 
-ROUNDS = 3
+ROUNDS = 2
 SMOOTH = 0.05
 #: Log-likelihood that a restored passage must gain, in all and per changed bigram.
 GAIN, GAIN_EACH = 5.0, 1.0
@@ -314,14 +314,17 @@ class Restorer:
         if not chains and not wide and most < GAIN_EACH:
             return p, None
         best, found, how = 0.0, p, None
-        for chain in sorted({c for w in at.values() for c in w.chains}, key=lambda c: (len(c), c)) if chains else ():
-            read = {i: self._chain(parts[i], chain) for i in at}
-            gain, n, total = (sum(v[k] for v in read.values()) for k in range(3))
+        hot = [i for i, w in at.items() if w.chains] if chains else []  # the others gain under no chain
+        for chain in sorted({c for i in hot for c in at[i].chains}, key=lambda c: (len(c), c)):
+            read, gain, n, total = {}, 0.0, 0, 0.0
+            for i in hot:
+                g, k, t, read[i] = self._chain(parts[i], chain)
+                gain, n, total = gain + g, n + k, total + t
             name = ">".join(("utf_8", *chain))
             odds = self._prior(source, name, favoured) - AGAIN * (len(chain) - 1) + UTF8_ODDS
             if n and gain >= UTF8_EACH * n and gain >= UTF8_GAIN and total + odds > best:
                 best, how = total + odds, name
-                found = " ".join(read[i][3] if i in read else w for i, w in enumerate(parts))
+                found = " ".join(read.get(i, w) for i, w in enumerate(parts))
         if not self.one_byte:
             return found, how
         if most >= GAIN_EACH:
@@ -414,7 +417,7 @@ def learn(docs: DataFrame, rounds: int = ROUNDS) -> tuple[dict[str, float], dict
         shared = spark.sparkContext.broadcast((counts, swaps))  # bounded by the alphabets' pairs, not by the documents
 
         def step(batches: Iterator[pa.RecordBatch], k: int = k) -> Iterator[pa.RecordBatch]:
-            r = Restorer(*shared.value, one_byte=k > 1) if k else None
+            r = Restorer(*shared.value) if k else None
             words, used = Counter(), Counter()
             for b in batches:
                 for p, src, n in zip(*(c.to_pylist() for c in b.columns)):

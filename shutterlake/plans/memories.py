@@ -137,10 +137,24 @@ sm AS (SELECT id, arg_max(city, (c, city)) AS main, max(c) AS mc FROM (SELECT id
 sw AS (SELECT id, name, c, row_number() OVER (PARTITION BY id ORDER BY c DESC, name) AS rn FROM (SELECT sp.id, c.name, count(DISTINCT sp.photo_id) AS c FROM sp JOIN identities USING (photo_id) JOIN clusters c USING (cluster_id) WHERE c.name IS NOT NULL GROUP BY ALL) JOIN sb USING (id) WHERE c >= n * 0.3),
 s2 AS (SELECT id, string_agg(name, ' and ' ORDER BY rn) AS people FROM sw WHERE rn <= 2 GROUP BY id)"""
 q("MM15", 'SELECT sb.id, sb.start, sb."end", sb.n, sb.places, CASE WHEN mc * 2 >= n THEN main END AS main_place, people FROM sb LEFT JOIN sm USING (id) LEFT JOIN s2 USING (id)', lambda L: M.story_facts(suggested(L), L.live(), L.identities(), L.clusters(), "id").drop("lat"), f"{_IDS}, {_SF}")
-q("MM15_titles", None, lambda L: M.titled(M.story_facts(suggested(L), L.live(), L.identities(), L.clusters(), "id")).select("id", "title"))
+_TT = f"""{_IDS}, {_SF}, {_HOME}, ap AS (SELECT id, city, coalesce(country, '') AS country, count(*) AS c, min(taken) AS first, bool_or(true) AS one FROM sp WHERE city IS NOT NULL GROUP BY ALL),
+aw AS (SELECT ap.*, coalesce(ap.city <> h.city OR ap.country <> coalesce(h.country, ''), true) AS away, coalesce(h.country, '') AS hn FROM ap LEFT JOIN home h ON true),
+st AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY first, city, country) AS i, count(*) OVER (PARTITION BY id) AS k FROM (SELECT * FROM aw QUALIFY away OR NOT bool_or(away) OVER (PARTITION BY id))),
+mn AS (SELECT id, arg_max(city, (c, first, city)) AS main, arg_max(country, (c, first, city)) AS mcountry, max(k) AS k, max(city) FILTER (WHERE i = 1) AS c1, max(city) FILTER (WHERE i = 2) AS c2, max(city) FILTER (WHERE i = 3) AS c3, max(city) FILTER (WHERE i = k) AS cl,
+  max(country) FILTER (WHERE i = 1) AS land, count(DISTINCT nullif(country, '')) AS nc, max(nullif(country, '')) AS onec, max(hn) AS hn FROM st GROUP BY id),
+fx AS (SELECT sb.*, start::DATE AS d1, "end"::DATE AS d2, date_diff('day', start::DATE, "end"::DATE) + 1 AS days, people, mn.* EXCLUDE (id), coalesce(main, 'somewhere new') AS w, (SELECT avg(lat) FROM sp WHERE sp.id = sb.id) AS lat,
+  (SELECT min(taken) FROM live WHERE live.country = mn.land) AS lf, (SELECT min(taken) FROM live WHERE live.city = mn.main AND coalesce(live.country, '') = mn.mcountry) AS tf FROM sb LEFT JOIN mn USING (id) LEFT JOIN s2 USING (id)),
+hol AS (SELECT *, (make_date(year(d1), 12, 25) BETWEEN d1 AND d2 OR make_date(year(d2), 12, 25) BETWEEN d1 AND d2 OR year(d2) - year(d1) > 1) AS xm, (make_date(year(d1), 12, 31) BETWEEN d1 AND d2 OR make_date(year(d2), 1, 1) BETWEEN d1 AND d2 OR make_date(year(d1), 1, 1) BETWEEN d1 AND d2 OR make_date(year(d2), 12, 31) BETWEEN d1 AND d2 OR year(d2) - year(d1) > 1) AS ny FROM fx)"""
+_NUM = "CASE WHEN {n} BETWEEN 0 AND 12 THEN (['zero', 'one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine', 'ten', 'eleven', 'twelve'])[({n} + 1)::INTEGER] ELSE ({n})::BIGINT::VARCHAR END"
+_DUR = f"CASE WHEN days <= 1 THEN 'one day' WHEN days <= 6 THEN {_NUM.format(n='days')} || ' days' WHEN days <= 10 THEN 'a week' WHEN days <= 17 THEN 'two weeks' ELSE {_NUM.format(n='((days + 3) // 7)')} || ' weeks' END"
+q("MM15_titles", f"""SELECT id, CASE WHEN xm AND ny THEN 'The holidays in ' || w WHEN xm THEN 'Christmas in ' || w WHEN ny THEN 'New Year in ' || w WHEN people IS NOT NULL THEN w || ' with ' || people
+ WHEN k = 2 THEN c1 || ' to ' || cl WHEN k = 3 THEN c1 || ', ' || c2 || ' and ' || c3 WHEN k > 3 AND nc = 1 THEN 'Across ' || onec WHEN k > 3 THEN c1 || ' to ' || cl
+ WHEN land <> '' AND land IS DISTINCT FROM hn AND lf >= start THEN 'First time in ' || land WHEN tf < d1 - INTERVAL 30 DAY THEN 'Back in ' || w WHEN days BETWEEN 2 AND 3 AND dayofweek(d1) IN (5, 6) AND dayofweek(d2) IN (6, 0, 1) THEN 'A weekend in ' || w
+ WHEN abs(lat) < 23.5 THEN strftime(start, '%B') || ' in ' || w WHEN lat IS NOT NULL THEN (['Winter', 'Spring', 'Summer', 'Autumn'])[1 + (CASE WHEN lat < 0 THEN (month(start) % 12 // 3 + 2) % 4 ELSE month(start) % 12 // 3 END)::INTEGER] || ' in ' || w
+ ELSE upper(({_DUR})[1]) || ({_DUR})[2:] || ' in ' || w END AS title FROM hol""", lambda L: M.trip_titles(suggested(L), L.live(), L.identities(), L.clusters(), I.home_city(L.live()), "id"), _TT)
 q("MM16", """SELECT photo_id, CASE WHEN hour(taken) BETWEEN 5 AND 11 THEN 'morning' WHEN hour(taken) BETWEEN 12 AND 16 THEN 'afternoon' WHEN hour(taken) BETWEEN 17 AND 21 THEN 'evening' ELSE 'night' END AS part,
  CASE WHEN abs(lat) < 23.5 THEN strftime(taken, '%B') ELSE (['Winter', 'Spring', 'Summer', 'Autumn'])[1 + (CASE WHEN lat < 0 THEN (month(taken) % 12 // 3 + 2) % 4 ELSE month(taken) % 12 // 3 END)::INTEGER] END AS season,
- CASE WHEN strftime(taken, '%m-%d') IN ('12-24', '12-25', '12-26') THEN 'Christmas' WHEN strftime(taken, '%m-%d') IN ('12-31', '01-01') THEN 'New Year' WHEN strftime(taken, '%m-%d') = '10-31' THEN 'Halloween' WHEN strftime(taken, '%m-%d') = '02-14' THEN 'Valentine''s Day' END AS holiday
+ CASE strftime(taken, '%m-%d') WHEN '12-24' THEN 'Christmas Eve' WHEN '12-25' THEN 'Christmas Day' WHEN '12-31' THEN 'New Year''s Eve' WHEN '01-01' THEN 'New Year''s Day' END AS holiday
  FROM live WHERE taken IS NOT NULL""", lambda L: dated(L).select("photo_id", M.day_part("taken").alias("part"), M.season("taken", col("lat")).alias("season"), M.holiday("taken").alias("holiday")))
 _M2 = "(2025 - year(taken)) * 12 + 6 - month(taken) - CASE WHEN 15 < day(taken) THEN 1 ELSE 0 END"
 q("MM16_labels", f"""SELECT photo_id, CASE WHEN taken::DATE >= DATE '2025-06-15' OR {_M2} <= 0 THEN 'Recent' WHEN {_M2} = 1 THEN '1 month ago' WHEN {_M2} < 12 THEN ({_M2}) || ' months ago' WHEN ({_M2}) // 12 = 1 THEN '1 year ago' ELSE (({_M2}) // 12) || ' years ago' END AS age,

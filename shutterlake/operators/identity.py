@@ -331,6 +331,12 @@ def iou(a: list[str], b: list[str]) -> Column:
     return F.when(area(a) + area(b) - w * h > 0, w * h / (area(a) + area(b) - w * h)).otherwise(0.0)
 
 
+def yaw(left: Column, right: Column, nose: Column) -> Column:
+    """Degrees by which a face is turned, from its eyes and nose (x, y): how far the nose lies beside the eyes' middle, in distances of the eyes; 0 for eyes less than a pixel apart."""
+    apart = F.sqrt(F.pow(right["x"] - left["x"], 2) + F.pow(right["y"] - left["y"], 2))
+    return F.when(apart < 1, 0.0).otherwise(F.abs(F.degrees(F.atan((nose["x"] - (left["x"] + right["x"]) / 2) / apart))))
+
+
 def suppressed(boxes: DataFrame, threshold: float = 0.4) -> DataFrame:
     """Boxes (photo_id, box_id, x1, y1, x2, y2, score) left after non-maximum suppression within each photo: greedy by score, ties to the smaller id."""
 

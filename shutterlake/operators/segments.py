@@ -100,16 +100,31 @@ def sessions(photos: DataFrame, gap: int) -> DataFrame:
     return gap_islands(photos, [], gap, name="session")
 
 
-def events(photos: DataFrame, identities: DataFrame, in_album: DataFrame, gap: int = 4 * 3600, least: int = 15, in_trips: DataFrame | None = None) -> DataFrame:
-    """(session, n, people, cities, days, album_share): sessions of at least ``least`` photos with two people, or a city and three days with photos at most, at most 60 % in albums and 70 % in trips."""
+def _candidates(photos: DataFrame, identities: DataFrame, in_album: DataFrame, gap: int, in_trips: DataFrame | None) -> DataFrame:
+    """Sessions with what the gates of ``events`` ask for: signal, in_albums, in_trips."""
     s = sessions(photos, gap).join(in_album.select("photo_id", F.lit(1).alias("in_album")).distinct(), "photo_id", "left")
     s = s.join(in_trips.select("photo_id", F.lit(1).alias("in_trip")).distinct(), "photo_id", "left") if in_trips is not None else s.withColumn("in_trip", F.lit(None).cast("int"))
     people = s.join(identities, "photo_id").groupBy("session").agg(F.countDistinct("cluster_id").alias("people"))
     e = s.groupBy("session").agg(F.count("*").alias("n"), F.countDistinct("city").alias("cities"), F.countDistinct(F.to_date("taken")).alias("days"), F.count("in_album").alias("_a"), F.count("in_trip").alias("_t"), F.min("taken").alias("start"))
-    e = e.where(col("n") >= least).join(people, "session", "left").withColumn("people", F.coalesce("people", F.lit(0)))
-    e = e.withColumn("album_share", F.round(col("_a").cast("double") / col("n"), 6))
-    gate = ((col("people") >= 2) | ((col("cities") >= 1) & (col("days") <= 3))) & (col("_a") <= col("n") * 0.6) & (col("_t") <= col("n") * 0.7)
-    return e.where(gate).select("session", "start", "n", "people", "cities", "days", "album_share")
+    e = e.join(people, "session", "left").withColumn("people", F.coalesce("people", F.lit(0))).withColumn("album_share", F.round(col("_a").cast("double") / col("n"), 6))
+    signal = (col("people") >= 2) | ((col("cities") >= 1) & (col("days") <= 3))
+    return e.withColumns({"signal": signal, "in_albums": col("_a") > col("n") * 0.6, "in_trips": col("_t") > col("n") * 0.7})
+
+
+def events(photos: DataFrame, identities: DataFrame, in_album: DataFrame, gap: int = 4 * 3600, least: int = 15, in_trips: DataFrame | None = None) -> DataFrame:
+    """(session, n, people, cities, days, album_share): sessions of at least ``least`` photos with two people, or a city and three days with photos at most, at most 60 % in albums and 70 % in trips."""
+    e = _candidates(photos, identities, in_album, gap, in_trips).where(col("n") >= least)
+    return e.where(col("signal") & ~col("in_albums") & ~col("in_trips")).select("session", "start", "n", "people", "cities", "days", "album_share")
+
+
+def diagnostics(photos: DataFrame, identities: DataFrame, in_album: DataFrame, gap: int = 4 * 3600, least: int = 15, in_trips: DataFrame | None = None) -> DataFrame:
+    """One row: the sessions, how many each gate of ``events`` turns away, and how many pass all."""
+    e, big = _candidates(photos, identities, in_album, gap, in_trips), col("n") >= least
+    kept = big & col("signal") & ~col("in_albums") & ~col("in_trips")
+    return e.agg(
+        F.count("*").alias("sessions"), F.count_if(~big).alias("small"), F.count_if(big & col("in_albums")).alias("in_albums"), F.count_if(big & col("in_trips")).alias("in_trips"),
+        F.count_if(big & ~col("signal")).alias("no_signal"), F.count_if(kept).alias("kept"),
+    )
 
 
 def at_home(photos: DataFrame, home: DataFrame) -> DataFrame:

@@ -179,7 +179,7 @@ def _used(L: Library) -> DataFrame:
 
 
 q("TS07", "SELECT city, country, min(taken) AS first_taken, max(taken) AS last_taken, count(*) AS n FROM (SELECT *, sum(s) OVER (PARTITION BY city, country ORDER BY taken, photo_id ROWS UNBOUNDED PRECEDING) AS v FROM (SELECT *, CASE WHEN epoch(taken - lag(taken) OVER (PARTITION BY city, country ORDER BY taken, photo_id)) <= 259200 THEN 0 ELSE 1 END AS s FROM live WHERE taken IS NOT NULL AND city IS NOT NULL)) GROUP BY city, country, v", lambda L: S.gap_islands(L.live().where("city is not null"), ["city", "country"], 3 * 86400, name="v").groupBy("city", "country", "v").agg(F.min("taken").alias("first_taken"), F.max("taken").alias("last_taken"), F.count("*").alias("n")).drop("v"))
-q("TS08", "SELECT count(*) AS sessions, count(*) FILTER (WHERE n >= 3) AS large, count(*) FILTER (WHERE n >= 3 AND a > n * 0.6) AS in_albums FROM ev", lambda L: S.sessions(L.live(), 12 * 3600).join(L.album_photos().select("photo_id", F.lit(1).alias("a")).distinct(), "photo_id", "left").groupBy("session").agg(F.count("*").alias("n"), F.count("a").alias("a")).agg(F.count("*").alias("sessions"), F.count_if(col("n") >= 3).alias("large"), F.count_if((col("n") >= 3) & (col("a") > col("n") * 0.6)).alias("in_albums")), _EV)
+q("TS08", "SELECT count(*) AS sessions, count(*) FILTER (WHERE n < 3) AS small, count(*) FILTER (WHERE n >= 3 AND a > n * 0.6) AS in_albums, count(*) FILTER (WHERE n >= 3 AND t > n * 0.7) AS in_trips, count(*) FILTER (WHERE n >= 3 AND NOT (people >= 2 OR (cities >= 1 AND days <= 3))) AS no_signal, count(*) FILTER (WHERE n >= 3 AND (people >= 2 OR (cities >= 1 AND days <= 3)) AND a <= n * 0.6 AND t <= n * 0.7) AS kept FROM (SELECT ev.*, coalesce(people, 0) AS people FROM ev LEFT JOIN pe USING (session))", lambda L: S.diagnostics(L.live(), L.identities(), L.album_photos(), 12 * 3600, 3, L.live().where("photo_id % 4 <> 0 and year(taken) = 2021")), _EV)
 _FP = "fp AS (SELECT session, sha256(array_to_string(list_sort(list(photo_id))::VARCHAR[], ',')) AS fingerprint FROM ses GROUP BY session HAVING count(*) >= 3)"
 q("TS11", "SELECT session, fingerprint FROM fp WHERE fingerprint NOT IN (SELECT fingerprint FROM suggestions WHERE fingerprint IS NOT NULL)", lambda L: G.member_set_key(_large_sessions(L), ["session"], "photo_id").withColumnRenamed("set_key", "fingerprint").join(L.suggestions().select("fingerprint"), "fingerprint", "left_anti").select("session", "fingerprint"), f"{_SES}, {_FP}")
 

@@ -122,9 +122,10 @@ def _suggested(L: Library) -> DataFrame:
     return top_per_group(r, ["face_id"], [col("score").desc(), col("cluster_id")], 3).select("face_id", "cluster_id", "score")
 
 
-_II = """pt AS (SELECT photo_id, regexp_replace(file_path, '/[^/]*$', '') AS folder, CAST(epoch(taken) AS BIGINT) AS t, (photo_id % 100)::DOUBLE / 100 AS brightness FROM live WHERE taken IS NOT NULL),
+_II = """pt AS (SELECT photo_id, regexp_replace(file_path, '/[^/]*$', '') AS folder, CAST(floor(epoch(taken)) AS BIGINT) // 10 AS t, (photo_id % 100)::DOUBLE / 100 AS brightness FROM live WHERE taken IS NOT NULL),
 wf AS (SELECT DISTINCT pt.*, f.cluster_id FROM pt JOIN faces f ON f.photo_id = pt.photo_id AND f.cluster_id IS NOT NULL), bare AS (SELECT * FROM pt WHERE photo_id NOT IN (SELECT photo_id FROM faces WHERE photo_id IS NOT NULL))"""
-q("FC12", "SELECT * FROM (SELECT b.photo_id, w.cluster_id, round(max(0.5 + 0.4 * (1 - CAST(abs(b.t - w.t) AS DOUBLE) / 600) + 0.1 * (1 - least(abs(b.brightness - w.brightness) / 0.3, 1.0))), 6) AS score FROM bare b JOIN wf w ON w.folder = b.folder AND abs(b.t - w.t) <= 600 GROUP BY ALL) WHERE score >= 0.5", lambda L: N.inferred_identities(L.live().where("taken is not null").select("photo_id", X.folder("file_path").alias("folder"), X.seconds("taken").alias("t"), ((col("photo_id") % 100).cast("double") / 100).alias("brightness")), L.faces(), 600), _II)
+#: The library's photos are sparse, so these queries see them on a clock that runs ten times slower.
+q("FC12", "SELECT * FROM (SELECT b.photo_id, w.cluster_id, round(max(0.5 + 0.4 * (1 - CAST(abs(b.t - w.t) AS DOUBLE) / 60) + 0.1 * (1 - least(abs(b.brightness - w.brightness) / 0.3, 1.0))), 6) AS score FROM bare b JOIN wf w ON w.folder = b.folder AND abs(b.t - w.t) <= 60 GROUP BY ALL) WHERE score >= 0.5", lambda L: N.inferred_identities(L.live().where("taken is not null").select("photo_id", X.folder("file_path").alias("folder"), F.floor(X.seconds("taken") / 10).alias("t"), ((col("photo_id") % 100).cast("double") / 100).alias("brightness")), L.faces()), _II)
 q("FC13", "SELECT cluster_id, count(*) AS faces, count(DISTINCT photo_id) AS photos FROM (SELECT photo_id, CASE WHEN face_id % 100 = 1 THEN 1 WHEN cluster_id % 3 = 0 THEN 3 ELSE cluster_id END AS cluster_id FROM faces) WHERE cluster_id IS NOT NULL GROUP BY cluster_id", lambda L: _edited(L))
 
 
@@ -136,6 +137,41 @@ def _edited(L: Library) -> DataFrame:
     return N.recount(f)
 
 
+_ED = """tp AS (SELECT cluster_id AS c, row_number() OVER (ORDER BY cluster_id) AS r FROM (SELECT DISTINCT cluster_id FROM faces WHERE cluster_id IS NOT NULL)),
+ys AS (SELECT face_id FROM faces WHERE face_id % 89 = 4 AND cluster_id IS NOT NULL ORDER BY face_id LIMIT 20), ns AS (SELECT face_id FROM faces WHERE face_id % 97 = 2 AND cluster_id IS NOT NULL ORDER BY face_id LIMIT 20), rs AS (SELECT face_id FROM faces WHERE face_id % 83 = 5 AND cluster_id IS NOT NULL ORDER BY face_id LIMIT 20),
+e1 AS (SELECT face_id, cluster_id, CASE WHEN face_id IN (FROM ys) THEN 1 ELSE user_confirmed END AS u FROM faces),
+e2 AS (SELECT face_id, CASE WHEN face_id IN (FROM ns) THEN NULL ELSE cluster_id END AS c, CASE WHEN face_id IN (FROM ns) THEN -1 ELSE u END AS u FROM e1),
+e3 AS (SELECT face_id, CASE WHEN c IN (SELECT c FROM tp WHERE r IN (2, 3)) THEN (SELECT c FROM tp WHERE r = 1) ELSE c END AS c, u FROM e2),
+e4 AS (SELECT face_id, CASE WHEN face_id IN (FROM rs) THEN (SELECT c FROM tp WHERE r = 4) ELSE c END AS c, CASE WHEN face_id IN (FROM rs) THEN 1 ELSE u END AS u FROM e3)"""
+q("FC13_all", "SELECT face_id, CASE WHEN c = (SELECT c FROM tp WHERE r = 5) THEN NULL ELSE c END AS cluster_id, CASE WHEN c = (SELECT c FROM tp WHERE r = 5) THEN 0 ELSE u END AS user_confirmed FROM e4", lambda L: _reviewed(L).select("face_id", "cluster_id", "user_confirmed"), _ED)
+
+
+def _some(L: Library, every: int, rest: int) -> list[int]:
+    """A handful of face ids, as a user picks them."""
+    return [r.face_id for r in L.faces().where((col("face_id") % every == rest) & col("cluster_id").isNotNull()).orderBy("face_id").limit(20).collect()]
+
+
+def _reviewed(L: Library) -> DataFrame:
+    """Faces after a user confirmed some, refused and reassigned others, and merged and dissolved clusters."""
+    top = [r.cluster_id for r in L.faces().where("cluster_id is not null").select("cluster_id").distinct().orderBy("cluster_id").limit(5).collect()]
+    f = N.confirmed(L.faces(), _some(L, 89, 4))
+    f, _ = N.rejected(f, _some(L, 97, 2))
+    f = N.merged(f, top[0], top[1:3])
+    f = N.reassigned(f, _some(L, 83, 5), top[3])
+    return N.dissolved(f, top[4])
+
+
+q("FC14_nms", None, lambda L: N.suppressed(_boxes(L).select("photo_id", col("face_id").alias("box_id"), "x1", "y1", "x2", "y2", ((col("face_id") % 50).cast("double") / 50).alias("score")).where("photo_id is not null")).select("photo_id", "box_id"))
+q("FC14_yaw", "SELECT face_id, round(abs(degrees(atan((nx - (lx + rx) / 2) / iod))), 6) AS yaw FROM (SELECT *, sqrt((rx - lx) * (rx - lx) + (ry - ly) * (ry - ly)) AS iod FROM (SELECT face_id, 30.0::DOUBLE AS lx, 40.0::DOUBLE AS ly, 70.0::DOUBLE AS rx, (40 + face_id % 7)::DOUBLE AS ry, (35 + face_id % 31)::DOUBLE AS nx FROM faces)) WHERE iod >= 1", lambda L: _turned(L))
+
+
+def _turned(L: Library) -> DataFrame:
+    """The yaw of faces whose landmarks are derived from their id."""
+    p = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    i = col("face_id")
+    return L.faces().select("face_id", F.round(N.yaw(p(F.lit(30), F.lit(40)), p(F.lit(70), 40 + i % 7), p(35 + i % 31, F.lit(60))), 6).alias("yaw"))
+
+
 _BX = "bx AS (SELECT face_id, photo_id, (face_id % 90)::DOUBLE / 100 AS x1, (face_id % 80)::DOUBLE / 100 AS y1, (face_id % 90)::DOUBLE / 100 + 0.2 AS x2, (face_id % 80)::DOUBLE / 100 + 0.2 AS y2 FROM faces)"
 
 

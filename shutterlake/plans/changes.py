@@ -62,7 +62,16 @@ _JS = "js AS (SELECT content_hash, file_path, try_cast(metadata_json AS JSON) AS
 _OKJ = "CAST(j ->> 'latitude' AS DOUBLE) BETWEEN -90 AND 90 AND CAST(j ->> 'longitude' AS DOUBLE) BETWEEN -180 AND 180 AND NOT (abs(CAST(j ->> 'latitude' AS DOUBLE)) < 0.001 AND abs(CAST(j ->> 'longitude' AS DOUBLE)) < 0.001)"
 q("SC17", f"SELECT content_hash, coalesce(j ->> 'title', regexp_extract(file_path, '[^/]+$', 0)) AS title, CASE WHEN {_OKJ} THEN CAST(j ->> 'latitude' AS DOUBLE) END AS lat, CASE WHEN {_OKJ} THEN CAST(j ->> 'longitude' AS DOUBLE) END AS lon, coalesce(CAST(j ->> 'favorited' AS BOOLEAN), false) AS favorited FROM js WHERE j IS NOT NULL", lambda L: N.sidecars(L.items().where(F.try_parse_json("metadata_json").isNotNull())).drop("taken_text"), _JS)
 q("SC18", "SELECT photo_id, CAST(nullif(regexp_extract(file_path, '(?:^|/)Photos from (\\d{4})(?:/|$)', 1), '') AS INTEGER) AS year, lower(regexp_replace(file_path, '\\.json$', '')) AS key FROM ph", lambda L: L.photos().select("photo_id", N.year_folder("file_path").alias("year"), N.folder_key("file_path").alias("key")))
-q("SC19", "SELECT count(DISTINCT face_id) AS n FROM cluster_input WHERE len(embedding) = 64", lambda L: N.known_vectors(L.table("cluster_input").select(col("face_id").alias("id"), "embedding").where(F.size("embedding") == 64), L.table("cluster_input").select(col("face_id").alias("id"), "embedding").where((F.size("embedding") == 64) & (col("face_id") % 2 == 0))).agg(F.count("*").alias("n")))
+q("SC19", "SELECT face_id AS id, round(CAST(e[1] AS DOUBLE) * CASE WHEN face_id % 2 = 0 THEN 2 ELSE 1 END, 6) AS first FROM (SELECT face_id, any_value(embedding) AS e FROM cluster_input GROUP BY face_id) WHERE len(e) = 64", lambda L: _stored_vectors(L))
+
+
+def _stored_vectors(L: Library) -> DataFrame:
+    """A vector store to which the vectors of every other face were appended again, doubled."""
+    old = L.vectors().where(F.size("embedding") == 64).select(col("face_id").alias("id"), "embedding")
+    new = old.where("id % 2 = 0").withColumn("embedding", F.transform("embedding", lambda x: (x * 2).cast("float")))
+    return N.known_vectors(old, new).select("id", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))
+
+
 
 q("SK01", "SELECT file_path FROM ph UNION SELECT file_path FROM items WHERE file_path IS NOT NULL", lambda L: N.inserted(L.photos().select("file_path"), L.items().where("file_path is not null").select("file_path")))
 _UP = "nw AS (SELECT file_path, 7::BIGINT AS file_size, 'Newtown' AS city FROM ph WHERE photo_id % 4 = 0 UNION ALL SELECT 'new/' || file_path, 7, 'Newtown' FROM ph WHERE photo_id % 9 = 0)"
@@ -164,15 +173,52 @@ def _be4(c: F.Column) -> F.Column:
     return F.unhex(F.lpad(F.hex(c), 8, "0"))
 
 
+def _block(make: str, model: str, date: str | None, iso: int | None, lat: tuple | None, lon: tuple | None) -> bytes:
+    """An EXIF block, the highest byte first: maker and model, a directory of date and speed, and one of the position in degrees, minutes and hundredths of seconds."""
+    import struct
+
+    def directory(entries: list[tuple[int, int, int, bytes]], at: int) -> bytes:
+        heads, data, free = b"", b"", at + 2 + 12 * len(entries) + 4
+        for tag, kind, count, v in entries:
+            heads += struct.pack(">HHI", tag, kind, count) + (v.ljust(4, b"\0") if len(v) <= 4 else struct.pack(">I", free + len(data)))
+            data += v if len(v) > 4 else b""
+        return struct.pack(">H", len(entries)) + heads + struct.pack(">I", 0) + data
+
+    text = lambda tag, v: (tag, 2, len(v) + 1, v + b"\0")
+    own = [text(0x010F, make.encode("latin-1")), text(0x0110, model.encode("latin-1"))]
+    shot = ([text(0x9003, date.encode())] if date else []) + ([(0x8827, 3, 1, struct.pack(">H", iso))] if iso is not None else [])
+    place = []
+    for k, v in ((1, lat), (3, lon)):
+        if v:
+            place += [(k, 2, 2, v[0].encode() + b"\0"), (k + 1, 5, 3, struct.pack(">6I", v[1], 1, v[2], 1, v[3], 100))]
+    first = 8 + len(directory([*own, (0x8769, 4, 1, b"0000"), (0x8825, 4, 1, b"0000")], 8))
+    second = first + len(directory(shot, first))
+    top = directory([*own, (0x8769, 4, 1, struct.pack(">I", first)), (0x8825, 4, 1, struct.pack(">I", second))], 8)
+    return b"\xff\xd8Exif\0\0MM\0*\0\0\0\x08" + top + directory(shot, first) + directory(place, second)
+
+
 def _exif(L: Library) -> DataFrame:
-    """EXIF blocks with the maker of each photo, read back."""
-    p = L.table("photos").select(col("id").alias("photo_id"), F.encode(F.concat("camera_make", F.lit("\x00\x00\x00\x00\x00")), "utf-8").alias("m")).where("m is not null").dropDuplicates(["photo_id"])
-    n = F.length("m").cast("long")
-    head = F.concat(F.encode(F.lit("Exif"), "utf-8"), F.unhex(F.lit("00004D4D002A000000080001010F0002")), _be4(n), F.unhex(F.lit("0000001A00000000")), col("m"))
-    return N.exif(p.select(col("photo_id").cast("string").alias("path"), head.alias("content"))).select(col("path").cast("long").alias("photo_id"), F.coalesce("make", F.lit("")).alias("make"))
+    """Pictures' EXIF blocks of each photo, read back."""
+    import pyarrow as pa
+
+    plain = lambda c: F.coalesce(F.regexp_replace(c, r"[^ -~]", "?"), F.lit(""))
+    p = L.photos().select(col("photo_id"), plain("make").alias("make"), plain("model").alias("model"), F.date_format("taken", "yyyy:MM:dd HH:mm:ss").alias("date"), "iso", "lat", "lon")
+
+    def pack(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            out = []
+            for i, make, model, date, iso, lat, lon in zip(*(c.to_pylist() for c in b.columns)):
+                at = lambda v, names, i=i: None if v is None else (names[v < 0], int(abs(v)), i % 60, i % 3000)
+                out.append(_block(make, model, date, iso, at(lat, "NS"), at(lon, "EW")))
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array(out, pa.binary())], names=["path", "content"])
+
+    t = N.exif(p.mapInArrow(pack, "path string, content binary"))
+    return t.select(col("path").cast("long").alias("photo_id"), F.coalesce("make", F.lit("")).alias("make"), F.coalesce("model", F.lit("")).alias("model"), N.exif_date("date").alias("taken"), "iso", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
-q("SC08", "SELECT id AS photo_id, any_value(trim(string_split(camera_make, chr(0))[1])) AS make FROM photos WHERE camera_make IS NOT NULL AND regexp_full_match(camera_make, '[ -~\\x00]*') GROUP BY id", lambda L: _exif(L).join(L.table("photos").where(col("camera_make").rlike(r"^[ -~\x00]*$")).select(col("id").alias("photo_id")), "photo_id", "left_semi"))
+_DMS = "round(sign({c}) * (floor(abs({c})) + (photo_id % 60) / 60.0::DOUBLE + (photo_id % 3000) / 100.0::DOUBLE / 3600), 6)"
+_SGN = lambda c: f"CASE WHEN {c} < 0 THEN -1 ELSE 1 END"
+q("SC08", f"SELECT photo_id, trim(coalesce(regexp_replace(make, '[^ -~]', '?', 'g'), '')) AS make, trim(coalesce(regexp_replace(model, '[^ -~]', '?', 'g'), '')) AS model, date_trunc('second', taken) AS taken, iso, {_DMS.replace('sign({c})', _SGN('lat')).format(c='lat')} AS lat, {_DMS.replace('sign({c})', _SGN('lon')).format(c='lon')} AS lon FROM ph", _exif)
 
 
 def _videos(L: Library) -> DataFrame:

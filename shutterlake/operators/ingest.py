@@ -159,12 +159,6 @@ def tsv_cities(spark: SparkSession, cities: str, countries: str, people: int = 0
     return c.join(n, "country_code", "left").select("*", F.coalesce("_name", "country_code").alias("country_name")).drop("_name")
 
 
-def camera_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """(model_key, name) of a CSV with a header: the device's code in lower case and its name."""
-    d = spark.read.csv(path, header=True, schema="code string, name string")
-    return d.where("code is not null and name is not null").groupBy(F.lower(F.trim("code")).alias("model_key")).agg(F.min(F.trim("name")).alias("name"))
-
-
 SIDECAR = "title string, description string, taken_at_unix string, latitude double, longitude double, favorited boolean"
 
 
@@ -202,6 +196,22 @@ def zip_inventory(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "archive string, name string, size long, crc long, is_sidecar boolean")
 
 
+def folder_of(name: str) -> Column:
+    """The album folder of an entry: the one that holds it, unless it is a year's folder or the export's own."""
+    parent = F.regexp_extract(name, r"([^/]+)/[^/]+$", 1)
+    return F.when((parent != "") & ~parent.rlike(r"^Photos from \d{4}$") & ~parent.isin("Takeout", "Google Photos"), parent)
+
+
+def import_estimate(inventory: DataFrame) -> DataFrame:
+    """One row for entries of archives: media, sidecars, bytes of media, albums, and media left when entries of one size and checksum count once (before anything is unpacked)."""
+    m = ~col("is_sidecar")
+    one = inventory.where(m).groupBy("size", "crc").agg(F.count("*").alias("_n"))
+    repeats = one.agg(F.coalesce(F.sum(col("_n") - 1), F.lit(0)).alias("repeats"))
+    album = inventory.where(m).select(folder_of("name").alias("_a")).agg(F.countDistinct("_a").alias("albums"))
+    rest = inventory.agg(F.count_if(m).alias("media"), F.count_if(~m).alias("sidecars"), F.coalesce(F.sum(F.when(m, col("size"))), F.lit(0)).alias("bytes"))
+    return rest.crossJoin(repeats).crossJoin(album)  # one row each
+
+
 _EPOCH_1904 = datetime(1904, 1, 1)  # noqa: DTZ001
 
 

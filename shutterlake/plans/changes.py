@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shutterlake.functions import exprs as X
+from shutterlake.functions.cameras import device_names
 from shutterlake.operators import grouping as G
 from shutterlake.operators import ingest as N
 from shutterlake.operators import mutate as M
@@ -57,7 +58,17 @@ _NAMED = "dated AS (SELECT photo_id, taken, mtime, photo_id % 7 AS k, CASE WHEN
 q("SC09", "SELECT photo_id, CASE WHEN k <= 1 THEN taken WHEN k = 2 THEN named WHEN k = 4 AND mtime IS NULL THEN TIMESTAMP '1931-01-01' ELSE make_timestamp(mtime * 1000000) END AS taken, CASE WHEN k = 0 THEN 'exif' WHEN k = 1 THEN 'exif_digitized' WHEN k = 2 THEN 'filename' WHEN k = 3 AND mtime IS NOT NULL OR k = 4 AND mtime IS NULL THEN 'file_meta' WHEN mtime IS NOT NULL THEN 'mtime' END AS source FROM dated", lambda L: _dates(L), _NAMED)
 q("SC10", "SELECT photo_id, named AS taken FROM dated", lambda L: _named_by_date(L).select("photo_id", N.name_date("name", 2025).alias("taken")), _NAMED)
 q("SC11", "SELECT id AS photo_id, any_value(try_cast(substr(t, 1, 4) || '-' || substr(t, 6, 2) || '-' || substr(t, 9, 2) || ' ' || substr(t, 12) AS TIMESTAMP)) AS taken FROM (SELECT id, regexp_replace(trim(replace(date_taken, chr(0), '')), '(\\.\\d+)?\\s*(Z|[+-]\\d{2}:?\\d{2})?$', '') AS t FROM photos WHERE regexp_matches(trim(date_taken), '^\\d{4}[:]\\d{2}[:]\\d{2} \\d{2}:\\d{2}:\\d{2}')) GROUP BY id", lambda L: L.table("photos").where(F.trim("date_taken").rlike(r"^\d{4}[:]\d{2}[:]\d{2} \d{2}:\d{2}:\d{2}")).select(col("id").alias("photo_id"), N.exif_date("date_taken").alias("taken")).dropDuplicates(["photo_id"]))
-q("SC15", "SELECT lower(trim(model)) AS model_key, min(trim(make || ' ' || model)) AS name FROM camera_catalog WHERE model IS NOT NULL AND make IS NOT NULL GROUP BY 1", lambda L: L.table("camera_catalog").where("model is not null and make is not null").groupBy(F.lower(F.trim("model")).alias("model_key")).agg(F.min(F.trim(F.concat_ws(" ", "make", "model"))).alias("name")))
+q("SC15", "SELECT code, max(CASE WHEN starts_with(lower(model), lower(make)) THEN model ELSE make || ' ' || model END) AS name FROM (SELECT upper(trim(model)) AS code, trim(make) AS make, trim(model) AS model FROM camera_catalog WHERE trim(model) <> '' AND make IS NOT NULL) GROUP BY code", lambda L: _devices(L))
+
+
+def _devices(L: Library) -> DataFrame:
+    """The catalog written as a list of devices, and read back."""
+    at = fresh(L.spark, "devices")
+    c = L.table("camera_catalog").where("make is not null")
+    c.select(col("make").alias("retail_branding"), col("model").alias("marketing_name"), F.lit("").alias("device"), "model").write.option("header", True).csv(at)
+    return device_names(L.spark.read.csv(at, header=True, schema="retail_branding string, marketing_name string, device string, model string"))
+
+
 _JS = "js AS (SELECT content_hash, file_path, try_cast(metadata_json AS JSON) AS j FROM items)"
 _OKJ = "CAST(j ->> 'latitude' AS DOUBLE) BETWEEN -90 AND 90 AND CAST(j ->> 'longitude' AS DOUBLE) BETWEEN -180 AND 180 AND NOT (abs(CAST(j ->> 'latitude' AS DOUBLE)) < 0.001 AND abs(CAST(j ->> 'longitude' AS DOUBLE)) < 0.001)"
 q("SC17", f"SELECT content_hash, coalesce(j ->> 'title', regexp_extract(file_path, '[^/]+$', 0)) AS title, CASE WHEN {_OKJ} THEN CAST(j ->> 'latitude' AS DOUBLE) END AS lat, CASE WHEN {_OKJ} THEN CAST(j ->> 'longitude' AS DOUBLE) END AS lon, coalesce(CAST(j ->> 'favorited' AS BOOLEAN), false) AS favorited FROM js WHERE j IS NOT NULL", lambda L: N.sidecars(L.items().where(F.try_parse_json("metadata_json").isNotNull())).drop("taken_text"), _JS)
@@ -222,9 +233,16 @@ q("SC08", f"SELECT photo_id, trim(coalesce(regexp_replace(make, '[^ -~]', '?', '
 
 
 def _videos(L: Library) -> DataFrame:
-    """Movie headers with each file's time, read back."""
+    """Movies with their time in a header at the start or behind 200 KB of pictures, in a header of 64 bits, or written out; read back."""
     p = L.photos().where("mtime > 0 and mtime < 2000000000")
-    head = F.concat(F.encode(F.lit("ftypmoov...lmvhd"), "utf-8"), _be4(F.lit(0).cast("long")), _be4(col("mtime") + 2_082_844_800), _be4(F.lit(0).cast("long")))
+    b = lambda t: F.encode(F.lit(t), "utf-8")
+    since = col("mtime") + 2_082_844_800
+    short = F.concat(b("ftypmoov...lmvhd"), _be4(F.lit(0).cast("long")), _be4(since), _be4(F.lit(0).cast("long")))
+    long = F.concat(b("ftypmoov...lmvhd"), F.unhex(F.lit("01000000")), F.unhex(F.lpad(F.hex(since), 16, "0")), F.unhex(F.lit("0000000000000000")))
+    far = F.concat(b("ftyp"), F.encode(F.repeat(F.lit("x"), 200_000), "utf-8"), short)
+    text = F.concat(b("ftyp com.apple.quicktime.creationdate "), F.encode(F.date_format(F.timestamp_seconds("mtime"), "yyyy-MM-dd'T'HH:mm:ss"), "utf-8"), b("+0000"), short)
+    k = col("photo_id") % 20
+    head = F.when(k == 0, far).when(k % 3 == 1, long).when(k % 3 == 2, text).otherwise(short)
     return N.video_dates(p.select(col("photo_id").cast("string").alias("path"), head.alias("content"))).select(col("path").cast("long").alias("photo_id"), "taken")
 
 
@@ -246,7 +264,7 @@ q("SC14", "SELECT id, ascii_name, coalesce(country_name, country_code) AS countr
 
 
 def _zips(L: Library) -> DataFrame:
-    """An archive per document, and what its directory says."""
+    """An archive per document, with the text as a medium in its album's folder and a sidecar, and what its directory says."""
     import io
     import zipfile
 
@@ -255,18 +273,22 @@ def _zips(L: Library) -> DataFrame:
     def pack(batches):  # noqa: ANN001, ANN202
         for b in batches:
             out = []
-            for t in b.column(1).to_pylist():
+            for i, t, album in zip(*(c.to_pylist() for c in b.columns)):
                 f = io.BytesIO()
+                folder = f"Takeout/Google Photos/{album or 'Photos from 2019'}"
                 with zipfile.ZipFile(f, "w") as z:
-                    z.writestr("Takeout/note.json", t)
+                    z.writestr(f"{folder}/{i}.jpg", t)
+                    z.writestr(f"{folder}/{i}.jpg.json", "{}")
                 out.append(f.getvalue())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["path", "content"])
 
-    d = L.table("documents").where("text is not null").select(col("doc_id").cast("string").alias("path"), "text")
-    return N.zip_inventory(d.mapInArrow(pack, "path string, content binary")).select(col("archive").cast("long").alias("doc_id"), "size", "is_sidecar")
+    d = L.table("documents").where("text is not null").select(col("doc_id").cast("string").alias("path"), "text", "album_name").dropDuplicates(["path"])
+    return N.zip_inventory(d.mapInArrow(pack, "path string, content binary"))
 
 
-q("SC16", "SELECT doc_id, octet_length(encode(text)) AS size, true AS is_sidecar FROM documents WHERE text IS NOT NULL", _zips)
+_DOC = "doc AS (SELECT doc_id, any_value(text) AS text, any_value(album_name) AS album FROM documents WHERE text IS NOT NULL GROUP BY doc_id)"
+q("SC16", "SELECT doc_id, octet_length(encode(text)) AS size, false AS is_sidecar, album FROM doc UNION ALL SELECT doc_id, 2, true, album FROM doc", lambda L: _zips(L).select(col("archive").cast("long").alias("doc_id"), "size", "is_sidecar", N.folder_of("name").alias("album")), _DOC)
+q("SC16_estimate", "SELECT count(*) AS media, count(*) AS sidecars, sum(octet_length(encode(text)))::BIGINT AS bytes, count(*) - count(DISTINCT text) AS repeats, count(DISTINCT album) AS albums FROM doc", lambda L: N.import_estimate(_zips(L)), _DOC)
 
 
 def _published(L: Library) -> DataFrame:

@@ -28,6 +28,7 @@ TOOL_WORDS = frozenset("find show search get give list all my photo photos pictu
 MAKE_WORDS = frozenset("create make build generate save collect album albums collection".split())
 RESIDUE_WORDS = frozenset("and or the a an me my only just in at to of".split())
 LOCATION_WORDS = "city country beach mountain park airport station hotel restaurant museum temple shrine".split()
+KNOWN_PLACES = ["japan", "tokyo", "usa", "new york", "london", "paris", "france", "germany", "berlin", "italy", "rome", "spain", "china", "beijing", "australia", "sydney", "canada", "toronto", "india", "hyderabad", "delhi"]
 MAX_RESULTS, MAX_PLACES = 20_000, 3
 
 
@@ -179,7 +180,7 @@ def compile_search(query: str, names: Names, today: date) -> Plan:
 
 
 def compile_simple(query: str, today: date) -> Plan:
-    """The older grammar: 'in <place>', a date at the end, words of places, else a person or text."""
+    """The older grammar: 'in <place>', a date at the end, words of places and well-known places, else a person or text."""
     text, span = query.strip(), None
     words = text.split()
     for n in (2, 1):
@@ -189,7 +190,7 @@ def compile_simple(query: str, today: date) -> Plan:
     text = " ".join(words)
     if m := re.search(r"(?i)\bin\s+(.+)$", text):
         return Plan(span=span, text=text[: m.start()].strip(), cities=((m[1].strip(), ""),))
-    if any(w in text.lower() for w in LOCATION_WORDS):
+    if any(w in text.lower() for w in (*LOCATION_WORDS, *KNOWN_PLACES)):
         return Plan(span=span, cities=((text, ""),))
     return Plan(span=span, text=text)
 

@@ -146,10 +146,11 @@ def trip_photos(photos: DataFrame, identities: DataFrame, home: DataFrame, in_al
     located = at_home(photos.where("city is not null and taken is not null"), home).select("photo_id", "taken", "is_home")
     runs = gap_islands(located, [], far * 86400, closes="is_home", name="stretch").where(~col("is_home"))
     who = identities.groupBy("photo_id").agg(F.collect_set("cluster_id").alias("who"))
-    runs = runs.join(who, "photo_id", "left").select("stretch", "photo_id", X.seconds("taken").alias("t"), "who")
+    # One row per second: what a stretch's task holds is bounded by its time, not by its photos.
+    runs = runs.join(who, "photo_id", "left").groupBy("stretch", X.seconds("taken").alias("t")).agg(F.array_distinct(F.flatten(F.collect_list("who"))).alias("who"))
 
     def fold(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        t = t.sort_by([("t", "ascending"), ("photo_id", "ascending")])
+        t = t.sort_by("t")
         out, seen, last, begin = [], set(), None, None
         for x, w in zip(t.column("t").to_pylist(), t.column("who").to_pylist()):
             w = set(w or ())

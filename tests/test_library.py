@@ -278,3 +278,26 @@ def test_camera_names(spark) -> None:  # noqa: ANN001
         assert r.got == r.want
     csv = spark.createDataFrame([("Acme", "Acme One", "d", "a-1"), ("Acme", "Two", "d", "A-2"), ("Acme", "", "d", "A-3")], "retail_branding string, marketing_name string, device string, model string")
     assert sorted(map(tuple, cameras.device_names(csv).collect())) == [("A-1", "Acme One"), ("A-2", "Acme Two")]
+
+
+def test_the_older_grammar() -> None:
+    today = date(2025, 6, 15)
+    assert search.compile_simple("Dad in Tokyo", today) == search.Plan(text="Dad", cities=(("Tokyo", ""),))
+    assert search.compile_simple("new york 2019", today).cities == (("new york", ""),)
+    assert search.compile_simple("old museum", today).cities == (("old museum", ""),)
+    assert search.compile_simple("Dad", today) == search.Plan(text="Dad")
+    assert search.compile_simple("march 2019", today).span is not None
+
+
+def test_names_come_back_by_the_words_of_the_query(spark) -> None:  # noqa: ANN001
+    people = spark.createDataFrame([(1, "Ann Lee"), (2, "Bob"), (3, None)], "cluster_id long, name string")
+    p = spark.createDataFrame([("Bern", "Land A"), ("Basel", "Land B"), ("Bern", "Land B"), (None, "Land C")], "city string, country string")
+    albums = spark.createDataFrame([("Summer 2019",), ("Winter",)], "album string")
+    n = search.names_of(people, p, albums, "bob and ann, bern land a, album summ")
+    assert n.people == ((2, "Bob"),)
+    assert n.cities == (("Bern", "Land A"), ("Bern", "Land B"))
+    assert n.countries == ("Land A", "Land B")
+    assert n.albums == ("Summer 2019",)
+    assert search.names_of(people, p, albums, "") == search.Names()
+    want = search.fuzzy("ber", ["Bern", "Basel", "Bergen", "abber"])
+    assert [r.name for r in search.near_names(spark.createDataFrame([("Bern",), ("Basel",), ("Bergen",), ("abber",)], "name string"), "name", "ber").collect()] == want

@@ -173,7 +173,7 @@ q("WN01", f"SELECT * FROM (SELECT photo_id, {_Y}, row_number() OVER (PARTITION B
 q("WN02", f"SELECT {_Y}, count(*) AS total FROM live WHERE month(taken) = 6 GROUP BY 1 HAVING count(*) >= 5", lambda L: L.live().where(F.month("taken") == 6).groupBy(F.year("taken").alias("year")).agg(F.count("*").alias("total")).where("total >= 5"))
 q("WN03", f"SELECT * FROM (SELECT i.cluster_id, {_Y}, l.photo_id, row_number() OVER (PARTITION BY i.cluster_id, year(taken) ORDER BY favorite DESC, taken DESC, l.photo_id DESC) AS rn FROM identities i JOIN live l ON l.photo_id = i.photo_id WHERE taken IS NOT NULL) WHERE rn <= 8", lambda L: T.top_per_group(L.identities().join(L.live().where("taken is not null"), "photo_id").select("cluster_id", F.year("taken").alias("year"), "photo_id", "favorite", "taken"), ["cluster_id", "year"], [col("favorite").desc(), col("taken").desc(), col("photo_id").desc()], 8).drop("favorite", "taken"))
 q("WN04", f"SELECT * FROM (SELECT city, {_Y}, photo_id, row_number() OVER (PARTITION BY city, year(taken) ORDER BY favorite DESC, taken DESC, photo_id DESC) AS rn FROM live WHERE taken IS NOT NULL AND city IS NOT NULL) WHERE rn <= 8", lambda L: T.top_per_group(L.live().where("taken is not null and city is not null").select("city", F.year("taken").alias("year"), "photo_id", "favorite", "taken"), ["city", "year"], [col("favorite").desc(), col("taken").desc(), col("photo_id").desc()], 8).drop("favorite", "taken"))
-q("WN05", None, lambda L: T.top_per_group(L.live().where("taken is not null").select(F.to_date("taken").alias("day"), "photo_id"), ["day"], [F.xxhash64("photo_id", F.lit(7)), col("photo_id")], 8))
+q("WN05", "SELECT day, photo_id, rn FROM (SELECT taken::DATE AS day, photo_id, row_number() OVER (PARTITION BY taken::DATE ORDER BY md5(photo_id || ':7'), photo_id) AS rn FROM live WHERE taken IS NOT NULL) WHERE rn <= 8", lambda L: T.top_per_group(L.live().where("taken is not null").select(F.to_date("taken").alias("day"), "photo_id"), ["day"], [F.md5(F.concat_ws(":", col("photo_id").cast("string"), F.lit("7")).cast("binary")), col("photo_id")], 8))
 q("WN06", "SELECT * FROM (SELECT cluster_id, face_id, row_number() OVER (PARTITION BY cluster_id ORDER BY confidence DESC, face_id) AS rn FROM faces WHERE cluster_id IS NOT NULL) WHERE rn <= 5", lambda L: T.top_per_group(L.faces().where("cluster_id is not null").select("cluster_id", "face_id", "confidence"), ["cluster_id"], [col("confidence").desc(), col("face_id")], 5).drop("confidence"))
 q("FC16", "SELECT cluster_id, face_id FROM (SELECT cluster_id, face_id, row_number() OVER (PARTITION BY cluster_id ORDER BY confidence DESC, face_id) AS rn FROM faces WHERE cluster_id IS NOT NULL AND user_confirmed >= 0) WHERE rn <= 3", lambda L: T.top_per_group(L.faces().where("cluster_id is not null and user_confirmed >= 0"), ["cluster_id"], [col("confidence").desc(), col("face_id")], 3).select("cluster_id", "face_id"))
 q("WN07", "SELECT day, n, CAST(sum(n) OVER w - n AS BIGINT) AS start_index, CAST(sum(n) OVER w AS BIGINT) AS end_index FROM (SELECT CAST(taken AS DATE) AS day, count(*) AS n FROM live GROUP BY 1) WINDOW w AS (ORDER BY day DESC NULLS LAST ROWS UNBOUNDED PRECEDING)", lambda L: T.day_ranges(L.live()))

@@ -6,7 +6,7 @@ next ones are allowed) run per connected component.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -309,6 +309,16 @@ def reranked(scores: DataFrame, together: DataFrame, near: DataFrame) -> DataFra
     return s.select("face_id", "cluster_id", F.round(col("score") + cooccurrence_bonus("n") + F.when(col("_t") == 1, 0.05).otherwise(0.0), 6).alias("score"))
 
 
+def seen_nearby(hits: DataFrame, held: DataFrame, times: DataFrame, width: int = 60) -> DataFrame:
+    """(face_id, cluster_id) of the hits (face_id, cluster_id, photo_id) whose cluster is held (photo_id, cluster_id) by another photo at most ``width`` seconds away; ``times``: photo_id, t.
+
+    Each side is joined by cluster and bucket of time, so only moments of the same person meet.
+    """
+    h = hits.join(times, "photo_id").withColumn("_k", F.floor(col("t") / width))
+    o = held.join(times, "photo_id").select("cluster_id", col("photo_id").alias("_p"), col("t").alias("_t"), F.explode(F.array(*[F.floor(col("t") / width) + k for k in (-1, 0, 1)])).alias("_k"))
+    return h.join(o, ["cluster_id", "_k"]).where((col("photo_id") != col("_p")) & (F.abs(col("t") - col("_t")) <= width)).select("face_id", "cluster_id").distinct()
+
+
 def inferred_identities(photos: DataFrame, faces: DataFrame, width: int = 60) -> DataFrame:
     """(photo_id, cluster_id, score): people likely on a photo without faces, from photos of its folder at most ``width`` seconds away; the best per person, at least 0.5.
 
@@ -403,14 +413,20 @@ def assigned(faces: DataFrame, gallery: DataFrame, min_sim: float) -> DataFrame:
 
 
 
-def assigned_apart(faces: DataFrame, gallery: DataFrame, min_sim: float, high: float = HIGH, gap: float = GAP) -> DataFrame:
-    """Faces with the cluster that retrieval assigns to those without one, never one that their photo already holds.
+def assigned_apart(faces: DataFrame, gallery: DataFrame, min_sim: float, high: float = HIGH, gap: float = GAP, barred: DataFrame | None = None, context: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Faces with the cluster that retrieval assigns to those without one, never one that their photo already holds or that is barred (a, b) from one it holds.
 
-    The faces of a photo come in order of their id, and each bars its cluster to the next ones.
+    The faces of a photo come in order of their id, and each bars its cluster to the next ones. ``context`` turns scores (face_id, cluster_id, score) into those that bands are taken of; it sees the
+    faces as they were before.
     """
     open_ = faces.where("cluster_id is null and user_confirmed >= 0")
     held = faces.where("cluster_id is not null").select("photo_id", "cluster_id").distinct()
-    r = retrieved(open_, gallery, min_sim, open_.select("face_id", "photo_id").join(held, "photo_id").select("face_id", "cluster_id"))
+    not_these = open_.select("face_id", "photo_id").join(held, "photo_id").select("face_id", "cluster_id")
+    if barred is not None:
+        bars = barred.select(F.inline(F.array(F.struct(col("a").alias("cluster_id"), col("b").alias("other")), F.struct(col("b").alias("cluster_id"), col("a").alias("other")))))
+        not_these = not_these.unionByName(not_these.join(bars, "cluster_id").select("face_id", col("other").alias("cluster_id"))).distinct()
+    r = retrieved(open_, gallery, min_sim, not_these)
+    r = r if context is None else context(r.drop("n"))
     r = r.join(open_.select("face_id", "photo_id"), "face_id").select("photo_id", "face_id", "cluster_id", "score")
 
     def run(t: pa.Table) -> pa.Table:
@@ -432,15 +448,15 @@ def assigned_apart(faces: DataFrame, gallery: DataFrame, min_sim: float, high: f
     return faces.join(b, "face_id", "left").withColumn("cluster_id", F.coalesce("cluster_id", "_c")).drop("_c")
 
 
-def rescued(faces: DataFrame, gallery: DataFrame) -> DataFrame:
+def rescued(faces: DataFrame, gallery: DataFrame, barred: DataFrame | None = None) -> DataFrame:
     """Faces that still have no cluster are given to one by laxer bands, and those left are clusters of their own."""
-    return with_singletons(assigned_apart(faces, gallery, 0.45, 0.60, 0.08))
+    return with_singletons(assigned_apart(faces, gallery, 0.45, 0.60, 0.08, barred))
 
 
-def pipeline(faces: DataFrame, limit: float = 0.30, most: int = 256) -> DataFrame:
-    """Faces after assign, cluster, refresh, unify, rescue and singletons. New clusters are numbered after the present ones, by their smallest face."""
+def pipeline(faces: DataFrame, limit: float = 0.30, most: int = 256, barred: DataFrame | None = None, context: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Faces after assign (with ``context``), cluster, refresh, unify, rescue and singletons; clusters barred (a, b) from each other never meet on a photo nor unite. New clusters are numbered after the present ones, by their smallest face."""
     unit = faces.select("face_id", "unit")
-    faces = written(assigned_apart(faces, exemplars(faces), 1 - limit), "assigned")
+    faces = written(assigned_apart(faces, exemplars(faces), 1 - limit, barred=barred, context=context), "assigned")
     rest = faces.where("cluster_id is null and user_confirmed >= 0")
     if rest.count() <= most:
         parts = split_clusters(rest.withColumn("cluster_id", F.lit(0).cast("long")), limit, most).where("part >= 0").select("face_id", "part")
@@ -456,6 +472,6 @@ def pipeline(faces: DataFrame, limit: float = 0.30, most: int = 256) -> DataFram
         return written(g.join(unit.withColumnRenamed("face_id", "exemplar"), "exemplar").select("cluster_id", "exemplar", "unit"), "gallery")
 
     held = faces.where("cluster_id is not null").select("cluster_id", "photo_id")
-    roots = unified(cluster_scores(gallery(faces)), held)
+    roots = unified(cluster_scores(gallery(faces)), held, barred)
     faces = written(faces.join(roots, "cluster_id", "left").withColumn("cluster_id", F.coalesce("survivor", "cluster_id")).drop("survivor"), "unified")
-    return rescued(faces, gallery(faces))
+    return rescued(faces, gallery(faces), barred)

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from shutterlake.functions import exprs as X
 from shutterlake.operators import identity as N
-from shutterlake.operators.segments import near_in_time
-from shutterlake.plans.groups import _NT
 from shutterlake.plans.timeline import _BUSY, _busy
 from shutterlake.session import written
 from shutterlake.sources.library import Library, sql
@@ -80,29 +78,31 @@ def _rescued(L: Library) -> DataFrame:
 
 def _pipeline(L: Library) -> DataFrame:
     """The pipeline over faces with a usable embedding; the others become singletons as well."""
-    done = N.pipeline(written(vectors(L), "vectors")).select("face_id", col("cluster_id").alias("_c"))
+    done = N.pipeline(written(vectors(L), "vectors"), barred=_apart(L), context=lambda r: _in_context(L, r)).select("face_id", col("cluster_id").alias("_c"))
     return N.with_singletons(L.faces().join(done, "face_id", "left").withColumn("cluster_id", F.coalesce("_c", "cluster_id"))).select("face_id", "cluster_id")
 
 
-_CTX = f"""{_M}, {_NT}, held AS (SELECT DISTINCT photo_id, cluster_id FROM faces WHERE cluster_id IS NOT NULL),
+_CTX = f"""{_M}, slow AS (SELECT photo_id, CAST(floor(epoch(taken)) AS BIGINT) // 10 AS t FROM live WHERE taken IS NOT NULL), held AS (SELECT DISTINCT photo_id, cluster_id FROM faces WHERE cluster_id IS NOT NULL),
 tgt AS (SELECT x.cluster_id AS c, y.cluster_id AS o, count(*) AS n FROM identities x JOIN identities y ON x.photo_id = y.photo_id AND x.cluster_id <> y.cluster_id GROUP BY ALL),
 tog AS (SELECT r.face_id, r.cluster_id, sum(b.n) AS n2 FROM ret r JOIN faces f ON f.face_id = r.face_id JOIN held h ON h.photo_id = f.photo_id AND h.cluster_id <> r.cluster_id JOIN tgt b ON b.c = r.cluster_id AND b.o = h.cluster_id GROUP BY ALL),
-nr AS (SELECT DISTINCT f.face_id, h.cluster_id FROM faces f JOIN nt x ON x.photo_id = f.photo_id JOIN nt y ON x.folder = y.folder AND x.photo_id <> y.photo_id AND abs(x.t - y.t) <= 300 JOIN held h ON h.photo_id = y.photo_id)"""
+nr AS (SELECT DISTINCT f.face_id, h.cluster_id FROM faces f JOIN slow x ON x.photo_id = f.photo_id JOIN slow y ON x.photo_id <> y.photo_id AND abs(x.t - y.t) <= 60 JOIN held h ON h.photo_id = y.photo_id)"""
 
 
 @(lambda f: q("FC08", "SELECT r.face_id, r.cluster_id, round(r.score + 0.3 * least(ln(coalesce(n2, 0) + 1.0::DOUBLE) / 5, 1.0) + CASE WHEN nr.face_id IS NOT NULL THEN 0.05 ELSE 0 END, 6) AS score FROM ret r LEFT JOIN tog USING (face_id, cluster_id) LEFT JOIN nr USING (face_id, cluster_id)", f, _CTX))
 def _fc08(L: Library) -> DataFrame:
-    """Scores with the bonus of the people already on the face's photo, by how often they are together, and of people on photos of the folder within five minutes."""
+    return _in_context(L, _ret(L).drop("n"))
+
+
+def _in_context(L: Library, r: DataFrame) -> DataFrame:
+    """Scores with the bonus of the people already on the face's photo, by how often they are together, and of people on other photos within a minute of the slow clock."""
     i = L.identities()
     both = i.join(i.select("photo_id", col("cluster_id").alias("other")), "photo_id").where("cluster_id <> other").groupBy("cluster_id", "other").agg(F.count("*").alias("n"))
     held = L.faces().where("cluster_id is not null").select("photo_id", "cluster_id").distinct()
-    r, at = _ret(L).drop("n"), L.faces().select("face_id", "photo_id")
+    at = L.faces().select("face_id", "photo_id")
     there = r.select("face_id", "cluster_id").join(at, "face_id").join(held.withColumnRenamed("cluster_id", "other"), "photo_id").where("cluster_id <> other")
     together = there.join(both, ["cluster_id", "other"]).groupBy("face_id", "cluster_id").agg(F.sum("n").alias("n"))
-    p = near_in_time(L.live().where("taken is not null").select("photo_id", X.folder("file_path").alias("folder"), X.seconds("taken").alias("t")), "photo_id", "t", ["folder"], 300)
-    p = p.select("a", "b").unionByName(p.select(col("b").alias("a"), col("a").alias("b")))
-    near = at.join(p.withColumnRenamed("a", "photo_id"), "photo_id").select("face_id", col("b").alias("photo_id")).join(held, "photo_id").select("face_id", "cluster_id")
-    return N.reranked(r, together, near)
+    times = L.live().where("taken is not null").select("photo_id", F.floor(X.seconds("taken") / 10).alias("t"))
+    return N.reranked(r, together, N.seen_nearby(r.select("face_id", "cluster_id").join(at, "face_id"), held, times))
 
 
 q("FC09", None, lambda L: N.diverse(vectors(L)))

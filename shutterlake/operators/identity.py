@@ -20,7 +20,7 @@ from shutterlake.session import written
 
 col = F.col
 DIMS = 64
-#: Exemplars per broadcast block of a gallery (50 MB); a larger gallery takes several passes.
+#: Exemplars of a gallery that is broadcast (50 MB), and rows of a block beyond.
 BLOCK = 100_000
 #: Similarities that a task holds at once (32 MB).
 CELLS = 4_000_000
@@ -41,37 +41,50 @@ def _matrix(a: pa.Array) -> np.ndarray:
     return np.asarray(a.flatten(), dtype=np.float64).reshape(-1, DIMS)
 
 
+def _against(own: np.ndarray, x: np.ndarray, clusters: np.ndarray, ids: np.ndarray, g: np.ndarray, min_sim: float) -> Iterator[pa.RecordBatch]:
+    """The pairs of faces and exemplars of at least ``min_sim``, in products of bounded size."""
+    step = max(1, min(1024, CELLS // max(1, len(g))))
+    for s in range(0, len(own), step):
+        raw = x[s : s + step] @ g.T
+        i, j = np.nonzero(raw >= min_sim - 1e-6)
+        sim = np.round(raw[i, j], 6)
+        i = i + s
+        keep = (sim >= min_sim) & (own[i] != ids[j])
+        i, j, sim = i[keep], j[keep], sim[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(clusters[j]), pa.array(ids[j]), pa.array(sim)], names=["face_id", "cluster_id", "exemplar", "sim"])
+
+
 def matches(faces: DataFrame, gallery: DataFrame, min_sim: float) -> DataFrame:
     """(face_id, cluster_id, exemplar, sim): exemplars (cluster_id, exemplar, unit) of at least ``min_sim`` for each face (face_id, unit).
 
-    The gallery is broadcast in blocks of ``BLOCK``; faces are scanned once per block and never shuffled.
+    A gallery of up to ``BLOCK`` is broadcast, and faces are scanned once and never shuffled. A larger one is cut into blocks, as are the faces, and each pair of blocks is a
+    task; nothing passes through the driver.
     """
     spark = faces.sparkSession
-    n = gallery.count()
-    out = None
-    blocks = max(1, -(-n // BLOCK))
-    for k in range(blocks):
-        part = gallery if blocks == 1 else gallery.where(F.pmod(F.xxhash64("exemplar"), F.lit(blocks)) == k)
-        rows = part.select("cluster_id", "exemplar", "unit").toArrow()
+    blocks, out = -(-gallery.count() // BLOCK), "face_id long, cluster_id long, exemplar long, sim double"
+    gallery, faces = gallery.select("cluster_id", "exemplar", "unit"), faces.select("face_id", "unit")
+    if blocks <= 1:
+        rows = gallery.toArrow()
         shared = spark.sparkContext.broadcast((np.asarray(rows.column(0)), np.asarray(rows.column(1)), _matrix(rows.column(2).combine_chunks()) if rows.num_rows else np.zeros((0, DIMS))))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            clusters, ids, g = shared.value
-            step = max(1, min(1024, CELLS // max(1, len(g))))
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for s in range(0, b.num_rows, step):
-                    p = b.slice(s, step)
-                    own = np.asarray(p.column(0))
-                    raw = _matrix(p.column(1)) @ g.T
-                    i, j = np.nonzero(raw >= min_sim - 1e-6)
-                    sim = np.round(raw[i, j], 6)
-                    keep = (sim >= min_sim) & (own[i] != ids[j])
-                    i, j, sim = i[keep], j[keep], sim[keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(clusters[j]), pa.array(ids[j]), pa.array(sim)], names=["face_id", "cluster_id", "exemplar", "sim"])
-
-        x = faces.select("face_id", "unit").mapInArrow(run, "face_id long, cluster_id long, exemplar long, sim double")
-        out = x if out is None else out.unionByName(x)
-    return out
+                if b.num_rows:
+                    yield from _against(np.asarray(b.column(0)), _matrix(b.column(1)), *shared.value, min_sim)
+
+        return faces.mapInArrow(scan, out)
+
+    def meet(f: pa.Table, g: pa.Table) -> pa.Table:
+        found = list(_against(np.asarray(f.column("face_id")), _matrix(f.column("unit").combine_chunks()), np.asarray(g.column("cluster_id")), np.asarray(g.column("exemplar")), _matrix(g.column("unit").combine_chunks()), min_sim)) if f.num_rows and g.num_rows else []
+        none = pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64())], names=["face_id", "cluster_id", "exemplar", "sim"])
+        return pa.Table.from_batches(found) if found else none
+
+    cuts = -(-faces.count() // BLOCK) or 1
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    f = faces.withColumn("_i", part("face_id", cuts)).withColumn("_j", every(blocks))
+    g = gallery.withColumn("_j", part("exemplar", blocks)).withColumn("_i", every(cuts))
+    return f.groupBy("_i", "_j").cogroup(g.groupBy("_i", "_j")).applyInArrow(meet, out)
 
 
 def retrieved(faces: DataFrame, gallery: DataFrame, min_sim: float, excluded: DataFrame | None = None, top: int = 5) -> DataFrame:

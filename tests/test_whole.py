@@ -154,3 +154,13 @@ def test_clusters_are_unified_by_whole_galleries(spark, monkeypatch) -> None:  #
     monkeypatch.setattr(identity, "exemplars", lambda f, n=30: sizes.append(n) or made(f, n))
     people.QUERIES["FC05"](spark, DATA)
     assert sizes == [30]
+
+
+@tables
+def test_large_galleries_meet_in_blocks(spark, monkeypatch) -> None:  # noqa: ANN001
+    v = people.vectors(Library(spark, DATA))
+    g = identity.exemplars(v)
+    whole = sorted(map(tuple, identity.matches(v, g, 0.5).collect()))
+    monkeypatch.setattr(identity, "BLOCK", 30)
+    assert sorted(map(tuple, identity.matches(v, g, 0.5).collect())) == whole
+    assert len(whole) > 100

@@ -24,6 +24,8 @@ DIMS = 64
 BLOCK = 100_000
 #: Similarities that a task holds at once (32 MB).
 CELLS = 4_000_000
+#: Rows of a block at most, where a cluster has more than 64 blocks.
+LARGE = 200_000
 #: Edges of small components that one task unites.
 TASK_EDGES = 20_000
 LOW, HIGH, GAP = 0.40, 0.65, 0.12
@@ -128,37 +130,58 @@ def complete_link(dist: np.ndarray, photos: np.ndarray, limit: float) -> np.ndar
     return np.where(count[label] > 1, label, -1)
 
 
-def nearest_parts(x: np.ndarray, photos: list[int | None], limit: float, k: int = 15) -> np.ndarray:
-    """Labels, as ``complete_link`` gives them, after uniting rows along their ``k`` nearest neighbours up to ``limit``, best first, never two of one photo."""
-    n, least, found = len(x), 1 - limit, []
-    step = max(1, CELLS // n)
-    for s in range(0, n, step):
-        sim = np.round(x[s : s + step] @ x.T, 6)
-        sim[np.arange(len(sim)), np.arange(s, s + len(sim))] = -np.inf
-        kth = np.partition(sim, max(0, n - k), axis=1)[:, max(0, n - k)]
-        i, j = np.nonzero(sim >= np.maximum(kth, least)[:, None])
-        v = sim[i, j]
-        o = np.lexsort((j, -v, i))  # ties to the smaller face
-        i, j, v = i[o], j[o], v[o]
-        rank = np.arange(len(i)) - np.searchsorted(i, i)
-        i, j, v = i[rank < k] + s, j[rank < k], v[rank < k]
-        found.append(pd.DataFrame({"a": np.minimum(i, j), "b": np.maximum(i, j), "score": v}))
-    roots = ordered_union(pd.concat(found).drop_duplicates(["a", "b"]), set(), {i: {p} for i, p in enumerate(photos) if p is not None})
-    label = np.array([roots.get(i, i) for i in range(n)])
-    return np.where(np.bincount(label, minlength=n)[label] > 1, label, -1)
+def nearest_within(faces: DataFrame, least: float, k: int = 15, block: int = 4096) -> DataFrame:
+    """(a, b, score): faces (cluster_id, face_id, unit) and their ``k`` nearest of the same cluster of at least ``least``, ties to the smaller face, each pair once.
+
+    A cluster is cut into blocks, each pair of blocks is a task and keeps ``k`` neighbours of a face, so neither a task nor what is shuffled grows with the square of a cluster.
+    """
+    n = faces.groupBy("cluster_id").agg(F.count("*").alias("_n"))
+    n = n.select("cluster_id", F.greatest(F.ceil(col("_n") / LARGE), F.least(F.lit(64), F.ceil(col("_n") / block))).cast("int").alias("_cuts"))
+    f = faces.select("cluster_id", "face_id", "unit").join(n, "cluster_id").withColumn("_own", F.pmod(F.xxhash64("face_id"), col("_cuts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), col("_cuts") - 1))
+    rows = f.select("cluster_id", col("_own").alias("_i"), every.alias("_j"), "face_id", "unit")
+    others = f.select(col("cluster_id").alias("_c"), col("_own").alias("_q"), every.alias("_p"), col("face_id").alias("other"), col("unit").alias("vector"))
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        own, ids, g = np.asarray(x.column("face_id")), np.asarray(y.column("other")), _matrix(y.column("vector").combine_chunks())
+        u, step, found = _matrix(x.column("unit").combine_chunks()), max(1, CELLS // max(1, len(ids))), [(own[:0], ids[:0], np.zeros(0))]
+        for s in range(0, len(own) if len(ids) else 0, step):
+            sim = np.round(u[s : s + step] @ g.T, 6)
+            sim[own[s : s + step, None] == ids[None]] = -np.inf
+            at = max(0, len(ids) - k)
+            i, j = np.nonzero(sim >= np.maximum(np.partition(sim, at, axis=1)[:, at], least)[:, None])
+            v = sim[i, j]
+            o = np.lexsort((ids[j], -v, i))
+            i, j, v = i[o], j[o], v[o]
+            keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+            found.append((own[i[keep] + s], ids[j[keep]], v[keep]))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*found)], names=["face_id", "other", "sim"])
+
+    near = rows.groupBy("cluster_id", "_i", "_j").cogroup(others.groupBy("_c", "_p", "_q")).applyInArrow(run, "face_id long, other long, sim double")
+    best = top_per_group(near, ["face_id"], [col("sim").desc(), col("other")], k)
+    return best.select(F.least("face_id", "other").alias("a"), F.greatest("face_id", "other").alias("b"), col("sim").alias("score")).distinct()
 
 
 def split_clusters(faces: DataFrame, limit: float = 0.30, most: int = 256) -> DataFrame:
-    """(cluster_id, face_id, part): parts of each cluster, by complete link up to ``most`` faces, else along nearest neighbours; part is the smallest face of it, -1 alone."""
-    n = faces.groupBy("cluster_id").agg(F.count("*").alias("n")).where(col("n") >= 2).select("cluster_id")
+    """(cluster_id, face_id, part): parts of each cluster; part is the smallest face of it, -1 alone. Clusters of up to ``most`` are split by complete link, larger ones by uniting nearest
+    neighbours, best first, never two faces of one photo; their comparisons are spread over tasks, and only what is connected is united in one."""
+    faces = faces.select("cluster_id", "face_id", "photo_id", "unit")
+    n = faces.groupBy("cluster_id").agg(F.count("*").alias("_n"))
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("face_id")
         x, ids = _matrix(t.column("unit").combine_chunks()), np.asarray(t.column("face_id"))
-        lab = complete_link(1 - np.round(x @ x.T, 6), np.asarray(t.column("photo_id")), limit) if len(ids) <= most else nearest_parts(x, t.column("photo_id").to_pylist(), limit)
+        lab = complete_link(1 - np.round(x @ x.T, 6), np.asarray(t.column("photo_id")), limit)
         return pa.table([t.column("cluster_id"), t.column("face_id"), pa.array(np.where(lab >= 0, ids[lab], -1))], names=["cluster_id", "face_id", "part"])
 
-    return faces.join(n, "cluster_id", "left_semi").select("cluster_id", "face_id", "photo_id", "unit").groupBy("cluster_id").applyInArrow(run, "cluster_id long, face_id long, part long")
+    small = faces.join(n.where((col("_n") >= 2) & (col("_n") <= most)), "cluster_id", "left_semi").groupBy("cluster_id").applyInArrow(run, "cluster_id long, face_id long, part long")
+    if n.where(col("_n") > most).isEmpty():
+        return small
+    large = faces.join(n.where(col("_n") > most), "cluster_id", "left_semi")
+    roots = united(nearest_within(large, 1 - limit), large.select(col("face_id").alias("cluster_id"), "photo_id"))
+    size = roots.groupBy("survivor").agg(F.count("*").alias("_k")).where("_k > 1").select("survivor")
+    parts = roots.join(size, "survivor").select(col("cluster_id").alias("face_id"), "survivor")
+    return small.unionByName(large.join(parts, "face_id", "left").select("cluster_id", "face_id", F.coalesce("survivor", F.lit(-1).cast("long")).alias("part")))
 
 
 def ordered_union(edges: pd.DataFrame, barred: set[tuple[int, int]], photos: dict[int, set[int]]) -> dict[int, int]:
@@ -245,9 +268,7 @@ def unified(scores: DataFrame, cluster_photos: DataFrame, barred: DataFrame | No
 
 def linked(faces: DataFrame, least: float = 0.7, k: int = 15) -> DataFrame:
     """(cluster_id, survivor): faces united along their ``k`` nearest neighbours of at least ``least``, best first, never two of one photo."""
-    g = faces.select(F.lit(0).cast("long").alias("cluster_id"), col("face_id").alias("exemplar"), "unit")
-    near = top_per_group(matches(faces, g, least), ["face_id"], [col("sim").desc(), col("exemplar")], k)
-    e = near.select(F.least("face_id", "exemplar").alias("a"), F.greatest("face_id", "exemplar").alias("b"), col("sim").alias("score")).distinct()
+    e = nearest_within(faces.select(F.lit(0).cast("long").alias("cluster_id"), "face_id", "unit"), least, k)
     return united(e, faces.select(col("face_id").alias("cluster_id"), "photo_id"))
 
 

@@ -146,6 +146,9 @@ def test_large_clusters_are_split_as_well(spark) -> None:  # noqa: ANN001
     assert got == {i: roots[i] if i in roots and size[roots[i]] > 1 else -1 for i in range(300)}
     assert len(size) < 150
     assert {r.cluster_id for r in identity.split_clusters(f, most=299).collect()} == {1}
+    near = sorted(map(tuple, identity.nearest_within(f, 0.7).collect()))
+    assert sorted(map(tuple, identity.nearest_within(f, 0.7, block=40).collect())) == near
+    assert len(near) > 300
 
 
 @tables

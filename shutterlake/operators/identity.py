@@ -130,7 +130,7 @@ def complete_link(dist: np.ndarray, photos: np.ndarray, limit: float) -> np.ndar
     return np.where(count[label] > 1, label, -1)
 
 
-def nearest_within(faces: DataFrame, least: float, k: int = 15, block: int = 4096) -> DataFrame:
+def nearest_within(faces: DataFrame, least: float, k: int = 15, block: int = 32_768) -> DataFrame:
     """(a, b, score): faces (cluster_id, face_id, unit) and their ``k`` nearest of the same cluster of at least ``least``, ties to the smaller face, each pair once.
 
     A cluster is cut into blocks, each pair of blocks is a task and keeps ``k`` neighbours of a face, so neither a task nor what is shuffled grows with the square of a cluster.

@@ -75,6 +75,21 @@ def test_no_link_is_lost_whatever_the_data(spark, monkeypatch, dims: int, cells:
     assert got == {(lab[i] + 1, i + 1) for i in range(len(x)) if size[lab[i]] > 1}
 
 
+def test_blocks_of_leaves_are_not_copied_for_each_pair(spark, monkeypatch) -> None:  # noqa: ANN001
+    """Strays in 24 blocks: every row of a meeting is handed to Python at most once, and no link is lost."""
+    monkeypatch.setattr(vectors, "CELLS", 8)
+    monkeypatch.setattr(vectors, "BLOCK", 25)
+    x = np.random.default_rng(3).standard_normal((600, 64))
+    x[300:] = x[:300] + np.random.default_rng(4).standard_normal((300, 64)) * 0.4
+    _, lab = truth(x)
+    size = Counter(lab.tolist())
+    made, seen = vectors.in_blocks, []
+    monkeypatch.setattr(vectors, "in_blocks", lambda df, by, *a: seen.append(df.count()) or made(df, by, *a))
+    got = {(r.cluster_key, r.id) for r in clusters.clustered(table(spark, x), "face_id", "embedding").collect()}
+    assert got == {(lab[i] + 1, i + 1) for i in range(len(x)) if size[lab[i]] > 1}
+    assert len(seen) == 1 and 300 < seen[0] <= 600 * 9
+
+
 def test_profiles(spark) -> None:  # noqa: ANN001
     x = people(6, 120, 10, 0.05)
     _, lab = truth(x)

@@ -167,3 +167,27 @@ def test_large_galleries_meet_in_blocks(spark, monkeypatch) -> None:  # noqa: AN
     monkeypatch.setattr(identity, "BLOCK", 30)
     assert sorted(map(tuple, identity.matches(v, g, 0.5).collect())) == whole
     assert len(whole) > 100
+
+
+def crowd(spark, n: int = 60):  # noqa: ANN001, ANN202
+    """Faces of clusters and of none, and the galleries."""
+    rng = np.random.default_rng(11)
+    v = faces(spark, [(i, i, None if i % 2 else i % 12, at(i % 5, 0.8, 10 + int(rng.integers(8)))) for i in range(n)])
+    return v.where("cluster_id is null"), identity.exemplars(v)
+
+
+@pytest.mark.parametrize("block", [100_000, 7])
+def test_retrieval_shuffles_no_single_match(spark, monkeypatch, block: int) -> None:  # noqa: ANN001
+    """Scores in one pass are those of all matches; with the best two only, bands are the same."""
+    monkeypatch.setattr(identity, "BLOCK", block)
+    f, g = crowd(spark)
+    sims: dict = {}
+    for r in identity.matches(f, g, 0.3).collect():
+        sims.setdefault((r.face_id, r.cluster_id), []).append((-r.sim, r.exemplar))
+    want = {k: (round(-sum(s for s, _ in sorted(v)[:5]) / min(5, len(v)) + 1e-9, 6), min(v)[1], len(v)) for k, v in sims.items()}
+    all_ = identity.retrieved(f, g, 0.3)
+    assert {(r.face_id, r.cluster_id): (r.score, r.best, r.n) for r in all_.collect()} == want
+    assert len(want) > 50
+    assert sorted(map(tuple, identity.banded(identity.retrieved(f, g, 0.3, best=2)).collect())) == sorted(map(tuple, identity.banded(all_).collect()))
+    plan = identity.retrieved(f, g, 0.3)._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and "Window" not in plan.split("MapInArrow")[0]

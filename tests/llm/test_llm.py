@@ -76,7 +76,7 @@ def test_no_link_is_lost_whatever_the_data(spark, monkeypatch, dims: int, cells:
 
 
 def test_blocks_of_leaves_are_not_copied_for_each_pair(spark, monkeypatch) -> None:  # noqa: ANN001
-    """Strays in 24 blocks: every row of a meeting is handed to Python at most once, and no link is lost."""
+    """Strays in 24 blocks: the rows that meet are written once, not once for each pair of blocks, and no link is lost."""
     monkeypatch.setattr(vectors, "CELLS", 8)
     monkeypatch.setattr(vectors, "BLOCK", 25)
     x = np.random.default_rng(3).standard_normal((600, 64))

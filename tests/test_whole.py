@@ -191,3 +191,46 @@ def test_retrieval_shuffles_no_single_match(spark, monkeypatch, block: int) -> N
     assert sorted(map(tuple, identity.banded(identity.retrieved(f, g, 0.3, best=2)).collect())) == sorted(map(tuple, identity.banded(all_).collect()))
     plan = identity.retrieved(f, g, 0.3)._jdf.queryExecution().executedPlan().toString()
     assert "CoGroup" not in plan and "Window" not in plan.split("MapInArrow")[0]
+
+
+def test_tiles_part_no_cluster(spark, monkeypatch) -> None:  # noqa: ANN001
+    """FC06: scores are whole however small the products are, and those that no band can take aren't shuffled."""
+    f, g = crowd(spark)
+    whole = sorted(map(tuple, identity.retrieved(f, g, 0.3).collect()))
+    for name, size in (("TILE", 3), ("FACES", 4), ("HELD", 1), ("ROWS", 2), ("PAIRS", 5)):
+        monkeypatch.setattr(identity, name, size)
+    assert sorted(map(tuple, identity.retrieved(f, g, 0.3).collect())) == whole
+    assert sorted(map(tuple, identity.retrieved(f, g, 0.3, least=0.6).collect())) == [r for r in whole if r[2] >= 0.6] != whole
+
+
+def test_a_norm_is_taken_once(spark) -> None:  # noqa: ANN001
+    """The norm isn't put into the division of each element."""
+    f = spark.createDataFrame([(1, [3.0] * 64)], "face_id long, embedding array<float>")
+    plan = identity.unit_vectors(f)._jdf.queryExecution().optimizedPlan().toString()
+    assert "try_divide" in plan or "/" in plan
+    assert " / sqrt(" not in plan and "/ SQRT(" not in plan
+    assert identity.unit_vectors(f).first().unit == [0.125] * 64
+
+
+def test_neighbours_and_clusters_meet_in_the_shared_folder(spark, monkeypatch) -> None:  # noqa: ANN001
+    """FC07: neither faces nor exemplars are copied for the blocks they meet, and single matches aren't shuffled."""
+    f, g = crowd(spark)
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    one = f.selectExpr("0L as cluster_id", "face_id", "unit")
+    near = identity.nearest_within(one, 0.5, 3)
+    whole, x = sorted(map(tuple, near.collect())), {r.face_id: np.array(r.unit) for r in f.collect()}
+    want = set()
+    for a in x:
+        hits = sorted((-round(float(x[a] @ x[b]), 6), b) for b in x if b != a)
+        want |= {(min(a, b), max(a, b), -v) for v, b in hits[:3] if -v >= 0.5}
+    assert set(whole) == want and want
+    monkeypatch.setattr(identity, "QUERIES", 3)
+    blocks = identity.nearest_within(one, 0.5, 3, block=7)
+    assert sorted(map(tuple, blocks.collect())) == whole
+    assert "CoGroup" not in plan(blocks)
+    scores = identity.cluster_scores(g, 0.3)
+    before = sorted(map(tuple, scores.collect()))
+    monkeypatch.setattr(identity, "BLOCK", 4)
+    assert sorted(map(tuple, identity.cluster_scores(g, 0.3).collect())) == before != []
+    assert "Window" not in plan(scores)
+    assert sorted(map(tuple, identity.cluster_scores(g, 0.3, least=0.6).collect())) == [r for r in before if r[2] >= 0.6]

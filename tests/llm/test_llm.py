@@ -336,3 +336,15 @@ def test_documents(spark) -> None:  # noqa: ANN001
     got = {r.doc_id: r.restored_md5 for r in encoding.repaired(d).collect()}
     assert got == {1000: hashlib.md5(CLEAN[2].encode()).hexdigest(), 1001: "", 1005: hashlib.md5((("x" * 50 + " ") * 5000 + CLEAN[0]).encode()).hexdigest()}
     assert encoding.repaired(d.limit(0)).count() == 0
+
+
+def test_blocks_of_a_large_group_are_not_copied(spark, monkeypatch) -> None:  # noqa: ANN001
+    """p6: a group of several blocks is read from the shared folder, and no row is repeated for the blocks it meets."""
+    rng = np.random.default_rng(2)
+    x = np.eye(64)[0] + rng.standard_normal((60, 64)) * 0.03
+    whole = sorted(map(tuple, neighbours.most_similar(table(spark, x), "face_id", "embedding").collect()))
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 9)
+    found = neighbours.most_similar(table(spark, x), "face_id", "embedding")
+    assert "explode" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == whole
+    assert len(whole) == 300

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import tracemalloc
 from collections import Counter
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from shutterlake.operators import identity
@@ -234,3 +237,25 @@ def test_neighbours_and_clusters_meet_in_the_shared_folder(spark, monkeypatch) -
     assert sorted(map(tuple, identity.cluster_scores(g, 0.3).collect())) == before != []
     assert "Window" not in plan(scores)
     assert sorted(map(tuple, identity.cluster_scores(g, 0.3, least=0.6).collect())) == [r for r in before if r[2] >= 0.6]
+
+
+@pytest.mark.parametrize("query", ["matches"])
+def test_a_task_holds_a_bounded_part_of_its_matches(spark, monkeypatch, query: str) -> None:  # noqa: ANN001
+    """JN15: nothing that a task holds grows with the gallery, though every exemplar matches every face."""
+    own, g = (pa.array(range(n), pa.int64()) for n in (500, 8000))
+    units = lambda n: pa.array([at(0, 0.8, 1 + i % 60).tolist() for i in range(n)])
+    f = spark.createDataFrame(pa.table({"face_id": pa.compute.add(own, 10_000), "unit": units(500)}))
+    gallery = pa.table({"cluster_id": pa.compute.divide(g, 16), "exemplar": g, "unit": units(8000)})
+    monkeypatch.setattr(type(f), "mapInArrow", lambda _, scan, schema: scan)
+
+    def peak(n: int) -> int:
+        scan = getattr(identity, query)(f, spark.createDataFrame(gallery.slice(0, n)), 0.3)
+        batch = f.toArrow().combine_chunks().to_batches()[0]
+        tracemalloc.start()
+        rows = sum(b.num_rows for b in scan(iter([batch])))
+        _, most = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert rows == 500 * (n if query == "matches" else n // 16)
+        return most
+
+    assert peak(8000) < 1.5 * peak(2000)

@@ -239,9 +239,9 @@ def test_neighbours_and_clusters_meet_in_the_shared_folder(spark, monkeypatch) -
     assert sorted(map(tuple, identity.cluster_scores(g, 0.3, least=0.6).collect())) == [r for r in before if r[2] >= 0.6]
 
 
-@pytest.mark.parametrize("query", ["matches"])
+@pytest.mark.parametrize("query", ["matches", "retrieved"])
 def test_a_task_holds_a_bounded_part_of_its_matches(spark, monkeypatch, query: str) -> None:  # noqa: ANN001
-    """JN15: nothing that a task holds grows with the gallery, though every exemplar matches every face."""
+    """JN15, FC01: nothing that a task holds grows with the gallery, though every exemplar matches every face."""
     own, g = (pa.array(range(n), pa.int64()) for n in (500, 8000))
     units = lambda n: pa.array([at(0, 0.8, 1 + i % 60).tolist() for i in range(n)])
     f = spark.createDataFrame(pa.table({"face_id": pa.compute.add(own, 10_000), "unit": units(500)}))

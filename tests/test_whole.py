@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import subprocess
+import sys
 import tracemalloc
 from collections import Counter
 from pathlib import Path
@@ -259,3 +261,22 @@ def test_a_task_holds_a_bounded_part_of_its_matches(spark, monkeypatch, query: s
         return most
 
     assert peak(8000) < 1.5 * peak(2000)
+
+
+def test_a_worker_of_a_scan_is_small(spark, monkeypatch) -> None:  # noqa: ANN001
+    """JN15: a Python worker holds a part of a large gallery, few matches, and no library that a scan doesn't use."""
+    rng, parts, made = np.random.default_rng(5), [], identity._parts
+    units = lambda n: pa.FixedSizeListArray.from_arrays(pa.array(np.tile(at(0, 1, 1), n) + 0.01 * rng.standard_normal(n * 64)), 64).cast(pa.list_(pa.float64()))
+    f = spark.createDataFrame(pa.table({"face_id": pa.array(np.arange(300) + 100_000), "unit": units(300)}))
+    g = spark.createDataFrame(pa.table({"cluster_id": pa.array(np.arange(40_000) // 16), "exemplar": pa.array(np.arange(40_000)), "unit": units(40_000)}))
+    monkeypatch.setattr(identity, "_parts", lambda t: parts.append(t.num_rows) or made(t))
+    monkeypatch.setattr(type(f), "mapInArrow", lambda _, scan, schema: scan)
+    scan = identity.matches(f, g, 0.3)
+    batch = f.toArrow().combine_chunks().to_batches()[0]
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in scan(iter([batch])))
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert rows == 300 * 40_000 and sum(parts) == 40_000
+    assert max(parts) < 10_000 and most < 48e6
+    subprocess.run([sys.executable, "-c", "import shutterlake.operators.identity, sys; assert 'pandas' not in sys.modules"], check=True, cwd=Path(identity.__file__).parents[2])
